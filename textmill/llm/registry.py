@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from textmill.llm.licenses import op6_licenses
 from textmill.llm.mixing import op4_mixing
+from textmill.llm.simhash import op1_simhash
 
 
 def queries() -> dict:
-    return {"op4_mixing": op4_mixing}
+    return {"op1_simhash": op1_simhash, "op4_mixing": op4_mixing, "op6_licenses": op6_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
