@@ -71,7 +71,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP, block: i
 def draws(targets: DataFrame, seed: int = 17) -> DataFrame:
     """One row per draw: skey, idx (block), shard and slot in the output. Made from ranges, so a large source is many rows at once."""
     t = targets.where("quota > 0").withColumn("part", F.explode(F.expr(f"sequence(0L, (quota - 1) div {DRAWS})")))
-    t = t.repartition(F.col("skey"), F.col("part"))
+    # By number, since the optimizer would put these few rows, from which many are made, into one task.
+    t = t.repartition(int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")), "skey", "part")
     t = t.withColumn("k", F.explode(F.expr(f"sequence(part * {DRAWS}, least(quota, (part + 1) * {DRAWS}) - 1)")))
     turn = F.xxhash64(F.lit(seed), "skey", F.expr("k div n"))
     t = t.withColumn("idx", permute(F.expr("k % n"), F.col("n"), turn))
@@ -101,8 +102,9 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, block: int
     targets = source_targets(s, weights, cap, block)
     used = draws(targets, seed).groupBy("skey", "idx").agg(F.count("*").alias("uses"))
     laid = laid_out(s)
+    # The optimizer takes the draws for as small as the rows that they are made from; no side here is to be broadcast.
     cut = pieces(laid, block).select("skey", "idx", "doc_id", "off", (F.col("hi") - F.col("lo")).alias("words"))
-    took = cut.join(used, ["skey", "idx"]).groupBy("skey", "doc_id", "off").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
+    took = cut.join(used.hint("merge"), ["skey", "idx"]).groupBy("skey", "doc_id", "off").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
     key = [F.col("l.skey") == F.col("t.skey"), F.col("l.doc_id").eqNullSafe(F.col("t.doc_id")), F.col("l.off") == F.col("t.off"), F.col("l.size") > 0]
     out = laid.alias("l").join(took.alias("t"), key, "left").select("l.*", "taken")
     out = out.join(targets.select("skey", "source_size", "target"), "skey")
@@ -120,7 +122,7 @@ def mixed_blocks(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, block: int
     cut = pieces(laid.withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), block)
     cut = cut.select("skey", "source", "idx", "off", "doc_id", (F.col("hi") - F.col("lo")).alias("m"), F.array_join(F.slice("words", (F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")), " ").alias("part"))
     blocks = cut.groupBy("skey", "idx").agg(F.first("source").alias("source"), F.sum("m").alias("n_words"), F.sort_array(F.collect_list(F.struct("off", "doc_id", "part"))).alias("parts"))
-    out = draws(targets, seed).join(blocks, ["skey", "idx"])
+    out = blocks.join(draws(targets, seed).hint("merge"), ["skey", "idx"])
     return out.select(
         F.expr(f"place div {shard}").alias("shard"), F.expr(f"place % {shard}").alias("slot"), "source", F.col("idx").alias("block"), "n_words",
         F.col("parts.doc_id").alias("doc_ids"), F.array_join("parts.part", "\n").alias("text"),
