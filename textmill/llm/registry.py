@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from textmill.llm.decontaminate import op8_decontaminate
 from textmill.llm.html import op5_html
 from textmill.llm.langid import op9_language_id
 from textmill.llm.licenses import op6_licenses
@@ -11,7 +12,7 @@ from textmill.llm.toxicity import op10_toxicity
 
 
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op4_mixing": op4_mixing, "op5_html": op5_html, "op6_licenses": op6_licenses, "op9_language_id": op9_language_id, "op10_toxicity": op10_toxicity}
+    return {"op1_simhash": op1_simhash, "op4_mixing": op4_mixing, "op5_html": op5_html, "op6_licenses": op6_licenses, "op8_decontaminate": op8_decontaminate, "op9_language_id": op9_language_id, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
