@@ -7,12 +7,13 @@ from textmill.llm.html import op5_html
 from textmill.llm.langid import op9_language_id
 from textmill.llm.licenses import op6_licenses
 from textmill.llm.mixing import op4_mixing
+from textmill.llm.pii import op7_pii
 from textmill.llm.simhash import op1_simhash
 from textmill.llm.toxicity import op10_toxicity
 
 
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op4_mixing": op4_mixing, "op5_html": op5_html, "op6_licenses": op6_licenses, "op8_decontaminate": op8_decontaminate, "op9_language_id": op9_language_id, "op10_toxicity": op10_toxicity}
+    return {"op1_simhash": op1_simhash, "op4_mixing": op4_mixing, "op5_html": op5_html, "op6_licenses": op6_licenses, "op7_pii": op7_pii, "op8_decontaminate": op8_decontaminate, "op9_language_id": op9_language_id, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
