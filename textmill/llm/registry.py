@@ -10,11 +10,12 @@ from textmill.llm.mixing import op4_mixing
 from textmill.llm.pii import op7_pii
 from textmill.llm.simhash import op1_simhash
 from textmill.llm.spotsigs import op2_spotsigs
+from textmill.llm.suffixes import op3_repeats
 from textmill.llm.toxicity import op10_toxicity
 
 
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op2_spotsigs": op2_spotsigs, "op4_mixing": op4_mixing, "op5_html": op5_html, "op6_licenses": op6_licenses, "op7_pii": op7_pii, "op8_decontaminate": op8_decontaminate, "op9_language_id": op9_language_id, "op10_toxicity": op10_toxicity}
+    return {"op1_simhash": op1_simhash, "op2_spotsigs": op2_spotsigs, "op3_repeats": op3_repeats, "op4_mixing": op4_mixing, "op5_html": op5_html, "op6_licenses": op6_licenses, "op7_pii": op7_pii, "op8_decontaminate": op8_decontaminate, "op9_language_id": op9_language_id, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
