@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+from textmill.llm.common import shipping
 from textmill.llm.decontaminate import op8_decontaminate
 from textmill.llm.html import op5_html
 from textmill.llm.langid import op9_language_id
@@ -14,8 +16,11 @@ from textmill.llm.suffixes import op3_repeats
 from textmill.llm.toxicity import op10_toxicity
 
 
+QUERIES = [op1_simhash, op2_spotsigs, op3_repeats, op4_mixing, op5_html, op6_licenses, op7_pii, op8_decontaminate, op9_language_id, op10_toxicity]
+
+
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op2_spotsigs": op2_spotsigs, "op3_repeats": op3_repeats, "op4_mixing": op4_mixing, "op5_html": op5_html, "op6_licenses": op6_licenses, "op7_pii": op7_pii, "op8_decontaminate": op8_decontaminate, "op9_language_id": op9_language_id, "op10_toxicity": op10_toxicity}
+    return {q.__name__: shipping(q) for q in QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

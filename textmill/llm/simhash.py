@@ -75,6 +75,12 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
 
 
+def _keyed_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        (found,) = _fingerprints([b])
+        yield pa.RecordBatch.from_arrays([*found.columns, b.column(2)], names=["doc_id", "fp", "th"])
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed 64-bit number."""
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
@@ -197,14 +203,18 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
 
 
 def near_deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: of each class one document, that of the smallest doc_id.
+    """The rows of docs that stay: one document of each class, that of the smallest doc_id (null last), then of the least hash of its text.
 
-    Rows that repeat the kept doc_id are one document; the one with the smallest text stays.
-    A document whose doc_id is null can't be named as kept and stays if its class has no doc_id at all, once.
+    Repeated rows are one document and stay once.
     """
-    kept = near_duplicate_classes(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept"))).drop("_kept")
-    return out.dropDuplicates(["doc_id"])
+    keyed = docs.withColumns({"_did": F.coalesce("doc_id", F.lit((1 << 63) - 1)), "_th": F.xxhash64("text")})
+    text = keyed.select(F.col("_did").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), "_th")
+    prints = stage_table(text.mapInArrow(_keyed_fingerprints, "doc_id long, fp long, th long"), "simhash")
+    least = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("least"))
+    roots = components(near_links(least.select("fp"))).withColumnRenamed("node", "fp")
+    kept = least.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
+    kept = kept.select(F.col("least.doc_id").alias("_did"), F.col("least.th").alias("_th"))
+    return keyed.join(kept.hint("merge"), ["_did", "_th"], "left_semi").dropDuplicates(["_did", "_th"]).drop("_did", "_th")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
