@@ -41,7 +41,7 @@ WINDOW = LENGTH - GRAM + 1
 REACH = LENGTH - GRAM
 HALF = REACH // 2
 #: Bytes worked on at once, symbols of a merge.
-PIECE, SYMBOLS = 1 << 20, 1 << 20
+PIECE, SYMBOLS = 1 << 20, 1 << 16
 PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -63,11 +63,11 @@ class Text:
     def hash(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         return mix((self.sums[hi] - self.sums[lo]) * self.down[lo])
 
-    def anchors(self) -> np.ndarray:
-        """Places of the anchors of all LENGTH-byte strings that lie in one document."""
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the anchors of all LENGTH-byte strings that lie in one document, and how far before an anchor the first and the last string begin whose anchor it is."""
         n = len(self.codes)
         if n < LENGTH:
-            return np.zeros(0, np.int64)
+            return (np.zeros(0, np.int64),) * 3
         grams = mix((self.sums[GRAM:] - self.sums[:-GRAM]) * self.down[: n - GRAM + 1])
         key = (grams & ~PLACE) | np.arange(len(grams), dtype=np.uint64)
         pad = np.concatenate([key, np.full(-len(key) % WINDOW, ~np.uint64(0))]).reshape(-1, WINDOW)
@@ -76,7 +76,11 @@ class Text:
         least = np.minimum(after[: n - LENGTH + 1], before[WINDOW - 1 : n - GRAM + 1])
         doc = np.repeat(np.arange(len(self.base) - 1), np.diff(self.base))
         whole = doc[: n - LENGTH + 1] == doc[LENGTH - 1 :]
-        return np.unique((least[whole] & PLACE).astype(np.int64))
+        starts = np.flatnonzero(whole)
+        place = (least[starts] & PLACE).astype(np.int64)  # never falls from one start to the next
+        at = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
+        last = np.concatenate([at[1:], [len(place)]]) - 1
+        return place[at], place[at] - starts[at], (place - starts)[last] if len(at) else at
 
 
 def byte_pieces(texts: list[bytes], piece: int = PIECE) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -112,7 +116,8 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
-ANCHORS = "h long, c long, did long, th int, pos int, stop int"
+#: first and last: how far before the anchor its own strings begin, in one number (first * 128 + last).
+ANCHORS = "h long, c long, did long, th int, pos int, stop int, own short"
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,18 +128,18 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = []
         for parts in byte_pieces(texts):
             t = Text([p for _, _, p in parts])
-            a = t.anchors()
+            a, far, near = t.anchors()
             d = np.searchsorted(t.base, a, side="right") - 1
             lo, hi = np.maximum(t.base[d], a - REACH), np.minimum(t.base[d + 1], a + LENGTH)
             doc, shift = np.array([k for k, _, _ in parts])[d], np.array([s for _, s, _ in parts])[d]
             c = t.hash(lo, hi) ^ mix((a - lo).astype(np.uint64) + np.uint64(7))
-            cols.append((t.hash(a, a + GRAM), c, doc, a - t.base[d] + shift, hi - a))
+            cols.append((t.hash(a, a + GRAM), c, doc, a - t.base[d] + shift, hi - a, far * 128 + near))
         if not cols:
             continue
-        h, c, doc, pos, right = (np.concatenate(x) for x in zip(*cols, strict=True))
+        h, c, doc, pos, right, own = (np.concatenate(x) for x in zip(*cols, strict=True))
         did, th = dids[doc], ths[doc]
         order = np.lexsort((pos, th, did, c, h))
-        h, c, doc, pos, right, did, th = (x[order] for x in (h, c, doc, pos, right, did, th))
+        h, c, doc, pos, right, own, did, th = (x[order] for x in (h, c, doc, pos, right, own, did, th))
         same = np.concatenate([[False], (h[1:] == h[:-1]) & (c[1:] == c[:-1])])
         group = np.flatnonzero(~same)[np.cumsum(~same) - 1] if len(h) else np.zeros(0, np.int64)
         later = same & ((did != did[group]) | (th != th[group]) | (pos != pos[group]))
@@ -145,8 +150,9 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(np.concatenate([_signed(h[first]), dids[owner]])), pa.array(np.concatenate([_signed(c[first]), np.zeros(len(owner), np.int64)])),
                 pa.array(np.concatenate([did[first], dids[owner]])), pa.array(np.concatenate([th[first], ths[owner]]).astype(np.int32)),
                 pa.array(np.concatenate([pos[first], start]).astype(np.int32)), pa.array(np.concatenate([np.zeros(len(first)), stop]).astype(np.int32)),
+                pa.array(np.concatenate([own[first], np.zeros(len(owner))]).astype(np.int16)),
             ],
-            names=["h", "c", "did", "th", "pos", "stop"],
+            names=["h", "c", "did", "th", "pos", "stop", "own"],
         )
 
 
@@ -166,7 +172,7 @@ def whole_groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataF
         yield pd.concat(held)
 
 
-SETTLED = "did long, th int, pos int, stop int, h long"
+SETTLED = "did long, th int, pos int, stop int, h long, own short"
 
 
 def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,11 +180,11 @@ def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in whole_groups(batches, "h"):
         run = pdf["stop"].to_numpy() > 0
         if run.any():
-            yield pdf.loc[run, ["did", "th", "pos", "stop", "h"]]
+            yield pdf.loc[run, ["did", "th", "pos", "stop", "h", "own"]]
             pdf = pdf[~run]
-        h, c, did, th, pos = (pdf[x].to_numpy() for x in ("h", "c", "did", "th", "pos"))
+        h, c, did, th, pos, own = (pdf[x].to_numpy() for x in ("h", "c", "did", "th", "pos", "own"))
         order = np.lexsort((pos, th, did, c, h))
-        h, c, did, th, pos = h[order], c[order], did[order], th[order], pos[order]
+        h, c, did, th, pos, own = h[order], c[order], did[order], th[order], pos[order], own[order]
         if not len(h):
             continue
         new_h = np.concatenate([[True], h[1:] != h[:-1]])
@@ -189,7 +195,7 @@ def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = new_c & (kinds > 1)
         at = np.flatnonzero(later | ask)
         if len(at):
-            yield pd.DataFrame({"did": did[at], "th": th[at], "pos": pos[at], "stop": np.where(ask[at], -1, 0).astype(np.int32), "h": h[at]})
+            yield pd.DataFrame({"did": did[at], "th": th[at], "pos": pos[at], "stop": np.where(ask[at], -1, 0).astype(np.int32), "h": h[at], "own": own[at]})
 
 
 STRINGS = "k long, did long, th int, pos int, text binary"
@@ -199,12 +205,14 @@ def _strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """For each asked anchor the string of its left and of its right half, under a key of the anchor and the bytes of that half."""
     for pdf in batches:
         out: list[tuple] = []
-        for did, th, packed, places, anchors in zip(pdf["did"], pdf["th"], pdf["packed"], pdf["places"], pdf["anchors"], strict=True):
+        for did, th, packed, places, anchors, owns in zip(pdf["did"], pdf["th"], pdf["packed"], pdf["places"], pdf["anchors"], pdf["owns"], strict=True):
             text = zstandard.ZstdDecompressor().decompress(packed)
-            for pos, h in zip(places.tolist(), anchors.tolist(), strict=True):
-                for side, lo, hi, a, b in ((1, pos - REACH, pos - HALF + LENGTH, pos - HALF, pos), (2, pos - HALF, pos + LENGTH, pos + GRAM, pos + GRAM + HALF)):
-                    lo, hi = max(0, lo), min(len(text), hi)
-                    if a >= 0 and b <= len(text) and hi - lo >= LENGTH:
+            for pos, h, own in zip(places.tolist(), anchors.tolist(), owns.tolist(), strict=True):
+                far, near = divmod(own, 128)
+                # The anchor's own strings that hold all of its left half, and those that hold all of its right half.
+                for side, first, last, a, b in ((1, far, max(near, HALF), pos - HALF, pos), (2, min(far, HALF), near, pos + GRAM, pos + GRAM + HALF)):
+                    if first >= last:
+                        lo, hi = pos - first, pos - last + LENGTH
                         k = int.from_bytes(hashlib.blake2b(text[a:b], digest_size=8, key=(h & (1 << 64) - 1).to_bytes(8, "little") + bytes([side])).digest(), "little", signed=True)
                         out.append((k, did, th, lo, text[lo:hi]))
         yield pd.DataFrame(out, columns=["k", "did", "th", "pos", "text"])
@@ -218,55 +226,58 @@ def suffix_order(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for k in range(8):
         key = (key << np.uint64(8)) | np.where(left > k, wide[k : n + k], 0)
-    size = 8
+    size, string = 8, np.repeat(np.arange(len(first) - 1), np.diff(first))
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         k = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate([[0], (k[1:] != k[:-1]).astype(np.int64)]))
-        if size >= int(np.diff(first).max()) or rank[order[-1]] == n - 1:
+        if rank[order[-1]] == n - 1:
             return order
+        if size >= int(np.diff(first).max()):
+            return np.argsort(rank * len(first) + string)
         after = np.minimum(np.arange(n) + size, n - 1)
-        key = (rank * (n + 1) + np.where(left > size, rank[after] + 1, 0)).astype(np.uint64)
+        key = rank * (n + 1) + np.where(left > size, rank[after] + 1, 0)
         size *= 2
 
 
 class Transform:
-    """The Burrows-Wheeler transform of a shard over pairs of codes: order (suffix places) and symbol (the pair before each; -1 at a string's start)."""
+    """The Burrows-Wheeler transform of a shard over pairs of codes.
+
+    order: suffix places in order; symbol: the pair of codes before each (0 at a string's start); back: where in
+    the order the suffix stands that is longer by that pair. Suffixes of no byte come first, two for each string;
+    a string's start leads back to one of them.
+    """
 
     def __init__(self, strings: list[bytes]):
         # Bytes of UTF-8 are below 245, so a pair of them, moved up by one to leave 0 as the end, fits 16 bits.
-        parts = [np.concatenate([np.frombuffer(s, np.uint8) + np.uint8(1), np.zeros(2, np.uint8)]) for s in strings]
-        self.codes = np.concatenate(parts)
-        self.first = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-        self.order = suffix_order(self.codes, self.first)
-        at = self.order
-        string = np.repeat(np.arange(len(strings)), np.diff(self.first))
-        start = self.first[string]
-        self.begins = np.arange(len(self.codes)) - start < 2
-        two = self.codes[np.maximum(at - 2, 0)].astype(np.int32) * 246 + self.codes[np.maximum(at - 1, 0)]
-        self.symbol = two.astype(np.uint16)
-        self.keep = ~self.begins[at]
-        self.string = string
-        self.empty = 2 * len(strings)  # suffixes of no byte, the least in order
+        lens = np.fromiter(map(len, strings), np.int64, len(strings))
+        joined = np.frombuffer(b"\xff\xff".join([*strings, b""]), np.uint8)
+        self.codes = joined + np.uint8(1)
+        self.first = np.concatenate([[0], np.cumsum(lens + 2)])
+        self.order = at = suffix_order(self.codes, self.first)
+        self.string = np.repeat(np.arange(len(strings)), lens + 2)
+        begins = (np.arange(len(self.codes)) - self.first[self.string] < 2)[at]
+        two = self.codes[np.maximum(at - 2, 0)].astype(np.uint16) * np.uint16(246) + self.codes[np.maximum(at - 1, 0)]
+        self.symbol = np.where(begins, np.uint16(0), two)
+        rank = np.empty(len(at), np.int64)
+        rank[at] = np.arange(len(at))
+        self.back = rank[np.maximum(at - 2, 0)]
+        self.back[begins] = np.arange(2 * len(strings))
 
 
 def interleave(a: Transform, b: Transform, rounds: int = LENGTH // 2) -> np.ndarray:
-    """Which transform each place of the merged order is from (True: b), settled for rounds pairs."""
-    n = len(a.order) + len(b.order)
-    front = np.concatenate([np.zeros(a.empty, bool), np.ones(b.empty, bool)])
-    z = np.concatenate([front, np.zeros(len(a.order) - a.empty, bool), np.ones(len(b.order) - b.empty, bool)])
-    symbol, keep = np.empty(n, np.uint16), np.empty(n, bool)
+    """The merged order for rounds pairs: numbers below len(a.order) are places of a's order, others of b's.
+
+    A round reads the symbols of both in the order so far and deals them stably by symbol; each read leads back
+    to the suffix that it makes longer. Within a and b the order never changes, only how they interleave.
+    """
+    n = len(a.order)
+    symbol, back = np.concatenate([a.symbol, b.symbol]), np.concatenate([a.back, b.back + n])
+    merged = np.arange(len(symbol))
     for _ in range(rounds):
-        not_z = ~z
-        symbol[not_z], symbol[z] = a.symbol, b.symbol
-        keep[not_z], keep[z] = a.keep, b.keep
-        kept = z[keep]
-        now = np.concatenate([front, kept[np.argsort(symbol[keep], kind="stable")]])
-        if np.array_equal(now, z):
-            break
-        z = now
-    return z
+        merged = back[merged[np.argsort(symbol[merged], kind="stable")]]
+    return merged
 
 
 def repeated_intervals(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -276,12 +287,11 @@ def repeated_intervals(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np
     if not shards[1]:
         return (np.zeros(0, np.int64),) * 3
     a, b = Transform(shards[0]), Transform(shards[1])
-    z = interleave(a, b)
+    merged = interleave(a, b)
     codes = np.concatenate([a.codes, b.codes])
     string = np.concatenate([a.string, b.string + half])
     first = np.concatenate([a.first[:-1], b.first + len(a.codes)])
-    order = np.empty(len(z), np.int64)
-    order[~z], order[z] = a.order, b.order + len(a.codes)
+    order = np.concatenate([a.order, b.order + len(a.codes)])[merged]
     string_at = string[order]
     full = first[string_at + 1] - 2 - order >= LENGTH
     order, string_at = order[full], string_at[full]
@@ -394,8 +404,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return s.map(z.compress)
 
     packed = d.select("doc_id", "did", "th", F.pandas_udf(pack, "binary")("text").alias("packed"))
-    asked = settled.where("stop = -1").groupBy("did", "th").agg(F.collect_set(F.struct("pos", "h")).alias("asked"))
-    strings = packed.select("did", "th", "packed").join(asked.hint("merge"), ["did", "th"]).select("did", "th", "packed", F.col("asked.pos").alias("places"), F.col("asked.h").alias("anchors")).mapInPandas(_strings, STRINGS)
+    asked = settled.where("stop = -1").groupBy("did", "th").agg(F.collect_set(F.struct("pos", "h", "own")).alias("asked"))
+    strings = packed.select("did", "th", "packed").join(asked.hint("merge"), ["did", "th"]).select("did", "th", "packed", F.col("asked.pos").alias("places"), F.col("asked.h").alias("anchors"), F.col("asked.own").alias("owns")).mapInPandas(_strings, STRINGS)
     covered = strings.repartition(parts, "k").sortWithinPartitions("k").mapInPandas(_merge, COVERED)
     runs = settled.where("stop >= 0").select("did", "th", "pos", "stop").union(covered)
     runs = runs.groupBy("did", "th").agg(F.collect_set(F.struct("pos", "stop")).alias("runs"))
