@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
-import zipfile
-from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,33 +30,6 @@ def stage_table(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give this package's code to all executors, once for each application, so that they needn't have it installed."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _shipped:
-        package = Path(__file__).resolve().parent.parent
-        path = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
-        with zipfile.ZipFile(path, "w") as z:
-            for f in sorted(package.rglob("*.py")):
-                z.write(f, f.relative_to(package.parent))
-        sc.addPyFile(str(path))
-        _shipped.add(sc.applicationId)
-
-
-def shipping(query: Callable) -> Callable:
-    """A query or stage whose first argument is the session, with the package shipped before it."""
-
-    @functools.wraps(query)
-    def run(spark: SparkSession, *args):
-        ship(spark)
-        return query(spark, *args)
-
-    return run
-
-
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
