@@ -15,6 +15,8 @@ left out of the query.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +51,11 @@ def patterns() -> tuple[str, dict[str, str]]:
     return "|".join(joined), dict(KINDS)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once; in a lambda an expression is computed for each element that it is used for."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _hash(key: Column, what: str, i: Column, other: Column) -> Column:
     return F.sha2(F.concat_ws("|", key, F.lit(what), i.cast("string"), other.cast("string")), 512)
 
@@ -90,8 +97,8 @@ def feistel_string(x: Column, alphabets: list[str], key: Column, what: str) -> C
     """Permutes the strings that have the same length and the same alphabet at each place as x."""
 
     def step(s: Column, i: Column) -> Column:
-        left = F.struct(_shifted(s["l"], _hash(key, what, i, s["r"]), alphabets).alias("l"), s["r"].alias("r"))
-        right = F.struct(s["l"].alias("l"), _shifted(s["r"], _hash(key, what, i, s["l"]), alphabets).alias("r"))
+        left = let(_hash(key, what, i, s["r"]), lambda h: F.struct(_shifted(s["l"], h, alphabets).alias("l"), s["r"].alias("r")))
+        right = let(_hash(key, what, i, s["l"]), lambda h: F.struct(s["l"].alias("l"), _shifted(s["r"], h, alphabets).alias("r")))
         return F.when(i % 2 == 0, left).otherwise(right)
 
     half = F.floor(F.length(x) / 2).cast("int")
@@ -113,16 +120,18 @@ def luhn_sum(digits: Column, check: bool) -> Column:
 def written_like(digits: Column, form: Column, skip: Column | int = 0) -> Column:
     """form with its digits, after the first skip of them, replaced by digits in order."""
 
-    def put(c: Column, i: Column) -> Column:
-        nth = F.length(F.regexp_replace(F.substr(form, F.lit(1), i + 1), "[^0-9]", "")) - skip
-        return F.when(c.between("0", "9") & (nth > 0), F.substr(digits, nth, F.lit(1))).otherwise(c)
+    def fill(d: Column) -> Column:
+        def put(c: Column, i: Column) -> Column:
+            nth = F.length(F.regexp_replace(F.substr(form, F.lit(1), i + 1), "[^0-9]", "")) - skip
+            return F.when(c.between("0", "9") & (nth > 0), F.substr(d, nth, F.lit(1))).otherwise(c)
 
-    return F.array_join(F.transform(F.split(form, ""), put), "")
+        return F.array_join(F.transform(F.split(form, ""), put), "")
+
+    return let(digits, fill)
 
 
 def pseudonym(x: Column, key: Column) -> Column:
     """struct(kind, value) for one find."""
-    kinds = dict(KINDS)
     digits = F.regexp_replace(x, "[^0-9]", "")
 
     email = F.concat(feistel_string(F.substring_index(x, "@", 1), [DIGITS, LOWER, UPPER], key, "email"), F.lit("@"), F.substring_index(x, "@", -1))
@@ -134,50 +143,72 @@ def pseudonym(x: Column, key: Column) -> Column:
     iso = F.when(first, F.concat_ws("-", F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.get(parts, F.lit(2)))).otherwise(F.concat_ws("-", F.get(parts, F.lit(2)), F.get(parts, F.lit(1)), F.get(parts, F.lit(0))))
     day = F.try_to_date(iso, "yyyy-MM-dd")
     moved = F.date_add(F.lit(FROM_DAY).cast("date"), feistel_number(F.datediff(day, F.lit(FROM_DAY).cast("date")).cast("long"), DAYS_A, DAYS_B, key, "date").cast("int"))
-    y, m, d = F.date_format(moved, "yyyy"), F.date_format(moved, "MM"), F.date_format(moved, "dd")
-    date = F.when(day.isNull(), x).when(first, F.concat(y, shape, m, shape, d)).otherwise(F.concat(d, shape, m, shape, y))
+
+    def dated(v: Column) -> Column:
+        y, m, d = F.date_format(v, "yyyy"), F.date_format(v, "MM"), F.date_format(v, "dd")
+        return F.when(first, F.concat(y, shape, m, shape, d)).otherwise(F.concat(d, shape, m, shape, y))
+
+    date = F.when(day.isNull(), x).otherwise(let(moved, dated))
 
     # Areas 001 to 899 without 666, groups 01 to 99, serials 0001 to 9999.
     area = F.substring(digits, 1, 3).cast("long")
     rest = (F.substring(digits, 4, 2).cast("long") - 1) * 9999 + F.substring(digits, 6, 4).cast("long") - 1
-    n = feistel_number((area - 1 - (area > 666).cast("long")) * (99 * 9999) + rest, 898, 99 * 9999, key, "ssn")
-    new_area, new_rest = F.floor(n / (99 * 9999)), F.pmod(n, F.lit(99 * 9999).cast("long"))
-    new_area = new_area + 1 + (new_area >= 665).cast("long")
-    ssn = F.concat_ws("-", F.lpad(new_area.cast("string"), 3, "0"), F.lpad((F.floor(new_rest / 9999) + 1).cast("string"), 2, "0"), F.lpad((F.pmod(new_rest, F.lit(9999).cast("long")) + 1).cast("string"), 4, "0"))
+
+    def written(n: Column) -> Column:
+        new_area, new_rest = F.floor(n / (99 * 9999)), F.pmod(n, F.lit(99 * 9999).cast("long"))
+        new_area = new_area + 1 + (new_area >= 665).cast("long")
+        return F.concat_ws("-", F.lpad(new_area.cast("string"), 3, "0"), F.lpad((F.floor(new_rest / 9999) + 1).cast("string"), 2, "0"), F.lpad((F.pmod(new_rest, F.lit(9999).cast("long")) + 1).cast("string"), 4, "0"))
+
+    ssn = let(feistel_number((area - 1 - (area > 666).cast("long")) * (99 * 9999) + rest, 898, 99 * 9999, key, "ssn"), written)
 
     # The last ten digits; a country code stays.
     phone = written_like(feistel_string(F.right(digits, F.lit(10)), [DIGITS], key, "phone"), x, F.length(digits) - 10)
 
     octets = F.split(x, "[.]")
     word = F.aggregate(octets, F.lit(0).cast("long"), lambda s, o: s * 256 + o.cast("long"))
-    moved_word = feistel_number(word, 65536, 65536, key, "ip")
-    ip = F.array_join(F.transform(F.array(*[F.lit(k) for k in (24, 16, 8, 0)]), lambda k: F.pmod(F.floor(moved_word / F.pow(F.lit(2), k)).cast("long"), F.lit(256).cast("long")).cast("string")), ".")
+    octet = lambda v, k: F.pmod(F.floor(v / 2**k).cast("long"), F.lit(256).cast("long")).cast("string")
+    ip = let(feistel_number(word, 65536, 65536, key, "ip"), lambda v: F.concat_ws(".", *[octet(v, k) for k in (24, 16, 8, 0)]))
+
+    def account(d: Column) -> Column:
+        body = feistel_string(F.substr(d, F.lit(1), F.length(d) - 1), [DIGITS], key, "number")
+        checked = let(body, lambda b: F.concat(b, F.pmod(-luhn_sum(b, False), F.lit(10)).cast("string")))
+        return F.when(luhn_sum(d, True) % 10 == 0, checked).otherwise(feistel_string(d, [DIGITS], key, "account"))
 
-    body = feistel_string(F.substr(digits, F.lit(1), F.length(digits) - 1), [DIGITS], key, "number")
-    checked = F.concat(body, F.pmod(-luhn_sum(body, False), F.lit(10)).cast("string"))
-    luhn = luhn_sum(digits, True) % 10 == 0
-    plain = feistel_string(digits, [DIGITS], key, "account")
-    number = written_like(F.when(luhn, checked).otherwise(plain), x)
+    number = written_like(let(digits, account), x)
 
     made = {"email": email, "secret": secret, "date": date, "ssn": ssn, "phone": phone, "ip": ip, "number": number}
-    whole = {k: x.rlike("^(?:" + p + ")$") for k, p in kinds.items()}
-    kind, value = F.lit("none"), x
-    for k, _ in reversed(KINDS):
-        kind, value = F.when(whole[k], F.lit(k)).otherwise(kind), F.when(whole[k], made[k]).otherwise(value)
-    return F.struct(kind.alias("kind"), value.alias("value"))
+    kind = F.lit("none")
+    for k, p in reversed(KINDS):
+        kind = F.when(x.rlike("^(?:" + p + ")$"), F.lit(k)).otherwise(kind)
+
+    def of_kind(k: Column) -> Column:
+        value = x
+        for name, column in made.items():
+            value = F.when(k == name, column).otherwise(value)
+        return F.struct(k.alias("kind"), value.alias("value"))
+
+    return let(kind, of_kind)
 
 
 def pseudonymize(docs: DataFrame, key: str | None = None) -> DataFrame:
     """docs with text replaced and pii, an array of struct(kind, value) of the pseudonyms in order."""
     secret = F.lit(key or docs.sparkSession.conf.get("textmill.pii.key", DEFAULT_KEY))
     pattern = F.lit(patterns()[0])
-    # Finds are made once, of texts that can have any; gaps are what stands between them.
-    has = F.col("text").rlike(HINT)
-    found = docs.withColumn("_finds", F.when(has, F.regexp_extract_all("text", pattern, F.lit(0))).otherwise(F.expr("cast(array() as array<string>)")))
-    found = found.withColumn("pii", F.transform("_finds", lambda x: pseudonym(x, secret)))
-    gaps = F.split("text", patterns()[0], -1)
-    text = F.when(F.size("_finds") > 0, F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get("pii", i)["value"], F.lit("")))), "")).otherwise(F.col("text"))
-    return found.withColumn("text", text).withColumn("pii", F.coalesce("pii", F.expr("cast(array() as array<struct<kind:string,value:string>>)"))).drop("_finds")
+    nothing = F.expr("cast(array() as array<string>)")
+    finds = F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", pattern, F.lit(0))).otherwise(nothing)
+
+    def replaced(made: Column) -> Column:
+        """The gaps between the finds with the pseudonyms put in."""
+        gaps = F.split("text", patterns()[0], -1)
+        text = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(made, i)["value"], F.lit("")))), "")
+        return F.struct(F.when(F.size(made) > 0, text).otherwise(F.col("text")).alias("text"), made.alias("pii"))
+
+    # One row from each, by a generator, which the optimizer doesn't merge with what uses its columns: all is computed once.
+    out = let(F.transform(finds, lambda x: pseudonym(x, secret)), replaced)
+    empty = F.expr("cast(array() as array<struct<kind:string,value:string>>)")
+    rest = [c for c in docs.columns if c not in ("text", "pii")]
+    d = docs.select(*[F.col(f"`{c}`") for c in rest], F.explode(F.array(out)).alias("_p"))
+    return d.select(*[F.col(f"`{c}`") for c in rest], F.col("_p.text").alias("text"), F.coalesce("_p.pii", empty).alias("pii"))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
