@@ -87,27 +87,29 @@ def recorder_stream(log: DataFrame, instance: str, ring: int = RING) -> DataFram
 
 
 def job_stream(events: DataFrame) -> DataFrame:
-    """events(job_id, at_us, state, timeout_ms) -> job_id, at_us, state: each change of a job's state. The first terminal event wins; a job without one past its timeout times out."""
+    """events(job_id, at_us, state, timeout_ms) -> job_id, at_us, state: each change of a job's state.
+
+    The first terminal event wins. A job past its timeout times out at its deadline, which the next event of the
+    job shows (a row with state `tick` does nothing else), so a result depends on the events alone.
+    """
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, out = state.get[0] if state.exists else None, []
-        if state.hasTimedOut:
-            if now not in ENDED:
-                out.append((k[0], None, "timed_out"))
+        now, deadline = state.get if state.exists else (None, None)
+        out = []
+        for r in _in_order(frames, ["at_us"]).itertuples():
+            if now not in ENDED and deadline is not None and r.at_us >= deadline:
                 now = "timed_out"
-            state.update((now,))
-        else:
-            for r in _in_order(frames, ["at_us"]).itertuples():
-                if now in ENDED or r.state == now:
-                    continue
-                now = r.state
-                out.append((k[0], r.at_us, now))
-                if now not in ENDED and r.timeout_ms and r.timeout_ms > 0:
-                    state.setTimeoutDuration(int(r.timeout_ms))
-            state.update((now,))
-        yield pd.DataFrame(out, columns=["job_id", "at_us", "state"]).astype({"at_us": "Int64"})
-
-    return events.groupBy("job_id").applyInPandasWithState(run, "job_id long, at_us long, state string", "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+                out.append((k[0], deadline, now))
+            if r.state == "tick" or now in ENDED or r.state == now:
+                continue
+            now = r.state
+            out.append((k[0], r.at_us, now))
+            if r.timeout_ms and r.timeout_ms > 0:
+                deadline = r.at_us + int(r.timeout_ms) * 1000
+        state.update((now, deadline))
+        yield pd.DataFrame(out, columns=["job_id", "at_us", "state"])
+
+    return events.groupBy("job_id").applyInPandasWithState(run, "job_id long, at_us long, state string", "state string, deadline long", "append", GroupStateTimeout.NoTimeout)
 
 
 def windowed_events(events: DataFrame, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:
