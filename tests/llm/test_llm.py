@@ -1,0 +1,512 @@
+"""The training-data operators against brute force on small tables, and the odd rows each has to bear."""
+
+import hashlib
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from textmill.llm import common, decontaminate, html, langid, licenses, mixing, pii, simhash, spotsigs, suffixes, toxicity
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+PROSE = "the quick brown fox jumps over a lazy dog and then it rests in the shade of an old oak near the river bank "
+
+
+def rows(texts, ids=None, source="s", lang="en"):
+    return [(i, t, lang, source, None if t is None else len(t), "x") for i, t in zip(ids or range(len(texts)), texts, strict=True)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty, repeated and long rows, a null id, ties, and a column that no operator expects."""
+    r = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (4, "one"), (4, "two words"), (None, "no id"), (None, None), (6, PROSE * 2000), (7, PROSE * 3), (8, PROSE * 3), (9, "日本語 だけ"), (10, "!!! ???")]
+    d = spark.createDataFrame([(i, t, None if i == 7 else "en", None if i in (2, 7) else "s", None, "x") for i, t in r], SCHEMA)
+    return d.withColumnRenamed("extra", "score").withColumn("h", F.lit("clash")).withColumn("fp", F.lit(1))
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+# SimHash
+
+
+def plain_fingerprint(text):
+    t = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = WORD.findall(t)
+    shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
+
+
+def plain_components(prints):
+    up = {i: i for i, _ in prints}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in prints:
+        for j, b in prints:
+            if (a ^ b).bit_count() <= 3:
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    return {i: root(i) for i, _ in prints}
+
+
+def test_simhash(docs, texts):
+    got = {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in simhash.near_duplicate_classes(docs).collect()}
+    prints = [(i, plain_fingerprint(t)) for i, t in texts.items()]
+    wanted = plain_components(prints)
+    assert got == {i: (f, wanted[i]) for i, f in prints}
+
+
+def test_simhash_links_within_three_bits(spark):
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    flips = [(int(b), [int(b) ^ sum(1 << int(k) for k in rng.choice(64, n, replace=False)) for n in (1, 3, 4)]) for b in base]
+    prints = sorted({x for b, f in flips for x in (b, *f)})
+    d = spark.createDataFrame([(i, x - (1 << 64) if x >> 63 else x) for i, x in enumerate(prints)], "doc_id long, fp long")
+    for tile in (2048, 2):
+        t = simhash.tiles(simhash.postings(d.select("fp")), tile)
+        t = t.repartition("g", "bytes", "i", "j").sortWithinPartitions("g", "bytes", "i", "j")
+        links = common.components(t.mapInPandas(simhash._links, "a long, b long"))
+        roots = {r.node: r.root for r in links.collect()}
+        wanted = plain_components(list(enumerate(prints)))
+        signed = [x - (1 << 64) if x >> 63 else x for x in prints]
+        for i, a in enumerate(signed):
+            for j in range(i):
+                assert (roots.get(a, a) == roots.get(signed[j], signed[j])) == (wanted[i] == wanted[j])
+
+
+def test_simhash_odd(odd, empty):
+    got = simhash.near_duplicate_classes(odd).collect()
+    assert len(got) == odd.count()
+    assert {r.fingerprint for r in got if r.doc_id in (1, 2, 3)} == {"0" * 16} and {r.component_id for r in got if r.doc_id in (1, 2, 3)} == {1}
+    kept = simhash.near_deduplicate(odd)
+    assert kept.columns == odd.columns
+    ids = Counter(r.doc_id for r in kept.collect())
+    assert ids[6] == 1 and 7 not in ids and 8 not in ids and ids[1] == 1 and 2 not in ids and max(ids.values()) <= 2
+    assert simhash.near_duplicate_classes(empty).count() == 0 and simhash.near_deduplicate(empty).count() == 0
+
+
+def test_components_of_long_paths(spark):
+    edges = [(i, i + 1) for i in range(0, 200)] + [(500 + i, 500) for i in range(1, 30)]
+    got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(201)} | {500 + i: 500 for i in range(30)}
+    assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# SpotSigs
+
+
+def plain_signatures(text):
+    tokens = re.findall(r"[^\W_]+|(?:[\W_]*[^\w ][\W_]*|_)", text.lower())
+    anchors = set(spotsigs.ANCHORS)
+    content = [t for t in tokens if re.match(r"[^\W_]", t) and t not in anchors]
+    out, n = {" ".join(content[:3])} if content else set(), 0
+    for t in tokens:
+        if t in anchors or not re.match(r"[^\W_]", t):
+            if n < len(content):
+                out.add(" ".join(content[n : n + 3]))
+        else:
+            n += 1
+    return out or {text}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_spotsigs(docs, texts):
+    got = {r.doc_id: r for r in spotsigs.fingerprint_edits(docs).collect()}
+    order = sorted(texts, reverse=True)
+    for k, i in enumerate(order):
+        t, after = texts[i], texts[order[(k + 1) % len(order)]]
+        n = len(t) // 3
+        edited = t[: len(t) - n] + after[:n]
+        a, b, c = map(plain_signatures, (t, edited, after))
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert r.near_edited == pytest.approx(jaccard(a, b)) and r.near_next == pytest.approx(jaccard(a, c))
+        assert r.fingerprint.startswith(f"{len(a)}-")
+
+
+def test_spotsigs_near_duplicates(docs, texts):
+    classes, pairs = spotsigs.near_duplicates(docs)
+    sigs = {i: plain_signatures(t) for i, t in texts.items()}
+    class_of = {r.doc_id: r.class_id for r in classes.collect()}
+    assert class_of == {i: min(j for j in sigs if sigs[j] == sigs[i]) for i in sigs}
+    reps = sorted(set(class_of.values()))
+    wanted = {(a, b) for a in reps for b in reps if a < b and jaccard(sigs[a], sigs[b]) >= 0.8}
+    assert {(r.a, r.b) for r in pairs.collect()} == wanted and wanted
+
+
+def test_spotsigs_odd(odd, empty, spark):
+    got = spotsigs.fingerprint_edits(odd).collect()
+    assert len(got) == odd.count() and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    assert len({r.fingerprint for r in got if r.doc_id in (1, 2)}) == 1
+    assert len({r.fingerprint for r in got if r.doc_id in (7, 8)}) == 1
+    assert spotsigs.fingerprint_edits(empty).count() == 0
+    single = spotsigs.fingerprint_edits(spark.createDataFrame(rows(["alone in the world"]), SCHEMA)).first()
+    assert single.near_next == 1.0
+
+
+# Repeats
+
+
+def plain_removal(pairs, length=suffixes.LENGTH):
+    seen, out = set(), {}
+    for key, text in pairs:
+        b = (text or "").encode()
+        cover = bytearray(len(b))
+        for p in range(len(b) - length + 1):
+            w = b[p : p + length]
+            if w in seen:
+                cover[p : p + length] = b"\1" * length
+            seen.add(w)
+        kept = bytes(x for x, c in zip(b, cover, strict=True) if not c)
+        spans = sum(1 for i, c in enumerate(cover) if c and (i == 0 or not cover[i - 1]))
+        out[key] = (len(b), len(b) - len(kept), spans, kept)
+    return out
+
+
+def check_removal(d, texts):
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.remove_repeats(d).collect()}
+    assert got == plain_removal(sorted(texts.items()))
+
+
+def test_repeats(docs, texts):
+    check_removal(docs, texts)
+
+
+def test_repeats_of_all_kinds(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(chr(97 + k) for k in rng.integers(0, 4, 3))
+    base = [" ".join(word() for _ in range(80)) for _ in range(6)]
+    t = [base[0], base[1] + base[0][50:151], base[0][:99], base[0][:100], "x" * 300, "x" * 99, "x" * 101, "é" * 120, base[2] + base[2], base[3][:150] + "#" + base[3][151:], base[3], "ab" * 200, "", base[4][10:140] + base[5] + base[4][100:260], base[4], base[5][5:]]
+    t += [b[k : k + 130] + word() + b[k + 60 :] for b in base for k in (3, 41)]
+    check_removal(spark.createDataFrame(rows(t), SCHEMA), dict(enumerate(t)))
+
+
+def test_repeats_odd(odd, empty):
+    got = suffixes.remove_repeats(odd).collect()
+    assert len(got) == odd.count()
+    by = {r.doc_id: r for r in got}
+    assert by[1].n_bytes == by[2].n_bytes == 0 and by[8].n_removed == by[8].n_bytes and by[6].n_removed > 0.9 * by[6].n_bytes
+    assert suffixes.remove_repeats(empty).count() == 0
+
+
+def test_merged_transform_is_the_order_of_suffixes():
+    rng = np.random.default_rng(2)
+    strings = [bytes(rng.integers(97, 99, n).tolist()) for n in (120, 130, 101, 100, 140, 110)]
+    strings += [strings[0][5:] + b"zz", strings[1][:105]]
+    interval, string, place = suffixes.repeated_intervals(strings)
+    found = {}
+    for i, s, p in zip(interval.tolist(), string.tolist(), place.tolist(), strict=True):
+        found.setdefault(i, set()).add((s, p))
+    wanted = {}
+    for s, text in enumerate(strings):
+        for p in range(len(text) - 99):
+            wanted.setdefault(text[p : p + 100], set()).add((s, p))
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, (v for v in wanted.values() if len(v) > 1)))
+
+
+# Mixing
+
+
+def test_mixing_targets_and_limits(docs, texts):
+    got = mixing.mix_documents(docs).collect()
+    source = {r.doc_id: r.source for r in docs.collect()}
+    size = {i: len(WORD.findall(t)) for i, t in texts.items()}
+    total = Counter()
+    for i, n in size.items():
+        total[source[i]] += n
+    left, names = float(sum(total.values())), sorted(total)
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    target, open_ = dict.fromkeys(names, 0.0), set(names)
+    while open_ and left > 1e-6:
+        w = sum(weight[s] for s in open_)
+        for s in open_:
+            target[s] += left * weight[s] / w
+        left = sum(max(0.0, target[s] - 3 * total[s]) for s in open_)
+        target = {s: min(x, 3.0 * total[s]) for s, x in target.items()}
+        open_ = {s for s in open_ if target[s] < 3 * total[s]}
+    taken = Counter()
+    for r in got:
+        assert r.size == size[r.doc_id] and r.source_size == total[r.source] and r.taken <= 3 * r.size
+        assert r.target == pytest.approx(target[r.source])
+        taken[r.source] += r.taken
+    for s in names:
+        assert abs(taken[s] - target[s]) <= 0.05 * target[s] + mixing.BLOCK
+
+
+def test_mixed_blocks_agree_with_the_plan(docs, texts):
+    plan = {r.doc_id: r.taken for r in mixing.mix_documents(docs).collect()}
+    blocks = mixing.mixed_blocks(docs).collect()
+    assert len({(r.shard, r.slot) for r in blocks}) == len(blocks) and max(r.shard * mixing.SHARD + r.slot for r in blocks) == len(blocks) - 1
+    assert all(len(WORD.findall(r.text)) == r.n_words <= mixing.BLOCK for r in blocks)
+    assert sum(r.n_words for r in blocks) == sum(plan.values())
+    assert {i for r in blocks for i in r.doc_ids} == {i for i, n in plan.items() if n}
+    again = {(r.shard, r.slot, r.text) for r in mixing.mixed_blocks(docs.repartition(3)).collect()}
+    assert again == {(r.shard, r.slot, r.text) for r in blocks}
+
+
+def test_permutation(spark):
+    for n in (1, 2, 7, 64, 1000):
+        got = sorted(r[0] for r in spark.range(n).select(mixing.permute(F.col("id"), F.lit(n).cast("long"), F.lit(5).cast("long"))).collect())
+        assert got == list(range(n))
+
+
+def test_mixing_odd(odd, empty):
+    got = mixing.mix_documents(odd).collect()
+    assert len(got) == odd.count() and all(r.taken <= 3 * r.size for r in got)
+    assert {r.taken for r in got if r.size == 0} == {0}
+    assert mixing.mix_documents(empty).count() == 0 and mixing.mixed_blocks(empty).count() == 0
+    assert mixing.mixed_blocks(odd).count() > 0
+
+
+# HTML
+
+
+@pytest.mark.parametrize(
+    ("page", "wanted"),
+    [
+        (None, ""),
+        ("", ""),
+        ("<html><body><nav><a href=x>Home</a></nav></body></html>", ""),
+        ("<body><article><h1>Title</h1><p>One &amp; two.<br>Three.<p>Four, five, six.</article><footer>&copy; x</footer>", "Title\n\nOne & two. Three.\n\nFour, five, six."),
+        ("<body><div class='sidebar'>Links</div><main><p>A long paragraph, with some words.</p><div class=comments><p>First!</p></div><p>End of it, at last.</p></main></body>", "A long paragraph, with some words.\n\nEnd of it, at last."),
+        ("<body><header>Site</header><div id=content><p>Some text, that goes on.</p><p>Ok.</p><ul><li>One item, long enough.</li></ul></div><div class='cookie-notice'>We use cookies.</div></body>", "Some text, that goes on.\n\nOk.\n\nOne item, long enough."),
+        ("<p>Cut off in a <b>tag, here</b> it goes <a hre", "Cut off in a tag, here it goes"),
+        ("<article><p>x<script>var a='</p>';</script>y</p><style>p{}</style><form>Search</form><p> a\n\t b </p></article>", "x y\n\na b"),
+    ],
+)
+def test_html(page, wanted):
+    assert html.main_text(page) == wanted
+
+
+def test_html_of_the_sample(spark, sf):
+    import html as entities
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    source = {r.page_id: r.html for r in pages.collect()}
+    for r in html.extract_pages(pages.withColumn("text", F.lit("clash"))).collect():
+        body = source[r.page_id].split("<article>")[1].split("</article>")[0].split("<footer")[0]
+        parts = [re.sub(r"\s+", " ", entities.unescape(re.sub(r"<[^>]*>?", " ", re.sub("</?b>", "", x)))).strip() for x in re.split("</?(?:p|h1)>", body)]
+        assert r.text == "\n\n".join(x for x in parts if x) and r.n_chars == len(r.text)
+    assert html.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+# Licenses
+
+
+def test_licenses(docs, texts):
+    phrases = [(label, words.split()) for label, words in licenses.PHRASES]
+    for r in licenses.scan_licenses(docs).collect():
+        w = re.findall(licenses.WORD, texts[r.doc_id].lower())
+        at = [(k, label) for label, p in phrases for k in range(len(w)) if w[k : k + len(p)] == p]
+        starts = [k for k, _ in at]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(at), min(starts, default=None), max(starts, default=None))
+        assert r.base_labels == ",".join(sorted({label for _, label in at})) and {*r.base_labels.split(","), ""} <= {*r.labels.split(","), ""}
+
+
+def test_license_templates_bear_edits(spark):
+    words = licenses.TEMPLATES[3][1].split()
+    t = [" ".join(words), " ".join(words[:9] + ["oddly"] + words[9:]), " ".join(words[:9] + words[10:]), " ".join(words[:6]), "ALL rights-reserved. CC-BY, cc by cc by"]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows(t), SCHEMA)).collect()}
+    assert [got[i].labels for i in range(4)] == ["mit", "mit", "mit", ""]
+    assert (got[4].n_base, got[4].base_labels, got[4].first_word, got[4].last_word) == (4, "cc-by,reserved", 0, 7)
+
+
+def test_licenses_odd(odd, empty):
+    got = licenses.scan_licenses(odd).collect()
+    assert len(got) == odd.count() and {r.n_words for r in got if r.doc_id in (1, 2, 3)} == {0}
+    assert licenses.scan_licenses(empty).count() == 0
+
+
+# PII
+
+
+def test_pii(spark):
+    t = ["Mail jo.do@mail.example.com or +1 (212) 555-0199, card 4111 1111 1111 1111, also 4111111111111111.", "ip 10.0.0.255, not 10.0.0.256; born 1990-02-28 or 28.02.1990, not 1990-13-01; 123-45-6789", "jo.do@mail.example.com", "version 2.0 of 1999, a 404 and 12:30", None, ""]
+    got = pii.pseudonymize(spark.createDataFrame(rows(t), SCHEMA)).orderBy("doc_id").collect()
+    out = [r.text for r in got]
+    assert [p.kind for p in got[0].pii] == ["email", "phone", "number", "number"] and [p.kind for p in got[1].pii] == ["ip", "date", "date", "ssn"]
+    assert got[0].pii[0].value == out[2] and out[3:] == t[3:] and got[4].pii == []
+    one, two = (re.sub(r"\D", "", p.value) for p in got[0].pii[2:])
+    luhn = sum(sum(divmod(int(d) * (1 + k % 2), 10)) for k, d in enumerate(reversed(one)))
+    assert one == two != "4111111111111111" and luhn % 10 == 0 and " " in got[0].pii[2].value
+    iso, local = got[1].pii[1].value, got[1].pii[2].value
+    assert iso.split("-") == local.split(".")[::-1] and "10.0.0.256" in out[1] and "1990-13-01" in out[1]
+
+
+def test_pii_is_a_permutation(spark):
+    d = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("10.0."), F.floor(F.col("id") / 200).cast("string"), F.lit("."), (F.col("id") % 200).cast("string")).alias("text"))
+    assert pii.pseudonymize(d).select("text").distinct().count() == 2000
+    days = spark.range(1500).select(F.col("id").alias("doc_id"), F.date_add(F.lit("1998-01-01").cast("date"), F.col("id").cast("int")).cast("string").alias("text"))
+    moved = [r.text for r in pii.pseudonymize(days).collect()]
+    assert len(set(moved)) == 1500 and all(re.fullmatch(r"\d{4}-\d\d-\d\d", x) for x in moved)
+    assert pii.pseudonymize(days, "k2").select("text").first() != pii.pseudonymize(days, "k1").select("text").first()
+
+
+def test_pii_odd(odd, empty):
+    got = pii.pseudonymize(odd)
+    assert set(odd.columns) < set(got.columns) and got.count() == odd.count() and got.where("doc_id = 1").first().text is None
+    assert pii.pseudonymize(empty).count() == 0
+
+
+# Decontamination
+
+
+def test_wand_finds_what_scanning_finds(spark, sf):
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    (index,) = decontaminate.indexes(items)
+    sample = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    sample += [r.text for r in items.collect()]
+    for text in sample:
+        words, _ = decontaminate.hashed_words([text])
+        terms = sorted(set(index.find(words[:128])[1].tolist()))
+        scores = Counter()
+        for t in terms:
+            for k, x in zip(index.items[t].tolist(), index.impacts[t].tolist(), strict=True):
+                scores[k] += x
+        for bar in (0.05, 0.3, 0.6):
+            assert dict(index.wand(terms, bar)).keys() == {k for k, x in scores.items() if x >= bar - 1e-9}
+
+
+def test_decontamination(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(chr(97 + k) for k in rng.integers(0, 26, 5))
+    items = [" ".join(word() for _ in range(n)) for n in (30, 8, 45, 3)]
+    fill = [" ".join(word() for _ in range(300)) for _ in range(6)]
+    half = items[2].split()
+    t = [fill[0] + " " + items[0] + " " + fill[1], items[1].upper(), fill[2], fill[3] + " " + " ".join(half[:15]), "x " + ", ".join(half[:20] + ["odd"] + half[21:]) + " y", None, "", items[3], " ".join(reversed(half))]
+    b = spark.createDataFrame([*enumerate(items), (0, items[0]), (9, None), (10, ""), (None, items[1])], "item_id long, text string")
+    d = spark.createDataFrame(rows(t), SCHEMA)
+    wanted = {(0, 0), (1, 1), (4, 2), (7, 3)}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, b).collect()} == wanted
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, b, per_block=2).collect()} == wanted
+    assert {r.doc_id for r in decontaminate.drop_contaminated(d, b).collect()} == {2, 3, 5, 6, 8}
+
+
+def test_decontamination_odd(odd, empty, spark):
+    b = spark.createDataFrame([(1, PROSE)], "item_id long, text string")
+    got = decontaminate.contaminated(odd, b).collect()
+    assert {r.doc_id for r in got} == {6, 7, 8}
+    assert decontaminate.drop_contaminated(odd, b.limit(0)).count() == odd.count() and decontaminate.contaminated(empty, b).count() == 0
+
+
+# Language
+
+
+def test_language_held_out(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    test = langid.held_out(F.col("doc_id"), 5, 0)
+    got = langid.identify(docs, langid.fit(docs.where(~test))).where(test).collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(got)
+
+
+def test_language_spans_and_scripts(spark):
+    t = {"en": "the cat and the dog were in the house with this man ", "de": "der hund und die katze sind nicht auf dem haus mit ", "ru": "это не мой дом и не твоя собака но они там были "}
+    model = langid.fit(spark.createDataFrame([(x, k) for k, x in t.items() for _ in range(3)], "text string, lang string"))
+    text = t["en"] * 3 + t["de"] * 3 + t["ru"]
+    spans = langid.spans_of(model, text)
+    assert [s[2] for s in spans] == ["en", "de", "ru"] and text[spans[2][0] :].startswith("это")
+    scores = np.random.default_rng(1).normal(size=(9, 3)).astype(np.float32)
+    got = langid.viterbi(scores, np.array([0, 4, 4, 9]), 0.7)
+    for lo, hi in ((0, 4), (4, 9)):
+        paths = np.array(np.meshgrid(*[range(3)] * (hi - lo), indexing="ij")).reshape(hi - lo, -1).T
+        value = [scores[np.arange(lo, hi), p].sum() - 0.7 * (np.diff(p) != 0).sum() for p in paths]
+        assert scores[np.arange(lo, hi), got[lo:hi]].sum() - 0.7 * (np.diff(got[lo:hi]) != 0).sum() == pytest.approx(max(value), abs=1e-4)
+
+
+def test_language_odd(odd, empty):
+    model = langid.fit(odd)
+    got = langid.identify(odd, model).collect()
+    assert len(got) == odd.count() and {r.lang_pred for r in got if r.doc_id in (1, 2, 3, 10)} == {"und"}
+    assert langid.fit(empty) is None and langid.identify(odd, None).where("lang_pred <> 'und'").count() == 0
+    assert langid.identify(empty, model).count() == 0 and langid.keep_identified(odd, model).columns == [c for c in odd.columns if c != "score"]
+
+
+# Toxicity
+
+
+def test_chain_marginals_are_those_of_all_paths():
+    rng = np.random.default_rng(7)
+    chain = toxicity.Chain(0)
+    chain.steps = rng.normal(size=(2, 2))
+    e, first = rng.normal(size=11), np.array([0, 5, 5, 6, 11])
+    got = chain.marginals(e, first)[0]
+    for lo, hi in zip(first[:-1], first[1:], strict=True):
+        n = hi - lo
+        total, ones = 0.0, np.zeros(n)
+        for k in range(1 << n):
+            y = np.array([k >> i & 1 for i in range(n)])
+            w = np.exp(e[lo:hi] @ y + sum(chain.steps[a, b] for a, b in zip(y[:-1], y[1:], strict=True)))
+            total, ones = total + w, ones + w * y
+        if n:
+            assert got[lo:hi] == pytest.approx(ones / total)
+
+
+def test_toxicity_learns_words(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(chr(97 + k) for k in rng.integers(0, 8, 4))
+    t, y = [], []
+    for k in range(400):
+        w = [word() for _ in range(40)]
+        if k % 5 == 0:
+            w[7], w[20] = "grobian", "grünfink" + word()
+        t.append(" ".join(w))
+        y.append(int(k % 5 == 0))
+    d = spark.createDataFrame([(i, x, z) for i, (x, z) in enumerate(zip(t, y, strict=True))], "doc_id long, text string, toxic int")
+    model = toxicity.fit(d)
+    got = {r.doc_id: r for r in toxicity.score_toxicity(d, model).collect()}
+    assert all((got[i].score >= 0.3) == bool(z) for i, z in enumerate(y))
+    spans = [t[0][s.start : s.stop] for s in got[0].spans]
+    assert spans[0] == "grobian" and spans[1].startswith("grünfink")
+
+
+def test_toxicity_odd(odd, empty, spark):
+    labelled = spark.createDataFrame([(f"bad{k % 2} words here", k % 2) for k in range(200)], "text string, toxic int")
+    model = toxicity.fit(labelled)
+    got = toxicity.score_toxicity(odd, model).collect()
+    assert len(got) == odd.count() and all(0 <= r.score <= 1 for r in got)
+    assert toxicity.fit(labelled.where("toxic = 0")) is None and toxicity.fit(labelled.limit(0)) is None
+    assert toxicity.score_toxicity(odd, None).agg(F.max("score")).first()[0] == 0.0 and toxicity.score_toxicity(empty, model).count() == 0
+
+
+# Pipeline
+
+
+def test_pipeline(spark, sf):
+    import corpus_pipeline
+
+    docs, columns = spark.read.parquet(f"{sf}/documents.parquet"), corpus_pipeline.COLUMNS
+    before = docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.stage_table(stage(spark, docs, sf), "test")
+        assert docs.columns == columns, name
+        assert 0 < docs.count() <= before
+        before = docs.count()
+    prints = [plain_fingerprint(r.text) for r in docs.collect()]
+    assert sum((a ^ b).bit_count() <= 3 for i, a in enumerate(prints) for b in prints[:i]) <= 2  # pseudonyms may bring texts closer
+    items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    assert not any(x in r.text for r in docs.collect() for x in items)
+    blocks = corpus_pipeline.run(spark, sf)
+    assert {i for r in blocks.select("doc_ids").collect() for i in r[0]} <= {r.doc_id for r in docs.collect()}

@@ -134,7 +134,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc, shift = np.array([k for k, _, _ in parts])[d], np.array([s for _, s, _ in parts])[d]
             c = t.hash(lo, hi) ^ mix((a - lo).astype(np.uint64) + np.uint64(7))
             cols.append((t.hash(a, a + GRAM), c, doc, a - t.base[d] + shift, hi - a, far * 128 + near))
-        if not cols:
+        if not sum(len(x[0]) for x in cols):
             continue
         h, c, doc, pos, right, own = (np.concatenate(x) for x in zip(*cols, strict=True))
         did, th = dids[doc], ths[doc]
