@@ -20,6 +20,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textmill.llm.common import let
+
 #: The key if neither the caller nor the session (textmill.pii.key) names one. Use a secret one in production.
 DEFAULT_KEY = "textmill-development-key"
 ROUNDS = 8
@@ -51,11 +53,6 @@ def patterns() -> tuple[str, dict[str, str]]:
     return "|".join(joined), dict(KINDS)
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with the value computed once; in a lambda an expression is computed for each element that it is used for."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _hash(key: Column, what: str, i: Column, other: Column) -> Column:
     return F.sha2(F.concat_ws("|", key, F.lit(what), i.cast("string"), other.cast("string")), 512)
 

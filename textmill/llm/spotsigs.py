@@ -23,6 +23,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textmill.llm.common import let
+
 #: Common words of English, German, French and Spanish. Fixed values.
 ANCHORS = (
     "a an and are as at be by for from in is it of on or that the this to was were with "
@@ -47,7 +49,7 @@ def signatures(text: Column, chain: int = CHAIN) -> Column:
     pattern = f"{MARK}(?=((?:(?: {MARK})? +[^ {MARK}]+){{1,{chain}}}))"
     found = F.regexp_extract_all(marked(text), F.lit(pattern), F.lit(1))
     hashes = F.array_distinct(F.transform(found, lambda m: F.xxhash64(F.regexp_replace(m, f"[ {MARK}]+", " "))))
-    return F.when(F.size(hashes) > 0, hashes).otherwise(F.array(F.xxhash64(text)))
+    return let(hashes, lambda h: F.when(F.size(h) > 0, h).otherwise(F.array(F.xxhash64(text))))
 
 
 def fingerprint(sigs: Column) -> Column:
@@ -88,7 +90,9 @@ def with_next(docs: DataFrame, **columns: Column) -> DataFrame:
     parts = max(1, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.withColumn("bucket", bucket_of(F.col("doc_id"), bounds(docs.select("doc_id"), parts)))
     w = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), "text")
-    d = docs.withColumns({"rn": F.row_number().over(w), "next_text": F.lead("text").over(w)}).withColumns(columns)
+    d = docs.withColumns({"rn": F.row_number().over(w), "next_text": F.lead("text").over(w)})
+    for name, column in columns.items():
+        d = d.select("*", F.explode(F.array(column)).alias(name))
     firsts = d.where("rn = 1").select(F.col("bucket").alias("of"), F.col("text").alias("first_text"), *[F.col(c).alias(f"first_{c}") for c in columns])
     # One number per range: which range follows.
     ranges = docs.select("bucket").distinct()
@@ -107,7 +111,9 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     d = with_next(d, sigs=signatures(F.col("text")))
     k = F.floor(F.length("text") / 3).cast("int")
     d = d.withColumn("edited", F.concat(F.substr("text", F.lit(1), F.length("text") - k), F.substr("next_text", F.lit(1), k)))
-    d = d.withColumn("edited_sigs", signatures(F.col("edited")))
+    # A generator of one row: what uses the set below shares it instead of computing it again.
+    kept = ["doc_id", "text", "edited", "sigs", "next_sigs"]
+    d = d.select(*kept, F.explode(F.array(signatures(F.col("edited")))).alias("edited_sigs"))
     return d.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint(F.col("sigs")).alias("fingerprint"), fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
