@@ -105,6 +105,25 @@ def pretoken_count(text: str | None) -> int:
     return sum(1 for _ in _pretoken().finditer(text or ""))
 
 
+_SEPARATOR, _PIPED = re.compile(r"^\s*\|(\s*[-:]+\s*\|){2,}\s*$"), re.compile(r"^(\s*)\|")
+
+
+def escape_pipes(text: str | None) -> str | None:
+    """Text with the first | of a row escaped unless the row is part of a table: a separator, the row above it, or the rows with | right below."""
+    if text is None or "|" not in text:
+        return text
+    rows, inside, out = text.split("\n"), False, []
+    for k, row in enumerate(rows):
+        inside = bool(_SEPARATOR.match(row)) or (inside and bool(_PIPED.match(row)))
+        above = k + 1 < len(rows) and _SEPARATOR.match(rows[k + 1])
+        out.append(row if inside or above else _PIPED.sub(r"\1\\|", row))
+    return "\n".join(out)
+
+
+def escape_stray_pipes(text: ColumnOrName) -> Column:
+    return F.pandas_udf(lambda s: s.map(escape_pipes), "string")(text)
+
+
 def dehyphenate(text: ColumnOrName) -> Column:
     return F.pandas_udf(lambda s: s.map(join_hyphens), "string")(text)
 

@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textmill.functions import pandas_text, text as tx
+from textmill.functions import cleaning as cl
+from textmill.functions import pandas_text
+from textmill.functions import text as tx
 from textmill.functions.patterns import Search, glob_matches, ignored, literal_prefix
 from textmill.operators import layout, logs, reading, reports, search
 from textmill.shipping import shipping
@@ -566,3 +568,54 @@ def stream_flight_recorder(spark, sf):
 
     c = _event_stream(spark, sf).select("user_id", F.col("event_id").alias("record_id"), (F.col("event_type") == "error").alias("is_error"))
     return read_up(spark, recorder_stream(c, "user_id", 4), _folder(spark)).select("user_id", F.col("record_id").alias("event_id"), "context")
+
+
+# Cleaning and classes
+
+
+@query(f"WITH {CORPUS} SELECT path, md5(trim(regexp_replace(regexp_replace(text, '[0-9]+', '#', 'g'), '\\s+', ' ', 'g'))) AS signature FROM corpus")
+def artifact_signature(spark, sf):
+    return docs(spark, sf).select("path", F.md5(cl.artifact_signature(F.col("text")).cast("binary")).alias("signature"))
+
+
+@query(f"WITH {LINES} SELECT path, line_no FROM lines WHERE regexp_matches(line, '[0-9]') AND (contains(lower(line), 'doi.org') OR contains(lower(line), 'doi:') OR contains(lower(line), '/doi/') OR contains(lower(line), 'volume') OR contains(lower(line), 'vol.') OR contains(lower(line), 'article') OR contains(lower(line), 'issue') OR (contains(lower(line), 'www.') AND (contains(lower(line), '.org') OR contains(lower(line), '.com') OR contains(lower(line), '.net'))))")
+def stable_pagination(spark, sf):
+    return search.lines(docs(spark, sf)).where(cl.stable_pagination(F.col("line"))).select("path", "line_no")
+
+
+@query(f"WITH {CORPUS} SELECT path, len([x for x in string_split(text, chr(10)) if trim(x) <> '' AND NOT (starts_with(lower(trim(x)), '[') OR starts_with(lower(trim(x)), 'the ') OR starts_with(lower(trim(x)), 'de '))]) AS n FROM corpus")
+def content_lines(spark, sf):
+    return docs(spark, sf).select("path", F.size(cl.content_lines(F.col("text"), ["[", "the ", "de "])).cast("long").alias("n"))
+
+
+@query(f"WITH {LINES} SELECT path, count(*) AS items FROM lines WHERE regexp_matches(line, '^\\s*([-*+] \\s*\\S|[-*+] $|[0-9]+[.)] )') GROUP BY path")
+def list_items(spark, sf):
+    return search.lines(docs(spark, sf)).where(cl.is_list_item(F.col("line"))).groupBy("path").agg(F.count("*").alias("items"))
+
+
+@query(f"WITH {CORPUS}, w AS (SELECT path, [trim(c) for c in string_split(text, '|') if trim(c) <> ''] AS c, len(string_split(text, '|')) AS k FROM corpus) SELECT path, k < 5 OR len(c) = 0 OR len([x for x in c if regexp_matches(x, '^[0-9.,%+\\-−$€£]*[0-9][0-9.,%+\\-−$€£]*$')]) * 2 >= len(c) OR len([x for x in c if NOT regexp_matches(x, '\\s')]) <= len(c) * 0.7 AS table_like FROM w")
+def table_quality(spark, sf):
+    rows = F.array(F.split("text", "[|]", -1))
+    return docs(spark, sf).select("path", cl.table_not_prose(rows).alias("table_like"))
+
+
+@query("WITH r AS (SELECT l_orderkey, l_linenumber, l_quantity AS q, l_discount AS d, l_tax AS t FROM lineitem) SELECT l_orderkey, l_linenumber, CASE WHEN q < 5 AND 50 - (q + d * 400) < 5 THEN 'full' WHEN abs(q - (50 - (q + d * 400))) < 10 THEN 'center' WHEN 50 - (q + d * 400) < 5 THEN 'right' WHEN q < 5 AND t * 10 > 0.5 THEN 'full' WHEN q < 5 THEN 'left' ELSE 'none' END AS mode FROM r")
+def justification_mode(spark, sf):
+    d, q = src.table(spark, sf, "lineitem"), F.col("l_quantity")
+    return d.select("l_orderkey", "l_linenumber", cl.justification(F.col("l_tax") * 10, q, q + F.col("l_discount") * 400, F.lit(50.0), F.lit(0.0)).alias("mode"))
+
+
+@query(f"WITH {LINES}, s AS (SELECT path, count(*) AS n, avg(length(regexp_replace(line, '\\s', '', 'g'))) AS m, avg(CAST(length(line) >= 60 AS INT)) AS w, avg(CAST(regexp_matches(line, '^\\s*[\\[(]?[0-9]+[\\]).]') AS INT)) AS nu, avg(CAST(contains(line, ':') AS INT)) AS f FROM lines GROUP BY path) SELECT path, CASE WHEN n < 6 THEN 'mixed' WHEN m < 10 THEN 'table' WHEN f >= 0.4 THEN 'form' WHEN m > 12 AND nu >= 0.3 THEN 'reference' WHEN m > 20 AND w > 0.5 THEN 'prose' ELSE 'mixed' END AS region FROM s")
+def region_class(spark, sf):
+    line = F.col("line")
+    s = search.lines(docs(spark, sf)).groupBy("path").agg(
+        F.count("*").alias("n"), F.avg(F.length(F.regexp_replace(line, r"\s", ""))).alias("m"), F.avg((F.length(line) >= 60).cast("int")).alias("w"),
+        F.avg(line.rlike(r"^\s*[\[(]?[0-9]+[\]).]").cast("int")).alias("nu"), F.avg(line.contains(":").cast("int")).alias("f"),
+    )
+    return s.select("path", cl.region_class(*[F.col(c) for c in ("n", "m", "w", "nu", "f")], F.lit(False)).alias("region"))
+
+
+@query()
+def markdown_clean(spark, sf):
+    """Stray pipes escaped and lists tightened."""
+    return docs(spark, sf).select("path", F.md5(cl.tighten_lists(pandas_text.escape_stray_pipes(cl.split_ligatures(cl.drop_metadata_lines(F.col("text"))))).cast("binary")).alias("cleaned"))
