@@ -5,7 +5,7 @@ import pytest
 
 from textmill.plans.queries import QUERIES, SQL
 
-TABLES = "events documents pages benchmark labels conversations".split()
+TABLES = "lineitem events documents pages benchmark labels conversations".split()
 
 
 def rows_of(names, rows):

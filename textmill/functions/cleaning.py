@@ -12,7 +12,7 @@ LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
 #: Words that mark a citation of a journal, and hosts. Fixed values.
 JOURNAL_WORDS = ["volume", "vol.", "article", "issue"]
 HOSTS = [".org", ".com", ".net"]
-RTL = "֐-ࣿיִ-﷿ﹰ-ﻼ"
+RTL = r"\u0590-\u08FF\uFB1D-\uFDFF\uFE70-\uFEFC"
 
 
 def drop_metadata_lines(text: Column) -> Column:

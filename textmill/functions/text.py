@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textmill.functions.columns import let
+
 #: Bytes of a token in English and in CJK text; bytes a result has at most per 10,000 tokens of it. Fixed values.
 ENGLISH_BYTES, CJK_BYTES, BUDGET_TOKENS = 5.17, 2.17, 10_000
 #: Tokens that a result's frame, each image and its caption cost; bytes up to which the bound is used. Fixed values.
@@ -109,21 +111,31 @@ def citation_counts(text: Column) -> dict[str, Column]:
 
 def quality_gate(text: Column) -> Column:
     """Why a text layer isn't usable (glyph_mapping_missing or below_threshold), or null if it is."""
-    total, bad = F.length(text), count_of(text, r"[\x00-\x08\x0E-\x1F�-]")
-    words = F.filter(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "), lambda w: w != "")
-    n = F.size(words)
-    fragmented = F.size(F.filter(words, lambda w: F.length(w) <= 2)) / n
-    repeated = F.size(F.filter(F.zip_with(words, F.slice(words, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x)) / n
-    mean = F.aggregate(words, F.lit(0), lambda s, w: s + F.length(w)) / n
+    total, bad = F.length(text), count_of(text, r"[\x00-\x08\x0E-\x1F\uFFFD\uE000-\uF8FF]")
+    split = F.filter(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "), lambda w: w != "")
     cjk = cjk_dominant(text)
     alnum = count_of(text, r"[\p{L}\p{N}]") / total
-    return (
-        F.when(total < 16, None)
-        .when(bad / total > 0.20, "glyph_mapping_missing")
-        .when((n >= 8) & (fragmented > 0.80) & ~cjk, "glyph_mapping_missing")
-        .when((n >= 8) & ((repeated > 0.30) | ((fragmented > 0.55) & (mean < 2.5) & ~cjk)), "below_threshold")
-        .when(alnum < 0.20, "below_threshold")
-    )
+
+    def shares(words: Column) -> Column:
+        """Shares of short and of repeated words, and the mean length, in one walk over the words."""
+        start = F.struct(F.lit(0).alias("short"), F.lit(0).alias("again"), F.lit(0).alias("chars"), F.lit("").alias("last"))
+
+        def step(s: Column, w: Column) -> Column:
+            return F.struct((s["short"] + (F.length(w) <= 2).cast("int")).alias("short"), (s["again"] + (s["last"] == w).cast("int")).alias("again"), (s["chars"] + F.length(w)).alias("chars"), w.alias("last"))
+
+        n = F.greatest(F.size(words), F.lit(1))
+        return F.aggregate(words, start, step, lambda s: F.struct(F.size(words).alias("n"), (s["short"] / n).alias("short"), (s["again"] / n).alias("again"), (s["chars"] / n).alias("mean")))
+
+    def reason(m: Column) -> Column:
+        return (
+            F.when(total < 16, None)
+            .when(bad / total > 0.20, "glyph_mapping_missing")
+            .when((m["n"] >= 8) & (m["short"] > 0.80) & ~cjk, "glyph_mapping_missing")
+            .when((m["n"] >= 8) & ((m["again"] > 0.30) | ((m["short"] > 0.55) & (m["mean"] < 2.5) & ~cjk)), "below_threshold")
+            .when(alnum < 0.20, "below_threshold")
+        )
+
+    return let(let(split, shares), reason)
 
 
 def page_state(text: Column, drawn: Column) -> Column:
@@ -145,7 +157,8 @@ def is_citation_line(line: Column) -> Column:
 
 
 def is_math_line(line: Column) -> Column:
-    return line.rlike(f"[{MATH}]")
+    """A class of many single characters is slow to try, so ranges that hold them all come first."""
+    return line.rlike("[±×÷α-ω∂-≥]") & line.rlike(f"[{MATH}]")
 
 
 def line_kind(line: Column) -> Column:

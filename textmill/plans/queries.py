@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from textmill.functions import cleaning as cl
 from textmill.functions import pandas_text
 from textmill.functions import text as tx
+from textmill.functions.columns import with_struct
 from textmill.functions.patterns import Search, glob_matches, ignored, literal_prefix
 from textmill.operators import layout, logs, reading, reports, search
 from textmill.shipping import shipping
@@ -396,7 +397,7 @@ def citations(spark, sf):
 
 
 @query(f"""WITH {CORPUS}, w AS (SELECT path, text, length(text) AS total, [x for x in string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') if x <> ''] AS words FROM corpus),
-m AS (SELECT path, total, len(words) AS n, len(regexp_extract_all(text, '[\\x00-\\x08\\x0E-\\x1F�-]')) AS bad, len([x for x in words if length(x) <= 2]) / len(words) AS frag,
+m AS (SELECT path, total, len(words) AS n, len(regexp_extract_all(text, '[\\x00-\\x08\\x0E-\\x1F\\x{{FFFD}}\\x{{E000}}-\\x{{F8FF}}]')) AS bad, len([x for x in words if length(x) <= 2]) / len(words) AS frag,
  len([i for i in range(1, len(words)) if words[i] = words[i + 1]]) / len(words) AS rep, list_sum([length(x) for x in words]) / len(words) AS mean, len(regexp_extract_all(text, '[\\pL\\pN]')) / total AS alnum FROM w)
 SELECT path, CASE WHEN total < 16 THEN NULL WHEN bad / total > 0.20 THEN 'glyph_mapping_missing' WHEN n >= 8 AND frag > 0.80 THEN 'glyph_mapping_missing' WHEN n >= 8 AND (rep > 0.30 OR (frag > 0.55 AND mean < 2.5)) THEN 'below_threshold' WHEN alnum < 0.20 THEN 'below_threshold' END AS reason FROM m""")
 def quality_gate(spark, sf):
@@ -411,22 +412,21 @@ def page_state(spark, sf):
     return docs(spark, sf).select("path", tx.page_state(F.col("text"), F.lit(False)).alias("state"))
 
 
-def _document_lines(spark: SparkSession, sf: str) -> DataFrame:
-    d = search.lines(docs(spark, sf)).select("path", F.trim("line").alias("line")).where("line <> ''")
-    line = F.col("line")
-    spaces = F.regexp_extract_all(line, F.lit(" +"), F.lit(0))
-    return d.withColumns({"justified": tx.looks_justified(line).cast("int"), "form": tx.is_form(line).cast("int"), "cites": tx.is_citation_line(line).cast("int"), "math": tx.is_math_line(line).cast("int"), "gaps": F.transform(spaces, F.length)})
-
-
 def _document_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Per document: lines, bytes of a line (mean, deviation), shares of justified, form and citation lines, math lines, and gaps between words in ems."""
-    d = _document_lines(spark, sf)
-    total, squares, n = (F.aggregate("gaps", F.lit(0).cast("long"), f) for f in (lambda s, g: s + g, lambda s, g: s + g * g, lambda s, g: s + 1))
-    tight = F.size(F.filter("gaps", lambda g: g < 2))
-    d = d.withColumns({"g": total, "g2": squares, "gn": n, "tight": tight})
+    d = search.lines(docs(spark, sf)).select("path", F.trim("line").alias("line")).where("line <> ''")
+    line = F.col("line")
+    gaps = F.transform(F.regexp_extract_all(line, F.lit(" +"), F.lit(0)), lambda g: F.length(g).cast("long"))
+    start = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("g", "g2", "gn", "tight")])
+    step = lambda s, g: F.struct((s["g"] + g).alias("g"), (s["g2"] + g * g).alias("g2"), (s["gn"] + 1).alias("gn"), (s["tight"] + (g < 2).cast("long")).alias("tight"))
+    # Where no gap is wider than a space, all four are the number of spaces.
+    spaces = (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))).cast("long")
+    plain = F.struct(*[spaces.alias(c) for c in ("g", "g2", "gn", "tight")])
+    d = with_struct(d, "s", F.when(line.contains("  "), F.aggregate(gaps, start, step)).otherwise(plain))
     s = d.groupBy("path").agg(
-        F.count("*").alias("line_count"), F.avg(F.octet_length("line")).alias("mean_bytes"), F.stddev_pop(F.octet_length("line")).alias("deviation"), (F.avg("justified") * 100).alias("justified"), (F.avg("form") * 100).alias("form"),
-        (F.avg("cites") * 100).alias("cites"), F.sum("math").alias("math"), F.sum("g").alias("g"), F.sum("g2").alias("g2"), F.sum("gn").alias("gn"), F.sum("tight").alias("tight"),
+        F.count("*").alias("line_count"), F.avg(F.octet_length(line)).alias("mean_bytes"), F.stddev_pop(F.octet_length(line)).alias("deviation"), (F.avg(tx.looks_justified(line).cast("int")) * 100).alias("justified"),
+        (F.avg(tx.is_form(line).cast("int")) * 100).alias("form"), (F.avg(tx.is_citation_line(line).cast("int")) * 100).alias("cites"), F.sum(tx.is_math_line(line).cast("int")).alias("math"),
+        *[F.sum(f"s.{c}").alias(c) for c in ("g", "g2", "gn", "tight")],
     )
     mean = F.try_divide("g", "gn")
     spread = F.sqrt(F.greatest(F.try_divide("g2", "gn") - mean * mean, F.lit(0.0))) * 0.1
