@@ -293,6 +293,7 @@ def test_mixing_odd(odd, empty):
         ("<body><article><h1>Title</h1><p>One &amp; two.<br>Three.<p>Four, five, six.</article><footer>&copy; x</footer>", "Title\n\nOne & two. Three.\n\nFour, five, six."),
         ("<body><div class='sidebar'>Links</div><main><p>A long paragraph, with some words.</p><div class=comments><p>First!</p></div><p>End of it, at last.</p></main></body>", "A long paragraph, with some words.\n\nEnd of it, at last."),
         ("<body><header>Site</header><div id=content><p>Some text, that goes on.</p><p>Ok.</p><ul><li>One item, long enough.</li></ul></div><div class='cookie-notice'>We use cookies.</div></body>", "Some text, that goes on.\n\nOk.\n\nOne item, long enough."),
+        ("<body class='page search'><div id='header'><p>My site, since 1999.</p></div><div class='post'><h2>Head</h2><p>Body text, with commas, and more.</p><blockquote>Quoted, at length, here.</blockquote></div><ul class='related-posts'><li><a href=x>Other</a></li></ul><div role='contentinfo'>Made by us.</div></body>", "Head\n\nBody text, with commas, and more.\n\nQuoted, at length, here."),
         ("<p>Cut off in a <b>tag, here</b> it goes <a hre", "Cut off in a tag, here it goes"),
         ("<article><p>x<script>var a='</p>';</script>y</p><style>p{}</style><form>Search</form><p> a\n\t b </p></article>", "x y\n\na b"),
     ],

@@ -32,7 +32,9 @@ RAW = "script|style|textarea|title|noscript|iframe|template|xmp"
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br input".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in class, id or role that mark what isn't the article. Fixed values.
-BARRED_NAME = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|adslot|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|sidebar|side|widget|comments?|respond|disqus|replies|related|recommend\w*|share|sharing|social|newsletter|subscribe|signup|login|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|footer|masthead|site-header|copyright|disclaimer|search|toc|tags|skip)(?:$|[\s_-])")
+BARRED_NAME = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|adslot|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|sidebar|side|widget|comments?|respond|disqus|replies|related|recommend\w*|share|sharing|social|newsletter|subscribe|signup|login|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|footer|masthead|copyright|complementary|contentinfo|disclaimer|search|toc|tags|skip)(?:$|[\s_-])")
+#: Words that mark a page's header where they stand outside the article. Fixed values.
+HEADER_NAME = re.compile(r"(?i)(?:^|[\s_-])(?:header|topbar|toolbar|brand|logo|hero)(?:$|[\s_-])")
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(?=/?[a-zA-Z])[^>]*(?:>|\Z)", re.S | re.I)
 ATTR = re.compile(r"""(?i)(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 HIDDEN = re.compile(r"""(?i)(?:^|\s)(?:hidden(?:[\s=]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""")
@@ -100,8 +102,9 @@ def blocks_of(page: str) -> list[tuple[tuple, bool, str, int]]:
         attrs = m["attrs"] or ""
         names = {a.lower(): b or c or d for a, b, c, d in ATTR.findall(attrs)} if "=" in attrs else {}
         inside = bool(stack) and stack[-1][2]
-        header = tag == "header" and not any(s[0] in ("article", "main") for s in stack)
-        barred = inside or header or tag in BARRED or any(BARRED_NAME.search(v) for v in names.values()) or bool(attrs and HIDDEN.search(attrs))
+        outside = not any(s[0] in ("article", "main") for s in stack) and tag not in ("article", "main", "body", "html")
+        header = outside and (tag == "header" or any(HEADER_NAME.search(v) for v in names.values()))
+        barred = inside or header or tag in BARRED or any(BARRED_NAME.search(v) for v in names.values() if tag not in ("body", "html")) or bool(attrs and HIDDEN.search(attrs))
         stack.append((tag, f"{tag}.{names.get('class', '')}#{names.get('id', '')}" if names else tag, barred))
     add(entities.unescape(page[at:]))
     found = [(b.path, b.barred, SPACE.sub(" ", "".join(b.text)).strip(), b.linked) for b in out]

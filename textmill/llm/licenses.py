@@ -111,3 +111,25 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 def op6_licenses(spark, sf_dir: str) -> DataFrame:
     return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
 
+
+
+def oracle() -> str:
+    """SQL for the rows of op6_licenses: pairs joined to the same templates, islands of diagonals, places and labels."""
+    values = []
+    for tid, (base, label, words) in enumerate([(True, a, b.split()) for a, b in PHRASES] + [(False, a, b.split()) for a, b in TEMPLATES]):
+        values += [f"({tid}, '{label}', {base}, {len(words) - 1}, {i}, '{words[i]}', '{words[i + 1]}')" for i in range(len(words) - 1)]
+    return f"""
+WITH t(tid, label, base, pairs, tpos, w1, w2) AS (VALUES {", ".join(values)}),
+d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+u AS (SELECT doc_id, unnest(list_zip(w[:len(w) - 1], w[2:])) AS p, generate_subscripts(w[2:], 1) - 1 AS pos FROM d WHERE len(w) > 1),
+x AS (SELECT doc_id, pos, p[1] AS a, p[2] AS b FROM u),
+hit AS (SELECT DISTINCT doc_id, tid, label, base, pairs, pos, tpos, pos - tpos AS diag FROM x JOIN t ON a = w1 AND b = w2),
+dg AS (SELECT DISTINCT doc_id, tid, base, diag FROM hit),
+n AS (SELECT *, CASE WHEN NOT base AND diag - lag(diag) OVER (PARTITION BY doc_id, tid ORDER BY diag) <= {NEAR} THEN 0 ELSE 1 END AS new FROM dg),
+i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, tid ORDER BY diag) AS island FROM n),
+s AS (SELECT doc_id, tid, label, base, island, min(pos) AS start, count(DISTINCT tpos) / any_value(pairs) AS cover FROM hit JOIN i USING (doc_id, tid, base, diag) GROUP BY doc_id, tid, label, base, island),
+k AS (SELECT * FROM s WHERE cover >= CASE WHEN base THEN 1 ELSE {COVER} END),
+f AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+ coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score FROM k GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN f USING (doc_id)"""

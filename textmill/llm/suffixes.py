@@ -415,3 +415,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: SQL for the rows of op3_repeats: every string of 100 bytes, its first start, and the runs that later starts cover. For small tables.
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+q AS (SELECT doc_id, n, unnest(range(0, n, 512)) AS o, h FROM d WHERE n >= 100),
+s AS (SELECT doc_id, o, least(512, n - 99 - o) AS m, substr(h, 2 * o + 1, 1222) AS t FROM q WHERE o < n - 99),
+w AS (SELECT doc_id, o, unnest(range(m)) AS i, t FROM s),
+f AS (SELECT doc_id, o + i AS p, row_number() OVER (PARTITION BY substr(t, 2 * i + 1, 200) ORDER BY doc_id, o + i) AS r FROM w),
+c AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS new FROM f WHERE r > 1),
+g AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM c),
+runs AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM g GROUP BY doc_id, k),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM runs),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS x, sum(b - a) AS removed, count(*) AS spans FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(x, h))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
