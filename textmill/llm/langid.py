@@ -132,14 +132,15 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float = PENALTY) ->
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, seed: int = 5) -> Model | None:
-    """The model from docs(text, lang), on about train_docs of them, taken by a hash of the text. What comes to the driver is one number for each slot and language."""
-    d = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
+    """The model from docs(text, lang), on about train_docs of them, taken by a hash of doc_id and text (of the text alone, copies would come all or none). What comes to the driver is one number for each slot and language."""
+    key = [c for c in ("doc_id", "text") if c in docs.columns]
+    d = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", *key)
     total = d.count()
     if not total:
         return None
     share = min(1.0, train_docs / total)
-    d = d.where(F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
-    counts = d.mapInPandas(_count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
+    d = d.where(F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
+    counts = d.select("text", "lang").mapInPandas(_count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(set(counts["lang"]))
     if not langs:
         return None

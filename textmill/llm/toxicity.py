@@ -241,13 +241,14 @@ def learn(texts: list[str], label: np.ndarray) -> Model | None:
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, seed: int = 9) -> Model | None:
-    """The model from docs(text, toxic 0 or 1), on about train_docs of them taken by a hash of the text; fitted in one task, as the sample is bounded."""
-    d = docs.where("toxic IS NOT NULL").select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
+    """The model from docs(text, toxic 0 or 1), on about train_docs of them taken by a hash of doc_id and text (of the text alone, copies would come all or none); fitted in one task, as the sample is bounded."""
+    key = [c for c in ("doc_id", "text") if c in docs.columns]
+    d = docs.where("toxic IS NOT NULL").withColumns({"text": F.coalesce("text", F.lit("")), "toxic": F.col("toxic").cast("int")}).select("toxic", *key)
     total = d.count()
     if not total:
         return None
     share = min(1.0, train_docs / total)
-    d = d.where(F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
+    d = d.where(F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [b for b in batches if len(b)]
@@ -255,7 +256,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, seed: int = 9) -> Model |
             rows = pd.concat(held).sort_values(["text", "toxic"], ignore_index=True)
             yield pd.DataFrame({"model": [pickle.dumps(learn(rows["text"].tolist(), rows["toxic"].to_numpy()))]})
 
-    made = d.repartition(1).mapInPandas(run, "model binary").collect()
+    made = d.select("text", "toxic").repartition(1).mapInPandas(run, "model binary").collect()
     return pickle.loads(made[0][0]) if made else None
 
 
