@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from textmill.llm import licenses, suffixes
+from textmill.llm import licenses, spotsigs, suffixes
 from textmill.llm.decontaminate import op8_decontaminate
 from textmill.llm.html import op5_html
 from textmill.llm.langid import op9_language_id
@@ -26,4 +26,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """The others hash, classify or permute in ways that DuckDB has no functions for; tests/llm holds them against brute force."""
-    return {"op3_repeats": suffixes.ORACLE, "op6_licenses": licenses.oracle()}
+    return {"op2_spotsigs": spotsigs.oracle(), "op3_repeats": suffixes.ORACLE, "op6_licenses": licenses.oracle()}

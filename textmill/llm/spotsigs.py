@@ -44,16 +44,21 @@ def marked(text: Column) -> Column:
     return F.regexp_replace(F.concat(F.lit(f" {MARK}"), anchors), f"(?: {MARK})++", f" {MARK}")
 
 
+def digest(text: Column) -> Column:
+    """60 bits of the MD5 of a string, a hash that other engines have too."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def signatures(text: Column, chain: int = CHAIN) -> Column:
     """The set of signature hashes of a text."""
     pattern = f"{MARK}(?=((?:(?: {MARK})? +[^ {MARK}]+){{1,{chain}}}))"
     found = F.regexp_extract_all(marked(text), F.lit(pattern), F.lit(1))
-    hashes = F.array_distinct(F.transform(found, lambda m: F.xxhash64(F.regexp_replace(m, f"[ {MARK}]+", " "))))
-    return let(hashes, lambda h: F.when(F.size(h) > 0, h).otherwise(F.array(F.xxhash64(text))))
+    hashes = F.array_distinct(F.transform(found, lambda m: digest(F.trim(F.regexp_replace(m, f"[ {MARK}]+", " ")))))
+    return let(hashes, lambda h: F.when(F.size(h) > 0, h).otherwise(F.array(digest(text))))
 
 
 def fingerprint(sigs: Column) -> Column:
-    return F.concat_ws("-", F.size(sigs).cast("string"), F.lower(F.lpad(F.hex(F.xxhash64(F.array_sort(sigs))), 16, "0")))
+    return F.concat_ws("-", F.size(sigs).cast("string"), F.left(F.md5(F.array_join(F.transform(F.array_sort(sigs), lambda x: x.cast("string")), ",").cast("binary")), F.lit(16)))
 
 
 def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
@@ -145,3 +150,29 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> tuple[DataFrame, D
 
 def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def oracle() -> str:
+    """SQL for the rows of op2_spotsigs: tokens numbered, content words before each anchor counted, chains cut from their list."""
+    anchors = ", ".join(f"'{a}'" for a in sorted(set(ANCHORS)))
+    h = "CAST('0x' || substr(md5({}), 1, 15) AS BIGINT)"
+    return f"""
+WITH o AS (SELECT doc_id, coalesce(text, '') AS text, lead(coalesce(text, '')) OVER (ORDER BY doc_id DESC NULLS LAST, coalesce(text, '')) AS nx,
+  first_value(coalesce(text, '')) OVER (ORDER BY doc_id DESC NULLS LAST, coalesce(text, '')) AS fx FROM documents),
+e AS (SELECT doc_id, text, coalesce(nx, fx) AS nt, left(text, length(text) - length(text) // 3) || left(coalesce(nx, fx), length(text) // 3) AS edited FROM o),
+v AS (SELECT doc_id, 'a' AS v, text AS t FROM e UNION ALL SELECT doc_id, 'b', edited FROM e UNION ALL SELECT doc_id, 'c', nt FROM e),
+k AS (SELECT doc_id, v, regexp_extract_all(lower(t), '[\\pL\\pN]+|[^\\pL\\pN ][^\\pL\\pN]*') AS w FROM v),
+x AS (SELECT doc_id, v, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM k),
+y AS (SELECT *, regexp_matches(w, '^[\\pL\\pN]') AND w NOT IN ({anchors}) AS c FROM x),
+z AS (SELECT *, sum(CAST(c AS INT)) OVER (PARTITION BY doc_id, v ORDER BY i) AS n FROM y),
+cw AS (SELECT doc_id, v, list(w ORDER BY i) AS words FROM z WHERE c GROUP BY doc_id, v),
+st AS (SELECT doc_id, v, n FROM z WHERE NOT c UNION SELECT doc_id, v, 0 FROM cw),
+sg AS (SELECT doc_id, v, {h.format("array_to_string(words[n + 1:n + " + str(CHAIN) + "], ' ')")} AS h FROM st JOIN cw USING (doc_id, v) WHERE n < len(words)),
+ls AS (SELECT doc_id, v, list_sort(list(DISTINCT h)) AS s FROM sg GROUP BY doc_id, v),
+f AS (SELECT doc_id, v, coalesce(s, [{h.format("t")}]) AS s FROM v LEFT JOIN ls USING (doc_id, v)),
+j AS (SELECT a.doc_id, a.s AS a, b.s AS b, c.s AS c FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.v = 'a' AND b.v = 'b' JOIN f c ON a.doc_id = c.doc_id AND c.v = 'c')
+SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256,
+  CAST(len(a) AS VARCHAR) || '-' || left(md5(array_to_string(a, ',')), 16) AS fingerprint, CAST(len(b) AS VARCHAR) || '-' || left(md5(array_to_string(b, ',')), 16) AS edited_fingerprint,
+  CAST(len(list_intersect(a, b)) AS DOUBLE) / (len(a) + len(b) - len(list_intersect(a, b))) AS near_edited,
+  CAST(len(list_intersect(a, c)) AS DOUBLE) / (len(a) + len(c) - len(list_intersect(a, c))) AS near_next
+FROM e JOIN j USING (doc_id)"""
