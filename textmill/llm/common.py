@@ -28,7 +28,16 @@ def stage_table(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def drop_staged(df: DataFrame) -> None:
+    """Delete the files of a table of stage_table that nothing will read again."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -53,7 +62,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     is about the logarithm of the longest path. Nodes without an edge don't appear. Nulls are dropped.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    e = stage_table(e, "cc")
+    e = staged = stage_table(e, "cc")
     last = None
     for _ in range(rounds):
         both = e.select(F.col("u").alias("n"), F.col("v").alias("w")).union(e.select(F.col("v").alias("n"), F.col("u").alias("w")))
@@ -62,7 +71,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         linked = large.join(small, "u")
         e = linked.select("u", F.col("m").alias("v")).union(linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        e = stage_table(e, "cc")
+        before, e = staged, stage_table(e, "cc")
+        staged = e
+        drop_staged(before)
         now = e.agg(F.count("*").alias("n"), F.sum(F.col("v").cast("decimal(38,0)")).alias("s"), F.sum(F.col("u").cast("decimal(38,0)")).alias("t")).first()
         if now == last:
             break
