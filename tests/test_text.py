@@ -192,3 +192,21 @@ def test_allowance_stream(spark, tmp_path):
     spark.createDataFrame([(1, 1, "running", 0), (1, 2, "completed", 0), (1, 3, "terminated", 0), (2, 1, "running", 1), (2, 5000, "tick", 0), (2, 6000, "completed", 0)], schema).coalesce(1).write.parquet(str(tmp_path / "jobs"))
     got = read_up(spark, job_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "jobs"))), str(tmp_path / "jobs_out")).collect()
     assert sorted((r.job_id, r.at_us, r.state) for r in got) == [(1, 1, "running"), (1, 2, "completed"), (2, 1, "running"), (2, 1001, "timed_out")]
+
+
+def test_process_trees_and_gates(spark):
+    p = spark.createDataFrame([(1, 10, 1, 5), (1, 11, 10, 7), (1, 12, 11, 9), (1, 20, 1, 100), (2, 10, 1, 6), (2, 12, 11, 50)], "tick int, pid int, ppid int, gauge long")
+    got = {(r.tick, r.root): (r.processes, r.total) for r in reports.tree_sum(p, spark.createDataFrame([(10,)], "pid int")).collect()}
+    assert got == {(1, 10): (3, 21), (2, 10): (1, 6)}
+    e = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "scenario string, wanted int")
+    f = spark.createDataFrame([("a", 1), ("b", 5)], "scenario string, value int")
+    assert {r.scenario: r.passed for r in reports.gates(f, e).collect()} == {"a": True, "b": False, "c": False}
+
+
+def test_admissions_and_lookups(spark):
+    d = spark.createDataFrame([(1, 1, 0, 10), (1, 2, 1, 5), (1, 3, 2, None), (1, 4, 6, 7), (1, 5, 10, 11)], "k int, job_id long, s int, e int")
+    got = {r.job_id: (r.active, r.admitted) for r in logs.admissions(d, "k", "s", "e", 2).collect()}
+    assert got == {1: (1, True), 2: (2, True), 3: (3, False), 4: (3, False), 5: (2, True)}
+    ids = lambda rows: spark.createDataFrame(rows, "job_id long, state string")
+    found = logs.job_lookup(spark.createDataFrame([(1,), (2,), (3,)], "job_id long"), ids([(1, "running")]), ids([(1, "old"), (2, "completed")]))
+    assert {r.job_id: r.state for r in found.collect()} == {1: "running", 2: "completed", 3: "unknown"}

@@ -69,3 +69,11 @@ def bursts(calls: DataFrame, key: str, start: str, end: str, quiet: int = QUIET_
     before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(before.isNull() | (F.col(start) >= before + quiet), 1).otherwise(0)
     return calls.withColumn("_new", new).withColumn("burst_id", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_new")
+
+
+def admissions(jobs: DataFrame, key: str, start: str, end: str, slots: int = 16) -> DataFrame:
+    """jobs with active (those of the key that run when a job starts, itself included) and admitted: whether slots suffice for them."""
+    edges = jobs.select(key, "job_id", F.col(start).alias("_at"), F.lit(1).alias("_step")).union(jobs.where(F.col(end).isNotNull()).select(key, F.lit(None).cast("long"), F.col(end), F.lit(-1)))
+    w = Window.partitionBy(key).orderBy("_at", "_step", "job_id").rowsBetween(Window.unboundedPreceding, 0)
+    counted = edges.withColumn("active", F.sum("_step").over(w)).where("job_id IS NOT NULL").select(key, "job_id", "active")
+    return jobs.join(counted, [key, "job_id"]).withColumn("admitted", F.col("active") <= slots)

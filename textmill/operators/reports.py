@@ -114,3 +114,19 @@ def run_plan(scenarios: DataFrame, targets: DataFrame, unsupported: DataFrame, i
     turn = F.row_number().over(Window.partitionBy("scenario", "iteration").orderBy("target")) - 1
     n = F.count("*").over(Window.partitionBy("scenario", "iteration"))
     return items.withColumn("turn", F.pmod(turn + F.col("iteration"), n).cast("int"))
+
+
+def tree_sum(processes: DataFrame, roots: DataFrame) -> DataFrame:
+    """processes(tick, pid, ppid, gauge), roots(pid) -> tick, root, processes, total over a root and all its descendants at that tick."""
+    return processes.sparkSession.sql(
+        """WITH RECURSIVE tree(tick, root, pid) AS (
+             SELECT tick, pid, pid FROM {processes} WHERE pid IN (SELECT pid FROM {roots})
+             UNION ALL SELECT p.tick, t.root, p.pid FROM tree t JOIN {processes} p ON p.tick = t.tick AND p.ppid = t.pid)
+           SELECT tick, root, count(*) AS processes, sum(gauge) AS total FROM tree JOIN {processes} USING (tick, pid) GROUP BY tick, root""",
+        processes=processes, roots=roots,
+    )
+
+
+def gates(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """found(scenario, value), expected(scenario, wanted): each expected scenario with passed; one without a result fails."""
+    return expected.join(found, "scenario", "left").select("scenario", "wanted", "value", F.coalesce(F.col("value") == F.col("wanted"), F.lit(False)).alias("passed"))

@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from textmill.operators.logs import ENDED, QUIET_US, RING
@@ -112,12 +111,6 @@ def job_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id").applyInPandasWithState(run, "job_id long, at_us long, state string", "state string, deadline long", "append", GroupStateTimeout.NoTimeout)
 
 
-def windowed_events(events: DataFrame, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Counts and sums by event_type in windows of event time; rows later than late are left out by the watermark."""
-    e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    return e.groupBy(F.window("ts", every), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-
-
 def read_up(spark: SparkSession, stream: DataFrame, folder: str) -> DataFrame:
     """Run a stream over what is there now into Parquet below folder (a shared one) and give its rows."""
     q = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start(f"{folder}/rows")
