@@ -198,7 +198,9 @@ def fingerprint_components(prints: DataFrame) -> DataFrame:
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of its class)."""
     prints = stage_table(fingerprints(docs), "simhash")
-    out = prints.join(fingerprint_components(prints), "fp")
+    # Both sides are scans, so that a partition of many copies can be split by adaptive execution.
+    classes = stage_table(fingerprint_components(prints), "classes")
+    out = prints.join(classes, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
