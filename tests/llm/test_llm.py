@@ -302,6 +302,25 @@ def test_html(page, wanted):
     assert html.main_text(page) == wanted
 
 
+def test_html_keeps_content_around_an_article():
+    lead, part, rest = "A lead, long enough, with commas, and more of it.", "The article, in short, with some words, and more of them, in a second half that goes on, up to its end.", "More sections, as long, follow here, with commas, too."
+    page = f"<body><main><h1>Title</h1><p>{lead}</p><article><p>{part}</p></article><section><p>{rest}</p><p>{rest}</p></section></main><div><ul><li><a href=x>Elsewhere</a></li></ul></div></body>"
+    assert html.main_text(page) == "\n\n".join(["Title", lead, part, rest, rest])
+
+
+@pytest.mark.parametrize("wrap", ["<div class='post has-comments'>", "<div class='with-sidebar'>", "<form id=aspnetForm>"])
+def test_html_names_and_forms_bar_no_page(wrap):
+    text = "Text of the page, with commas, that goes on, and on."
+    page = f"<body><nav>Menu</nav>{wrap}<p>{text}</p><p>{text}</p><div class=comments><p>First!</p></div></{wrap[1:].split()[0]}></body>"
+    assert html.main_text(page) == f"{text}\n\n{text}"
+
+
+def test_html_weights_select_within_an_article():
+    text = "Text of the page, with commas, that goes on, and on, and on, to its end."
+    page = f"<body><article><h1><a href=t>Title</a></h1><p>{text}</p><p>{text}</p><p>{text}</p><ul><li><a href=x>Elsewhere</a></li><li><a href=y>Other</a></li><li><a href=z>More</a></li></ul></article></body>"
+    assert html.main_text(page) == "\n\n".join(["Title", text, text, text])
+
+
 def test_html_of_the_sample(spark, sf):
     import html as entities
 

@@ -5,8 +5,11 @@ For each path the text length and the punctuation of its blocks are summed and d
 blocks; the product of both ratios, weighed by the share of text outside links and by how the blocks' lengths
 vary, is the path's weight. Weights are smoothed over neighbouring blocks in page order and fused with those
 of sibling paths under the same parent. Paths whose fused weight reaches a share of the mean are content.
-Their lowest common container of most content is the article, and all its blocks are given out, short ones
-too. Blocks under tags or names of menus, notices, adverts, forms, comments and the like are never content.
+The lowest container of all content is the article; where it stands in main or article elements, the outermost
+of these is. Of its other blocks headings and those that aren't mostly links are given out too, short ones as
+well. Blocks under tags of menus, footers, scripts and the like are never content, nor are those under forms or
+names of notices, adverts, comments and the like, unless that element holds most of the page's text (beside an
+article or main element, in blocks below it).
 
 Defined results: a null page is empty; a page without content text has the empty text; a tag, comment or
 reference that the page's end cuts off is dropped or kept as text as a reader would show it; repeated rows
@@ -25,7 +28,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Tags that are never content, with all that they hold. Fixed values.
-BARRED = set("nav footer aside form script style noscript iframe button select textarea template svg head menu dialog object canvas".split())
+BARRED = set("nav footer aside script style noscript iframe button select textarea template svg head menu dialog object canvas".split())
+#: Tags that hold what a path's blocks stand in, and those of headings. Fixed values.
+CONTAINERS, HEADINGS = set("article main div section td body html".split()), set("h1 h2 h3 h4 h5 h6".split())
 #: Tags that hold text as it is, up to their own end tag.
 RAW = "script|style|textarea|title|noscript|iframe|template|xmp"
 #: Tags that don't end a block. Fixed values.
@@ -48,25 +53,25 @@ THRESHOLD, SMOOTH = 0.25, 1
 
 
 class Block:
-    __slots__ = ("barred", "linked", "path", "text")
+    __slots__ = ("barred", "doubted", "linked", "path", "text")
 
-    def __init__(self, path: tuple, barred: bool):
-        self.path, self.barred, self.text, self.linked = path, barred, [], 0
+    def __init__(self, path: tuple, barred: bool, doubted: tuple):
+        self.path, self.barred, self.doubted, self.text, self.linked = path, barred, doubted, [], 0
 
 
 def blocks_of(page: str) -> list[tuple[tuple, bool, str, int]]:
     """(path, barred, text, characters in links) of each block with text, in page order."""
-    stack: list[tuple[str, str, bool]] = []  # tag, name in the path, barred from here on
+    stack: list[tuple[str, str, bool, tuple]] = []  # tag, name in the path, barred from here on, elements barred by name or as forms
     out: list[Block] = []
     current: Block | None = None
-    links = at = 0
+    links = at = elements = 0
 
     def add(text: str) -> None:
         nonlocal current
         if not text:
             return
         if current is None:
-            current = Block(tuple(s[1] for s in stack), bool(stack) and stack[-1][2])
+            current = Block(tuple(s[1] for s in stack), bool(stack) and stack[-1][2], stack[-1][3] if stack else ())
             out.append(current)
         current.text.append(text)
         if links:
@@ -101,14 +106,39 @@ def blocks_of(page: str) -> list[tuple[tuple, bool, str, int]]:
             continue
         attrs = m["attrs"] or ""
         names = {a.lower(): b or c or d for a, b, c, d in ATTR.findall(attrs)} if "=" in attrs else {}
-        inside = bool(stack) and stack[-1][2]
+        inside, doubted = stack[-1][2:] if stack else (False, ())
         outside = not any(s[0] in ("article", "main") for s in stack) and tag not in ("article", "main", "body", "html")
-        header = outside and (tag == "header" or any(HEADER_NAME.search(v) for v in names.values()))
-        barred = inside or header or tag in BARRED or any(BARRED_NAME.search(v) for v in names.values() if tag not in ("body", "html")) or bool(attrs and HIDDEN.search(attrs))
-        stack.append((tag, f"{tag}.{names.get('class', '')}#{names.get('id', '')}" if names else tag, barred))
+        barred = inside or (outside and tag == "header") or tag in BARRED or bool(attrs and HIDDEN.search(attrs))
+        named = tag not in ("body", "html") and any(BARRED_NAME.search(v) or (outside and HEADER_NAME.search(v)) for v in names.values())
+        if named or tag == "form":
+            elements += 1
+            doubted = (*doubted, (elements, len(stack) + 1))
+        stack.append((tag, f"{tag}.{names.get('class', '')}#{names.get('id', '')}" if names else tag, barred, doubted))
     add(entities.unescape(page[at:]))
-    found = [(b.path, b.barred, SPACE.sub(" ", "".join(b.text)).strip(), b.linked) for b in out]
-    return [b for b in found if b[2]]
+    found = [(b, text) for b in out if (text := SPACE.sub(" ", "".join(b.text)).strip())]
+    # Beside an open article, text that stands in a doubted element itself, such as one advert's, isn't that of a container.
+    beside = any(not b.barred and not b.doubted and any(tag_of((p,)) in ("article", "main") for p in b.path) for b, _ in found)
+    held: dict[tuple, int] = defaultdict(int)
+    for b, text in found:
+        for e in () if b.barred else b.doubted:
+            if len(b.path) > e[1] or not beside:
+                held[e] += len(text)
+    half = sum(len(text) for b, text in found if not b.barred) / 2
+    return [(b.path, b.barred or any(held[e] <= half for e in b.doubted), text, b.linked) for b, text in found]
+
+
+def tag_of(end: tuple) -> str:
+    return end[0].split(".")[0] if end else ""
+
+
+def container(paths: list[tuple]) -> tuple:
+    """The lowest container of all paths, or the outermost main or article element that it stands in."""
+    first, last = min(paths), max(paths)
+    n = next((k for k, (a, b) in enumerate(zip(first, last, strict=False)) if a != b), min(len(first), len(last)))
+    while n and tag_of(first[n - 1 : n]) not in CONTAINERS:
+        n -= 1
+    named = (k + 1 for k in range(n) if tag_of(first[k : k + 1]) in ("main", "article"))
+    return first[: next(named, n)]
 
 
 def content_blocks(blocks: list[tuple[tuple, bool, str, int]]) -> list[str]:
@@ -135,20 +165,8 @@ def content_blocks(blocks: list[tuple[tuple, bool, str, int]]) -> list[str]:
     fused = {p: 0.5 * weight[p] + 0.25 * float(np.mean(w)) + 0.25 * float(np.mean(parents[p[:-1]])) for p, w in smoothed.items()}
     bar = THRESHOLD * float(np.average([fused[b[0]] for b in open_], weights=[len(b[2]) for b in open_]))
     content = [b for b in open_ if fused[b[0]] >= bar]
-    # The article: an article or main element if content stands in one, else the deepest container with most of the content's text.
-    mass: dict[tuple, int] = defaultdict(int)
-    for path, _, text, linked in content:
-        for k in range(len(path)):
-            mass[path[:k]] += len(text)
-        if len(path) and path[-1].split(".")[0] in ("article", "main", "div", "section", "td", "body"):
-            mass[path] += len(text)
-    total = sum(len(b[2]) for b in content)
-    named = [p for p in mass if p and p[-1].split(".")[0] in ("article", "main") and mass[p] >= 0.3 * total]
-    if named:
-        best = max(named, key=lambda p: (p[-1].split(".")[0] == "article", mass[p], -len(p)))
-    else:
-        best = max((p for p in mass if mass[p] >= 0.6 * total), key=len, default=())
-    keep = [b for b in open_ if b[0][: len(best)] == best and (named or fused[b[0]] >= bar or b[3] < 0.5 * len(b[2]))]
+    best = container([b[0] for b in content])
+    keep = [b for b in open_ if b[0][: len(best)] == best and (fused[b[0]] >= bar or b[3] < 0.5 * len(b[2]) or tag_of(b[0][-1:]) in HEADINGS)]
     return [b[2] for b in keep]
 
 
