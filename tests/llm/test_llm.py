@@ -425,6 +425,18 @@ def test_decontamination(spark):
     assert {r.doc_id for r in decontaminate.drop_contaminated(d, b).collect()} == {2, 3, 5, 6, 8}
 
 
+def test_decontamination_decides_each_row(spark):
+    item = " ".join(f"word{k}" for k in range(30))
+    big = (1 << 53) + 1
+    t = ["clean, without an id", f"held: {item}", "clean, of id 5", item, "clean, of id 5", "of a large id"]
+    d = spark.createDataFrame(rows(t, [None, None, 5, 5, 5, big]), SCHEMA).withColumn("tags", F.array("source", F.lit(None).cast("string")))
+    b = spark.createDataFrame([(1, item), (2, "another item of this benchmark, in its own words")], "item_id long, text string")
+    for per_block in (50, 1):
+        got = decontaminate.drop_contaminated(d, b, per_block)
+        assert got.schema == d.schema
+        assert sorted(map(str, got.collect())) == sorted(str(r) for r in d.collect() if item not in r.text)
+
+
 def test_decontamination_odd(odd, empty, spark):
     b = spark.createDataFrame([(1, PROSE)], "item_id long, text string")
     got = decontaminate.contaminated(odd, b).collect()

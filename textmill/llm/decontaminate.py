@@ -13,7 +13,7 @@ Items are indexed in blocks of ITEMS, which bounds what is broadcast; texts are
 
 Defined results: null and empty texts and items match nothing; an item of fewer than five words in a part is
 compared by all the words of that part; repeated rows of documents give repeated rows, repeated item rows are
-one item; a row whose doc_id is null is matched like any other; an empty table on either side gives an empty
+one item; a row whose doc_id is null is matched like any other, and each row is kept or dropped by its own text; an empty table on either side gives an empty
 result (no document is dropped); other columns are ignored or, by the filter, kept.
 """
 
@@ -25,9 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textmill.llm.common import stage_table
 from textmill.llm.tokens import in_pieces, powers
 
 K1, B = 1.2, 0.75
@@ -273,10 +275,26 @@ def contaminated(docs: DataFrame, items: DataFrame, per_block: int = ITEMS) -> D
     return out
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that hold no test item."""
-    hit = contaminated(docs, items).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("_hit")), "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, per_block: int = ITEMS) -> DataFrame:
+    """The rows of docs that hold no test item, decided for each row by its own text."""
+    at = docs.columns.index("text")
+    kept = docs
+    for n, index in enumerate(indexes(items, per_block)):
+        if n:
+            kept = stage_table(kept, "decontaminate")  # so that a task holds one index at a time
+        held = docs.sparkSession.sparkContext.broadcast(index)  # at most per_block items
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            index = held.value
+            for b in batches:
+                clean, done = np.ones(b.num_rows, bool), 0
+                for texts in in_pieces(b.column(at).to_pylist(), 1 << 19):
+                    clean[[done + d for d, *_ in index.matches(texts)]] = False
+                    done += len(texts)
+                yield b.filter(pa.array(clean))
+
+        kept = kept.mapInArrow(run, docs.schema)
+    return kept
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
