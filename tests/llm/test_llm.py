@@ -437,6 +437,17 @@ def test_decontamination_decides_each_row(spark):
         assert sorted(map(str, got.collect())) == sorted(str(r) for r in d.collect() if item not in r.text)
 
 
+def test_decontamination_looks_for_all_items(spark):
+    items = [" ".join(f"{name}{k}" for k in range(30)) for name in ("one", "two", "three", "four")]
+    big = (1 << 53) + 1
+    b = spark.createDataFrame([(0, items[0]), (0, items[1]), (0, items[1]), (None, items[2]), (big, items[3])], "item_id long, text string")
+    d = spark.createDataFrame(rows([f"Before it, {x}, and after." for x in items] + ["clean"], [1, None, 3, big, 5]), SCHEMA)
+    for per_block in (50, 1):
+        got = [(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, b, per_block).collect()]
+        assert sorted(got, key=str) == sorted([(1, 0), (None, 0), (3, None), (big, big)], key=str)
+        assert [r.doc_id for r in decontaminate.drop_contaminated(d, b, per_block).collect()] == [5]
+
+
 def test_decontamination_odd(odd, empty, spark):
     b = spark.createDataFrame([(1, PROSE)], "item_id long, text string")
     got = decontaminate.contaminated(odd, b).collect()

@@ -12,9 +12,11 @@ WAND, which gives all items above the threshold. A match counts if five-word shi
 Items are indexed in blocks of ITEMS, which bounds what is broadcast; texts are read once for each block.
 
 Defined results: null and empty texts and items match nothing; an item of fewer than five words in a part is
-compared by all the words of that part; repeated rows of documents give repeated rows, repeated item rows are
-one item; a row whose doc_id is null is matched like any other, and each row is kept or dropped by its own text; an empty table on either side gives an empty
-result (no document is dropped); other columns are ignored or, by the filter, kept.
+compared by all the words of that part; repeated rows of documents give repeated rows; each distinct
+(item_id, text) is an item, so all texts of an id are looked for, and so is a text without an id (if a row with
+an id has the same text, it is that item); a row whose doc_id is null is matched like any other, and each row
+is kept or dropped by its own text; an empty table on either side gives an empty result (no document is
+dropped); other columns are ignored or, by the filter, kept.
 """
 
 from __future__ import annotations
@@ -24,7 +26,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,7 +78,7 @@ def shingles(words: np.ndarray, n: int = SHINGLE) -> np.ndarray:
 class Index:
     """Posting lists by term: items in order, impacts, and the largest impact of each block of BLOCK postings."""
 
-    def __init__(self, items: list[tuple[int, str]], frequency: dict[int, int], total: int, mean_length: float):
+    def __init__(self, items: list[tuple[int | None, str]], frequency: dict[int, int], total: int, mean_length: float):
         self.ids = [i for i, _ in items]
         words, first = hashed_words([t for _, t in items])
         each = [words[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
@@ -228,16 +229,20 @@ def runs(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def indexes(items: DataFrame, per_block: int = ITEMS) -> Iterator[Index]:
-    """Indexes of at most about per_block items each; statistics are over all items."""
-    d = items.where("text IS NOT NULL AND item_id IS NOT NULL").groupBy("item_id").agg(F.min("text").alias("text"))
+    """Indexes of at most about per_block items each; statistics are over all items.
+
+    An item is a distinct (item_id, text); a row without an id is one if no row with an id has its text.
+    """
+    named = items.where("text IS NOT NULL").select("item_id", "text").distinct()
+    d = named.groupBy("text").agg(F.collect_set("item_id").alias("ids")).select(F.explode_outer("ids").alias("item_id"), "text")
     total = d.count()
     if not total:
         return
     parts = math.ceil(total / per_block)
-    d = d.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(parts)))
+    d = d.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
     frequency: Counter[int] = Counter()
     length = 0
-    blocks = [d.where(F.col("part") == p).select("item_id", "text").orderBy("item_id") for p in range(parts)]
+    blocks = [d.where(F.col("part") == p).select("item_id", "text").orderBy("item_id", "text") for p in range(parts)]
     for b in blocks:
         rows = b.collect()
         words, first = hashed_words([r[1] for r in rows])
@@ -255,23 +260,24 @@ def contaminated(docs: DataFrame, items: DataFrame, per_block: int = ITEMS) -> D
     """One row per row of docs and item that it holds: doc_id, item_id, score, question_overlap, answer_overlap."""
     spark = docs.sparkSession
     shape = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+    names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
     out = spark.createDataFrame([], shape)
     for index in indexes(items, per_block):
         held = spark.sparkContext.broadcast(index)  # at most per_block items
 
-        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = held.value
-            for pdf in batches:
+            for b in batches:
                 done = 0
-                ids = pdf["doc_id"].tolist()
-                for texts in in_pieces(pdf["text"], 1 << 19):
+                ids = b.column(0).to_pylist()
+                for texts in in_pieces(b.column(1).to_pylist(), 1 << 19):
                     found = index.matches(texts)
                     if found:
-                        rows = [(ids[done + d], index.ids[k], s, q, a) for d, k, s, q, a in found]
-                        yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+                        columns = zip(*[(ids[done + d], index.ids[k], s, q, a) for d, k, s, q, a in found], strict=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, [pa.int64()] * 2 + [pa.float64()] * 3, strict=True)], names=names)
                     done += len(texts)
 
-        out = out.union(docs.select("doc_id", "text").mapInPandas(run, shape))
+        out = out.union(docs.select("doc_id", "text").mapInArrow(run, shape))
     return out
 
 
