@@ -385,6 +385,28 @@ def test_pii_is_a_permutation(spark):
     assert pii.pseudonymize(days, "k2").select("text").first() != pii.pseudonymize(days, "k1").select("text").first()
 
 
+def test_pii_forms(spark):
+    finds = [("12/31/1990", "date"), ("1.2.1990", "date"), ("1990-2-8", "date"), ("+49 30 1234567", "phone"), ("+49301234567", "phone"), ("+44 20 7946 0958", "phone"), ("3782 822463 10005", "number"), ("3056-930902-5904", "number"), ("a.b@x.com", "email")]
+    d = spark.createDataFrame(rows([f"see _{x}_ here" for x, _ in finds] + ["no +12 345, 31/31/1990, 02/30/1990 or 1.2.90"]), SCHEMA)
+    got = pii.pseudonymize(d).orderBy("doc_id").collect()
+    for r, (x, kind) in zip(got, finds, strict=False):
+        assert [p.kind for p in r.pii] == [kind] and x not in r.text and r.text == f"see _{r.pii[0].value}_ here", x
+    value = [r.pii[0].value if r.pii else None for r in got]
+    month, day, year = map(int, value[0].split("/"))
+    assert month <= 12 < day <= 31 and 1800 <= year < 2200 and re.fullmatch(r"\d\d?\.\d\d?\.\d{4}", value[1])
+    assert value[3].startswith("+49 ") and re.sub(r"\D", "", value[3]) == value[4][1:] and value[5].startswith("+44 ")
+    for v in value[6:8]:
+        assert sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(re.sub(r"\D", "", v)))) % 10 == 0
+    assert got[-1].text == d.orderBy("doc_id").collect()[-1].text
+
+
+def test_pii_month_first_dates_are_permuted(spark):
+    days = spark.range(146097).select(F.col("id").alias("doc_id"), F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")).alias("d")).where("day(d) > 12 AND (year(d) % 40 = 0 OR year(d) > 2195)")
+    found = [r.text for r in pii.pseudonymize(days.select("doc_id", F.date_format("d", "MM/dd/yyyy").alias("text"))).collect()]
+    assert len(set(found)) == len(found) > 1000
+    assert all(re.fullmatch(r"(0[1-9]|1[0-2])/(1[3-9]|2\d|3[01])/(1[89]|2[01])\d\d", x) for x in found)
+
+
 def test_pii_odd(odd, empty):
     got = pii.pseudonymize(odd)
     assert set(odd.columns) < set(got.columns) and got.count() == odd.count() and got.where("doc_id = 1").first().text is None

@@ -1,8 +1,10 @@
 """Personal data to format-preserving pseudonyms by keyed Feistel permutations, with DataFrame functions only.
 
-Found and validated: e-mail addresses, card and account numbers (13 to 19 digits, Luhn-valid ones stay
-Luhn-valid), social security numbers (of areas that exist), phone numbers, IPv4 addresses (octets up to 255),
-dates (days of the calendar from 1800 to 2199) and keys of 32 to 64 hexadecimal digits. Each is permuted
+Found and validated: e-mail addresses, card and account numbers (13 to 19 digits in one, 4-4-4-4, 4-6-5 or 4-6-4
+groups, Luhn-valid ones stay Luhn-valid), social security numbers (of areas that exist), phone numbers (3-3-4
+digits, or 8 to 15 in any groups after a plus), IPv4 addresses (octets up to 255), numeric dates (days of the
+calendar from 1800 to 2199: year, month, day; day, month, year; or month, day, year where only that is a day)
+and keys of 32 to 64 hexadecimal digits. Each is permuted
 within its format: rounds of a Feistel network, alternating between two halves, add a keyed hash of one half
 to the other, modulo the size of the half's domain (numbers) or of each character's alphabet (strings). A
 permutation has no collisions, so equal values get equal pseudonyms in all documents and different values
@@ -29,18 +31,21 @@ ROUNDS = 8
 #: What is found, in order of precedence. Fixed values.
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 KINDS = [
-    ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\p{L}\p{N}])"),
+    ("email", r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\p{L}\p{N}])"),
     ("secret", r"(?<![0-9A-Za-z])(?=[A-Fa-f]{0,63}[0-9])(?=[0-9]{0,63}[A-Fa-f])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])"),
-    ("date", r"(?<![0-9./-])(?:(?:1[89]|2[01])[0-9]{2}([-/])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])([./-])(?:0[1-9]|1[0-2])\2(?:1[89]|2[01])[0-9]{2})(?![0-9]|[./-][0-9])"),
+    ("date", r"(?<![0-9./-])(?:(?:1[89]|2[01])[0-9]{2}([-/])(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12][0-9]|3[01])|(?:0?[1-9]|[12][0-9]|3[01])([./-])(?:0?[1-9]|[12][0-9]|3[01])\2(?:1[89]|2[01])[0-9]{2})(?![0-9]|[./-][0-9])"),
     ("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9]|-[0-9])"),
-    ("phone", r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
+    ("phone", r"(?<![0-9])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+[1-9](?:[ ./-]?\(?[0-9]\)?){7,14})(?![0-9])"),
     ("ip", rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])"),
-    ("number", r"(?<![0-9])(?:[0-9]{13,19}|(?:[0-9]{4}[ -]){3}[0-9]{4})(?![0-9])"),
+    ("number", r"(?<![0-9])(?:[0-9]{13,19}|(?:[0-9]{4}[ -]){3}[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9])"),
 ]
 #: One character that any find has, and that few other texts have many of.
 HINT = r"[0-9@]"
 DAYS, DAYS_A, DAYS_B = 146097, 189, 773  # days of 400 years, as a product
 FROM_DAY = "1800-01-01"
+LATE_A, LATE_B, LATE_MONTH = 9, 9833, 88497 / 4800  # days after the 12th in 400 years, as a product, and those of a mean month
+#: Country codes of phone numbers. Fixed values.
+CODE = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 
 
 def patterns() -> tuple[str, dict[str, str]]:
@@ -137,13 +142,31 @@ def pseudonym(x: Column, key: Column) -> Column:
     first = x.rlike("^[0-9]{4}")
     shape = F.regexp_extract(x, "[./-]", 0)
     parts = F.split(F.regexp_replace(x, "[./]", "-"), "-")
-    iso = F.when(first, F.concat_ws("-", F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.get(parts, F.lit(2)))).otherwise(F.concat_ws("-", F.get(parts, F.lit(2)), F.get(parts, F.lit(1)), F.get(parts, F.lit(0))))
-    day = F.try_to_date(iso, "yyyy-MM-dd")
-    moved = F.date_add(F.lit(FROM_DAY).cast("date"), feistel_number(F.datediff(day, F.lit(FROM_DAY).cast("date")).cast("long"), DAYS_A, DAYS_B, key, "date").cast("int"))
+    two = [F.lpad(F.get(parts, F.lit(k)), 2, "0") for k in (0, 1, 2)]
+    one_digit = x.rlike("(?<![0-9])[0-9](?![0-9])")
+
+    def of_parts(y: int, m: int, d: int) -> Column:
+        return F.try_to_date(F.concat_ws("-", F.get(parts, F.lit(y)), two[m], two[d]), "yyyy-MM-dd")
+
+    # Month before day only where it can't be the other way; these dates, all after the 12th, are permuted among themselves.
+    month_first = ~first & of_parts(2, 1, 0).isNull()
+    day = F.when(first, of_parts(0, 1, 2)).otherwise(F.coalesce(of_parts(2, 1, 0), of_parts(2, 0, 1)))
+    from_day = F.lit(FROM_DAY).cast("date")
+    any_day = F.date_add(from_day, feistel_number(F.datediff(day, from_day).cast("long"), DAYS_A, DAYS_B, key, "date").cast("int"))
+    late = F.datediff(day, from_day) - 12 * ((F.year(day) - 1800) * 12 + F.month(day))
+
+    def late_day(r: Column) -> Column:
+        month = F.floor(r / LATE_MONTH).cast("int")
+        begins = lambda m: F.datediff(F.add_months(from_day, m), from_day) - 12 * m
+        m = F.when(begins(month + 1) <= r, month + 1).when(begins(month) <= r, month).otherwise(month - 1)
+        return F.date_add(from_day, (r + 12 * (m + 1)).cast("int"))
+
+    moved = F.when(month_first, let(feistel_number(late.cast("long"), LATE_A, LATE_B, key, "late"), late_day)).otherwise(any_day)
 
     def dated(v: Column) -> Column:
-        y, m, d = F.date_format(v, "yyyy"), F.date_format(v, "MM"), F.date_format(v, "dd")
-        return F.when(first, F.concat(y, shape, m, shape, d)).otherwise(F.concat(d, shape, m, shape, y))
+        y = F.date_format(v, "yyyy")
+        m, d = (F.when(one_digit, F.date_format(v, k)).otherwise(F.date_format(v, k * 2)) for k in "Md")
+        return F.when(first, F.concat(y, shape, m, shape, d)).when(month_first, F.concat(m, shape, d, shape, y)).otherwise(F.concat(d, shape, m, shape, y))
 
     date = F.when(day.isNull(), x).otherwise(let(moved, dated))
 
@@ -158,8 +181,9 @@ def pseudonym(x: Column, key: Column) -> Column:
 
     ssn = let(feistel_number((area - 1 - (area > 666).cast("long")) * (99 * 9999) + rest, 898, 99 * 9999, key, "ssn"), written)
 
-    # The last ten digits; a country code stays.
-    phone = written_like(feistel_string(F.right(digits, F.lit(10)), [DIGITS], key, "phone"), x, F.length(digits) - 10)
+    # A country code stays; without one there are ten digits.
+    coded = F.when(x.startswith("+"), F.length(F.regexp_extract(digits, CODE, 0))).otherwise(F.length(digits) - 10)
+    phone = let(coded, lambda n: written_like(feistel_string(F.substr(digits, n + 1, F.length(digits)), [DIGITS], key, "phone"), x, n))
 
     octets = F.split(x, "[.]")
     word = F.aggregate(octets, F.lit(0).cast("long"), lambda s, o: s * 256 + o.cast("long"))
