@@ -302,23 +302,90 @@ def test_html(page, wanted):
     assert html.main_text(page) == wanted
 
 
-def test_html_keeps_content_around_an_article():
-    lead, part, rest = "A lead, long enough, with commas, and more of it.", "The article, in short, with some words, and more of them, in a second half that goes on, up to its end.", "More sections, as long, follow here, with commas, too."
-    page = f"<body><main><h1>Title</h1><p>{lead}</p><article><p>{part}</p></article><section><p>{rest}</p><p>{rest}</p></section></main><div><ul><li><a href=x>Elsewhere</a></li></ul></div></body>"
-    assert html.main_text(page) == "\n\n".join(["Title", lead, part, rest, rest])
+LONG = "Text of the page, with commas, that goes on, and on, and on, to its end."
+MORE = "A second paragraph, which says, at some length, what the first one left out."
+LAYOUTS = {
+    "an article in main": (f"<main><h1>Title</h1><p>{MORE}</p><article><p>{LONG}</p></article><section><p>{MORE}</p></section></main><div><ul><li><a href=x>Elsewhere</a></li></ul></div>", ["Title", MORE, LONG, MORE]),
+    "class of the wrapper, comments": (f"<nav>Menu</nav><div class='post has-comments'><p>{LONG}</p><p>{LONG}</p></div><div class=comments><p>First!</p></div>", [LONG, LONG]),
+    "class of the wrapper, sidebar": (f"<div class='content has-sidebar'><p>{LONG}</p><p>{MORE}</p></div><div class=sidebar><p>Links.</p></div>", [LONG, MORE]),
+    "class of the article": (f"<article class='post tags-python'><p>{LONG}</p></article>", [LONG]),
+    "a form around the page": (f"<form id=aspnetForm><nav>Menu</nav><p>{LONG}</p><p>{MORE}</p></form>", [LONG, MORE]),
+    "a form in the page": (f"<div><p>{LONG}</p><form><p>Name, please.</p></form><p>{MORE}</p></div>", [LONG, MORE]),
+    "no article, trailing teasers": (f"<div><p>{LONG}</p><p>{MORE}</p></div><div class=x><p>Read also</p><p>Buy now</p></div>", [LONG, MORE]),
+    "links in an article": (f"<article><h1><a href=t>Title</a></h1><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><ul><li><a href=x>Elsewhere</a></li><li><a href=y>Other</a></li><li><a href=z>More</a></li></ul></article>", ["Title", LONG, LONG, LONG]),
+    "svg in a paragraph": (f"<p>Before <svg/> after, with commas.</p><p>{LONG}</p><p>One <svg><path d='x'/></svg>two, <button>Go</button>three.</p>", ["Before after, with commas.", LONG, "One two, three."]),
+    "a noscript block": (f"<p>{LONG}</p><noscript><p>Enable scripts, please, to go on.</p></noscript><p>{MORE}</p>", [LONG, MORE]),
+    "a name anchor": (f"<p><a name=top>{LONG}</p><p>{MORE}</p>", [LONG, MORE]),
+    "hidden": (f"<div style='display:none'><p>{LONG}</p></div><p>{MORE}</p><p hidden>{LONG}</p>", [MORE]),
+    "a header and a footer in the article": (f"<header>Site, since 1999.</header><article><header><h1>Title</h1></header><p>{LONG}</p><footer>By A. Author, today.</footer></article>", ["Title", LONG]),
+    "an aside": (f"<article><p>{LONG}</p><aside><p>{MORE}</p></aside><p>{MORE}</p></article>", [LONG, MORE]),
+    "adverts between paragraphs": (f"<article><p>{LONG}</p><div class=ad><p>{MORE}</p></div><p>{MORE}</p></article>", [LONG, MORE]),
+    "a table": (f"<table><tr><td>{LONG}<td>{MORE}</table>", [LONG, MORE]),
+    "definition list": (f"<dl><dt>Term, one<dd>{LONG}<dt>Term, two<dd>{MORE}</dl>", ["Term, one", LONG, "Term, two", MORE]),
+    "two sections": (f"<section><h2>One</h2><p>{LONG}</p></section><section><h2>Two</h2><p>{MORE}</p></section><footer>{LONG}</footer>", ["One", LONG, "Two", MORE]),
+    "related posts": (f"<div class=post><p>{LONG}</p><p>{MORE}</p></div><ul class='related-posts'><li><a href=x>{LONG}</a></li></ul>", [LONG, MORE]),
+    "only a footer": ("<footer>Made by us, in 1999.</footer>", []),
+    "unclosed comment": (f"<p>{LONG}</p><!-- <p>{MORE}</p>", [LONG]),
+}
+
+
+@pytest.mark.parametrize("name", list(LAYOUTS))
+def test_html_layouts(name):
+    page, wanted = LAYOUTS[name]
+    assert html.main_text(f"<html><body>{page}</body></html>") == "\n\n".join(wanted)
+
+
+def plain_fused(tree, blocks):
+    """The weights by their definition, path by path."""
+
+    def path(e):
+        return [] if not e else [*path(tree.parent[e]), e]
+
+    total = sum(len(t) for _, t, _ in blocks)
+    names = {v: k for k, v in tree.paths.items()}
+
+    def named(p):
+        return () if not p else (*named(names[p][0]), names[p][1])
+
+    def factor(e):
+        out = 1.0
+        for x in path(e):
+            held = sum(len(t) for f, t, _ in blocks if x in path(f))
+            out *= 0.05 if tree.lowered[x] == 2 or (tree.lowered[x] and held <= total / 2) else 1.0
+        return out
+
+    of = [named(tree.path[e]) for e, _, _ in blocks]
+    own = [factor(e) for e, _, _ in blocks]
+    weight = {}
+    for p in set(of):
+        rows = [(len(t), len(html.PUNCTUATION.findall(t)), k) for (_, t, k), q in zip(blocks, of, strict=True) if q == p]
+        size = np.array([r[0] for r in rows], float)
+        marks, linked = sum(r[1] for r in rows) / len(rows), sum(r[2] for r in rows) / size.sum()
+        weight[p] = np.log(1 + size.mean() * (0.1 + marks) * (1 + size.std() / (1 + size.mean())) * (1 - linked) ** 2)
+    raw = [weight[p] * f for p, f in zip(of, own, strict=True)]
+    near = [(raw[max(0, k - 1)] + raw[k] + raw[min(len(raw) - 1, k + 1)]) / 3 for k in range(len(raw))]
+    out = []
+    for p, f in zip(of, own, strict=True):
+        smooth = np.mean([s for s, q in zip(near, of, strict=True) if q == p])
+        beside = np.mean([weight[q] for q in of if q[:-1] == p[:-1]])
+        out.append((0.5 * weight[p] + 0.25 * smooth + 0.25 * beside) * f)
+    return out
 
 
-@pytest.mark.parametrize("wrap", ["<div class='post has-comments'>", "<div class='with-sidebar'>", "<form id=aspnetForm>"])
-def test_html_names_and_forms_bar_no_page(wrap):
-    text = "Text of the page, with commas, that goes on, and on."
-    page = f"<body><nav>Menu</nav>{wrap}<p>{text}</p><p>{text}</p><div class=comments><p>First!</p></div></{wrap[1:].split()[0]}></body>"
-    assert html.main_text(page) == f"{text}\n\n{text}"
+def test_html_weights_are_those_of_the_definition(spark, sf):
+    pages = [f"<body>{p}</body>" for p, _ in LAYOUTS.values()] + [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()[:20]]
+    for p in pages:
+        tree, blocks = html.blocks_of(p)
+        if blocks:
+            assert html.fused_weights(tree, blocks, html.factors(tree, blocks)) == pytest.approx(plain_fused(tree, blocks))
 
 
-def test_html_weights_select_within_an_article():
-    text = "Text of the page, with commas, that goes on, and on, and on, to its end."
-    page = f"<body><article><h1><a href=t>Title</a></h1><p>{text}</p><p>{text}</p><p>{text}</p><ul><li><a href=x>Elsewhere</a></li><li><a href=y>Other</a></li><li><a href=z>More</a></li></ul></article></body>"
-    assert html.main_text(page) == "\n\n".join(["Title", text, text, text])
+def test_html_bears_deep_and_long_pages():
+    n = 100_000
+    assert html.main_text("<div>" * n + f"<p>{LONG}</p>" + "</span>" * n) == LONG
+    assert html.main_text("<div>" * n + "</section>" * n + f"<p>{LONG}</p>") == LONG
+    assert html.main_text(f"<p>{LONG}</p>" * 20_000).count(LONG) == 20_000
+    assert html.main_text("<p>" + "word, " * 300_000).count("word") == 300_000
 
 
 def test_html_of_the_sample(spark, sf):
