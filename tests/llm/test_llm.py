@@ -261,12 +261,42 @@ def test_mixed_blocks_agree_with_the_plan(docs, texts):
     blocks = mixing.mixed_blocks(docs).collect()
     assert len({(r.shard, r.slot) for r in blocks}) == len(blocks) and max(r.shard * mixing.SHARD + r.slot for r in blocks) == len(blocks) - 1
     assert all(len(WORD.findall(r.text)) == r.n_words <= mixing.BLOCK for r in blocks)
-    assert sum(r.n_words for r in blocks) == sum(plan.values())
-    assert {i for r in blocks for i in r.doc_ids} == {i for i, n in plan.items() if n}
+    taken = Counter()
+    for r in blocks:
+        for i, part in zip(r.doc_ids, r.text.split("\n"), strict=True):
+            taken[i] += len(WORD.findall(part))
+    assert {i: n for i, n in plan.items() if n} == taken
     again = {(r.shard, r.slot, r.text) for r in mixing.mixed_blocks(docs.repartition(3)).collect()}
     assert again == {(r.shard, r.slot, r.text) for r in blocks}
 
 
+def test_draws_of_shards(docs):
+    plan = mixing.planned(common.stage_table(mixing.sized(docs), "test"))
+    targets = {r.skey: r for r in plan.targets.collect()}
+    got = mixing.draws(plan, shard=32).collect()
+    assert sorted(r.place for r in got) == list(range(plan.slots)) and plan.slots == sum(t.quota for t in targets.values())
+    uses = Counter((r.skey, r.idx) for r in got)
+    for skey, t in targets.items():
+        assert sum(n for (s, _), n in uses.items() if s == skey) == t.quota
+        assert all(uses[skey, k] in (t.quota // t.n, -(-t.quota // t.n)) for k in range(t.n))
+    # Counts of a shard vary as those of independent draws do: the sum of squared deviations by variance is near its mean.
+    shards = plan.slots // 32
+    counts = Counter((r.place // 32, r.skey) for r in got)
+    for skey, t in targets.items():
+        share = t.quota / plan.slots
+        if 0.05 < share < 0.95:
+            spread = sum((counts[k, skey] - 32 * share) ** 2 for k in range(shards)) / (32 * share * (1 - share))
+            assert shards - 5 * (2 * shards) ** 0.5 < spread < shards + 5 * (2 * shards) ** 0.5
+
+
+def test_mixing_bears_null_and_repeated_ids(spark):
+    t = [f"w{k} " * (k % 7 + 1) for k in range(300)] + ["same text"] * 50
+    d = spark.createDataFrame(rows(t, [None] * 200 + [1] * 150), SCHEMA)
+    got = mixing.mix_documents(d).collect()
+    assert sorted((r.doc_id or 0, r.size) for r in got) == sorted(((None if k < 200 else 1) or 0, len(x.split())) for k, x in enumerate(t))
+    assert sum(r.taken for r in got) == sum(r.n_words for r in mixing.mixed_blocks(d).collect()) and abs(sum(r.taken for r in got) - sum(len(x.split()) for x in t)) <= mixing.BLOCK
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 64, 1000):
         got = sorted(r[0] for r in spark.range(n).select(mixing.permute(F.col("id"), F.lit(n).cast("long"), F.lit(5).cast("long"))).collect())

@@ -1,10 +1,12 @@
 """Mixing sources to target weights: packed blocks, multinomial shard counts, per-source index permutations.
 
 Only DataFrame functions are used. Words of a source are laid out one document after the other and cut into
-blocks of a fixed length. A source's target becomes a number of block draws (its quota). All draws of all
-sources are dealt to output slots by a keyed permutation, so the source counts of an output shard follow the
-multinomial draw conditioned on the quotas, and the totals are met exactly. Draw k of a source takes block
-perm(k mod n) of pass k div n, perm being a keyed permutation of the source's block numbers of that pass.
+blocks of a fixed length. A source's target becomes a number of block draws (its quota). Each slot of an output
+shard draws its source with probability quota by slots, so a shard's source counts are a multinomial draw. The
+slots of a source are numbered from shard to shard; those beyond its quota, a few at the end, are given to the
+sources that were drawn too seldom, so that totals meet the quotas. Slot k of a source takes block perm(k mod n)
+of pass k div n, perm being a keyed permutation of the source's n block numbers of that pass, and slots and
+blocks are joined by that number.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; documents of
 size 0 are kept and take nothing; repeated rows are separate documents; an empty table gives an empty result;
@@ -13,17 +15,21 @@ other columns are ignored.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textmill.llm.common import WORD
+from textmill.llm.common import WORD, stage_table
 
 #: Words in a block, blocks in an output shard.
 BLOCK, SHARD = 64, 1024
 WEIGHTS = (5, 2, 1)
 CAP = 3
-#: Parts into which each source is dealt for its running totals, and draws per generating row.
-CHUNKS, DRAWS = 1024, 8192
+#: Words of a chunk, for which a source's running totals are made at once; shards whose slots are numbered at once.
+CHUNK_WORDS, NUMBERED = 1 << 22, 64
+#: Cells that the slots' draws are looked up by; sources up to which the table of cells is broadcast; slots of a task.
+CELLS, SOURCES, TASK_SLOTS = 4096, 1024, 1 << 20
 
 
 def permute(x: Column, n: Column, key: Column, rounds: int = 12) -> Column:
@@ -38,14 +44,14 @@ def permute(x: Column, n: Column, key: Column, rounds: int = 12) -> Column:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """The columns of docs with size (words) and skey (the source, null told apart from any string)."""
-    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    """doc_id, source, skey (the source, null told apart from any string), size (words) and th, a hash of the text; written once, as counting words is most of the work."""
+    text = F.coalesce("text", F.lit(""))
     skey = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
-    return docs.withColumns({"size": size, "skey": skey})
+    return docs.select("doc_id", "source", skey.alias("skey"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64("text").alias("th"))
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP, block: int = BLOCK) -> DataFrame:
-    """One row per source: source_size, target, blocks (n), quota (block draws) and first (its first draw's number).
+    """One row per source: source_size, target, blocks (n), quota (block draws), first (its first place among all quotas) and slots (all quotas).
 
     Targets fill by weight up to cap times the source's size: with sources by rising cap/weight, the first of
     which the cap exceeds the level left for it and all after it get level times weight.
@@ -68,47 +74,92 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP, block: i
     return s.withColumn("first", F.coalesce(run, F.lit(0))).select("skey", "source_size", "target", "n", "quota", "first", F.sum("quota").over(Window.partitionBy()).alias("slots"))
 
 
-def draws(targets: DataFrame, seed: int = 17) -> DataFrame:
-    """One row per draw: skey, idx (block), shard and slot in the output. Made from ranges, so a large source is many rows at once."""
-    t = targets.where("quota > 0").withColumn("part", F.explode(F.expr(f"sequence(0L, (quota - 1) div {DRAWS})")))
-    # By number, since the optimizer would put these few rows, from which many are made, into one task.
-    t = t.repartition(int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")), "skey", "part")
-    t = t.withColumn("k", F.explode(F.expr(f"sequence(part * {DRAWS}, least(quota, (part + 1) * {DRAWS}) - 1)")))
+@dataclass
+class Plan:
+    """The sources' targets, and how many words, slots and sources there are."""
+
+    targets: DataFrame
+    words: int
+    slots: int
+    sources: int
+
+
+def planned(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP, block: int = BLOCK) -> Plan:
+    targets = stage_table(source_targets(sizes, weights, cap, block), "mixing")
+    words, slots, sources = targets.agg(F.sum("source_size"), F.max("slots"), F.count("*")).first()
+    return Plan(targets, words or 0, slots or 0, sources)
+
+
+def drawn(plan: Plan, seed: int) -> DataFrame:
+    """One row per slot: place (its number over all shards), skey and quota of the source that it draws.
+
+    A draw is a number below slots; the sources' quotas, one after the other, are its ranges. Ranges are found by
+    cells of equal width, of which each source has those that its range touches.
+    """
+    slots = max(1, plan.slots)
+    cells = max(1, min(slots, max(CELLS, slots // TASK_SLOTS)))
+    last = F.col("first") + F.col("quota") - 1
+    t = plan.targets.where("quota > 0").select("skey", "quota", "first", F.explode(F.expr(f"sequence(first * {cells} div {slots}, (first + quota - 1) * {cells} div {slots})")).alias("cell"), last.alias("last"))
+    t = F.broadcast(t) if plan.sources <= SOURCES else t.hint("merge")  # at most CELLS rows more than sources
+    spark = plan.targets.sparkSession
+    tasks = max(1, min(plan.slots // (TASK_SLOTS // 16), int(spark.conf.get("spark.sql.shuffle.partitions"))), plan.slots // TASK_SLOTS)
+    s = spark.range(0, plan.slots, 1, tasks).select(F.col("id").alias("place"), F.pmod(F.xxhash64(F.lit(seed), F.lit("slot"), "id"), F.lit(slots)).alias("u"))
+    s = s.withColumn("cell", F.expr(f"u * {cells} div {slots}"))
+    return s.join(t, "cell").where("u BETWEEN first AND last").select("place", "skey", "quota")
+
+
+def draws(plan: Plan, seed: int = 17, shard: int = SHARD) -> DataFrame:
+    """One row per output slot: place, skey and idx, the block that it takes."""
+    d = drawn(plan, seed).withColumn("part", F.expr(f"place div {NUMBERED * shard}"))
+    counts = d.groupBy("skey", "part").agg(F.count("*").alias("m"))
+    before = F.sum("m").over(Window.partitionBy("skey").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("skey", "part", F.coalesce(before, F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("skey", "part").orderBy("place")) - 1
+    d = d.withColumn("own", own).join(counts.hint("merge"), ["skey", "part"]).select("place", "skey", "quota", (F.col("own") + F.col("before")).alias("k"))
+    # Slots beyond a source's quota, about the root of all slots: they take, in order, the draws that other sources lack.
+    total = drawn(plan, seed).groupBy("skey").agg(F.count("*").alias("m"))
+    lacking = plan.targets.where("quota > 0").join(total, "skey", "left").withColumn("m", F.coalesce("m", F.lit(0))).where("m < quota")
+    lacking = lacking.select("skey", F.explode(F.expr("sequence(m, quota - 1)")).alias("k")).withColumn("turn", F.row_number().over(Window.orderBy("skey", "k")))
+    over = d.where("k >= quota").select("place", F.row_number().over(Window.orderBy("place")).alias("turn"))
+    moved = over.join(lacking, "turn").select("place", "skey", "k")
+    out = d.where("k < quota").select("place", "skey", "k").union(moved)
+    blocks = plan.targets.select("skey", "n")
+    out = out.join(F.broadcast(blocks) if plan.sources <= SOURCES else blocks.hint("merge"), "skey")
     turn = F.xxhash64(F.lit(seed), "skey", F.expr("k div n"))
-    t = t.withColumn("idx", permute(F.expr("k % n"), F.col("n"), turn))
-    return t.withColumn("place", permute(F.col("first") + F.col("k"), F.col("slots"), F.xxhash64(F.lit(seed), F.lit("slots"))))
+    return out.select("place", "skey", permute(F.expr("k % n"), F.col("n"), turn).alias("idx"))
 
 
-def laid_out(sizes: DataFrame) -> DataFrame:
-    """Adds off: the words of the source before this document. Each source is dealt over CHUNKS parts, so no task holds a source."""
-    d = sizes.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(CHUNKS)))
+def laid_out(sizes: DataFrame, words: int) -> DataFrame:
+    """Documents with words, and off: the words of the source before each. Each source is dealt over as many chunks as all words need, so no task holds a source."""
+    chunks = max(1, -(-words // CHUNK_WORDS))
+    d = sizes.where("size > 0").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "th"), F.lit(chunks)))
     sums = d.groupBy("skey", "chunk").agg(F.sum("size").alias("s"))
     run = Window.partitionBy("skey").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("skey", "chunk", F.coalesce(F.sum("s").over(run), F.lit(0)).alias("base"))
-    inner = Window.partitionBy("skey", "chunk").orderBy("doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("skey", "chunk").orderBy("doc_id", "size", "th").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("off", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    return d.join(sums, ["skey", "chunk"]).withColumn("off", F.col("off") + F.col("base")).drop("base", "chunk")
+    return d.join(sums.hint("merge"), ["skey", "chunk"]).withColumn("off", F.col("off") + F.col("base")).drop("base", "chunk")
 
 
 def pieces(laid: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per document and block it reaches into: idx, lo and hi (words of the document, hi not included)."""
-    p = laid.where("size > 0").withColumn("idx", F.explode(F.expr(f"sequence(off div {block}, (off + size - 1) div {block})")))
+    p = laid.withColumn("idx", F.explode(F.expr(f"sequence(off div {block}, (off + size - 1) div {block})")))
     return p.withColumns({"lo": F.greatest(F.col("idx") * block - F.col("off"), F.lit(0)), "hi": F.least((F.col("idx") + 1) * block - F.col("off"), F.col("size"))})
 
 
 def mix_documents(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, block: int = BLOCK, seed: int = 17) -> DataFrame:
     """What the mix takes of each document: doc_id, source, size, source_size, target, taken (words, repeats counted)."""
-    s = sized(docs.select("doc_id", "text", "source")).select("doc_id", "source", "skey", "size", F.lit(0).alias("tie"))
-    targets = source_targets(s, weights, cap, block)
-    used = draws(targets, seed).groupBy("skey", "idx").agg(F.count("*").alias("uses"))
-    laid = laid_out(s)
-    # The optimizer takes the draws for as small as the rows that they are made from; no side here is to be broadcast.
-    cut = pieces(laid, block).select("skey", "idx", "doc_id", "off", (F.col("hi") - F.col("lo")).alias("words"))
-    took = cut.join(used.hint("merge"), ["skey", "idx"]).groupBy("skey", "doc_id", "off").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
-    key = [F.col("l.skey") == F.col("t.skey"), F.col("l.doc_id").eqNullSafe(F.col("t.doc_id")), F.col("l.off") == F.col("t.off"), F.col("l.size") > 0]
-    out = laid.alias("l").join(took.alias("t"), key, "left").select("l.*", "taken")
-    out = out.join(targets.select("skey", "source_size", "target"), "skey")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    s = stage_table(sized(docs.select("doc_id", "text", "source")), "mixing")
+    plan = planned(s, weights, cap, block)
+    used = draws(plan, seed).groupBy("skey", "idx").agg(F.count("*").alias("uses"))
+    laid = laid_out(s, plan.words)
+    # Spark knows no sizes of draws and pieces, many rows made from few; none of them is to be broadcast.
+    cut = pieces(laid, block).select("skey", "idx", "doc_id", "source", "size", "off", (F.col("hi") - F.col("lo")).alias("words"))
+    took = cut.join(used.hint("merge"), ["skey", "idx"], "left").groupBy("skey", "off", "doc_id", "source", "size").agg(F.coalesce(F.sum(F.col("words") * F.col("uses")), F.lit(0)).alias("taken"))
+    none = s.where("size = 0").select("skey", "doc_id", "source", "size", F.lit(0).cast("long").alias("taken"))
+    of = plan.targets.select("skey", "source_size", "target")
+    out = took.drop("off").unionByName(none).join(F.broadcast(of) if plan.sources <= SOURCES else of.hint("merge"), "skey")
+    return out.select("doc_id", "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
 
 
 def mixed_blocks(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, block: int = BLOCK, shard: int = SHARD, seed: int = 17) -> DataFrame:
@@ -116,13 +167,20 @@ def mixed_blocks(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, block: int
 
     text has the words of the block, documents parted by a line break, the words of one by a space.
     """
-    s = sized(docs.select("doc_id", "text", "source")).withColumn("tie", F.xxhash64("text"))
-    targets = source_targets(s.select("skey", "size"), weights, cap, block)
-    laid = laid_out(s.select("doc_id", "source", "skey", "size", "tie", "text"))
-    cut = pieces(laid.withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), block)
-    cut = cut.select("skey", "source", "idx", "off", "doc_id", (F.col("hi") - F.col("lo")).alias("m"), F.array_join(F.slice("words", (F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")), " ").alias("part"))
+    docs = docs.select("doc_id", "text", "source")
+    s = stage_table(sized(docs), "mixing")
+    plan = planned(s, weights, cap, block)
+    # Texts meet the places of their documents once these are known: no window sorts texts. Rows equal in all are one text in several places.
+    key = ["doc_id", "th", "skey"]
+    places = laid_out(s, plan.words).groupBy(*key).agg(F.any_value("size").alias("size"), F.collect_list("off").alias("offs"))
+    texts = docs.withColumns({"th": F.xxhash64("text"), "skey": F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))}).where("text IS NOT NULL")
+    on = [F.col("t.doc_id").eqNullSafe(F.col("p.doc_id")), F.col("t.th") == F.col("p.th"), F.col("t.skey") == F.col("p.skey")]
+    found = texts.dropDuplicates(key).alias("t").join(places.hint("merge").alias("p"), on).select("p.*", "t.source", F.regexp_extract_all("t.text", F.lit(WORD), F.lit(0)).alias("words"))
+    cut = pieces(found.withColumn("off", F.explode("offs")).drop("offs"), block)
+    own = F.array_join(F.slice("words", (F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")), " ")
+    cut = cut.select("skey", "source", "idx", "off", "doc_id", (F.col("hi") - F.col("lo")).alias("m"), own.alias("part"))
     blocks = cut.groupBy("skey", "idx").agg(F.first("source").alias("source"), F.sum("m").alias("n_words"), F.sort_array(F.collect_list(F.struct("off", "doc_id", "part"))).alias("parts"))
-    out = blocks.join(draws(targets, seed).hint("merge"), ["skey", "idx"])
+    out = blocks.join(draws(plan, seed, shard).hint("merge"), ["skey", "idx"])
     return out.select(
         F.expr(f"place div {shard}").alias("shard"), F.expr(f"place % {shard}").alias("slot"), "source", F.col("idx").alias("block"), "n_words",
         F.col("parts.doc_id").alias("doc_ids"), F.array_join("parts.part", "\n").alias("text"),
