@@ -105,44 +105,34 @@ def tiles(index: DataFrame, tile: int = TILE) -> DataFrame:
     return d.select("g", "bytes", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp")
 
 
-def near_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes (x, y) of a and b whose fingerprints share LEAST_BYTES positional bytes and differ in BITS_APART bits at most."""
-    xs, ys = [], []
+def near_pairs(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indexes (x, y) of a and b whose fingerprints share LEAST_BYTES positional bytes (tallied first, for all) and differ in BITS_APART bits at most (verified then), some rows of a at a time."""
     for lo in range(0, len(a), 256):
         diff = a[lo : lo + 256, None] ^ b[None, :]
-        close = np.bitwise_count(diff) <= BITS_APART
-        x, y = np.nonzero(close)
-        shared = (diff[x, y].reshape(-1, 1).view(np.uint8) == 0).sum(1) if len(x) else np.zeros(0, int)
-        keep = shared >= LEAST_BYTES
-        xs.append(x[keep] + lo)
-        ys.append(y[keep])
-    return np.concatenate(xs), np.concatenate(ys)
-
-
-def _tallied(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """As near_pairs, for short lists: tally shared bytes first, verify those that reach the minimum."""
-    diff = a[:, None] ^ b[None, :]
-    tally = (diff.reshape(*diff.shape, 1).view(np.uint8) == 0).sum(2)
-    x, y = np.nonzero(tally >= LEAST_BYTES)
-    keep = np.bitwise_count(diff[x, y]) <= BITS_APART
-    return x[keep], y[keep]
-
-
-def _forest(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the pairs (a[x], b[y])."""
-    up: dict[int, int] = {}
-
-    def root(k: int) -> int:
-        while (v := up.setdefault(k, k)) != k:
-            up[k] = up[v]
-            k = up[k]
-        return k
-
-    out = []
-    for p, q in zip(a[x].tolist(), b[y].tolist(), strict=True):
-        if (r := root(p)) != (s := root(q)):
-            up[r] = s
-            out.append((p, q))
+        tally = np.zeros(diff.shape, np.uint8)
+        for position in range(8):
+            tally += diff >> np.uint64(8 * position) & np.uint64(255) == 0
+        x, y = np.nonzero(tally >= LEAST_BYTES)
+        keep = np.bitwise_count(diff[x, y]) <= BITS_APART
+        yield x[keep] + lo, y[keep]
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the near pairs. Pairs within one tree are left as they come, so what is held grows with the entries, not the pairs."""
+    entries = np.unique(np.concatenate([a, b]))
+    at, bt = np.searchsorted(entries, a), np.searchsorted(entries, b)
+    tree, out = np.arange(len(entries)), []
+    for x, y in near_pairs(a, b):
+        p, q = at[x], bt[y]
+        while len(p := p[open_ := tree[p] != tree[q]]):
+            q = q[open_]
+            # One link for each pair of trees, then of these the first for each tree, so that no two make a ring.
+            _, first = np.unique(np.maximum(tree[p], tree[q]), return_index=True)
+            for i, j in zip(p[first].tolist(), q[first].tolist(), strict=True):
+                r, s = tree[i], tree[j]
+                if r != s:
+                    out.append((int(entries[i]), int(entries[j])))
+                    tree[tree == max(r, s)] = min(r, s)
     return out
 
 
@@ -160,7 +150,7 @@ def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             v, o = fp[lo:hi], own[lo:hi]
             a, b = (v, v) if i[lo] == j[lo] else (v[o == i[lo]], v[o == j[lo]])
             if len(a) and len(b):
-                out += _forest(a, b, *(_tallied if len(a) * len(b) <= 4096 else near_pairs)(a, b))
+                out += _forest(a, b)
         pairs = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
