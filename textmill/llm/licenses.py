@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textmill.llm.common import ascii_lower
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Phrases that count as a place wherever their words stand consecutively. Fixed values.
@@ -62,7 +64,7 @@ def shared_pairs(docs: DataFrame, templates: DataFrame, grams: list[int]) -> Dat
     The pairs of a text are hashed in place and those that no template has are left before rows are made of
     them, so the join gets the rows that can match and the words with which it verifies them.
     """
-    d = docs.select("doc_id", "h", words_of(F.lower("text")).alias("words"))
+    d = docs.select("doc_id", "h", words_of(ascii_lower(F.col("text"))).alias("words"))
     d = d.select("doc_id", "h", "words", F.zip_with("words", F.expr("slice(words, 2, greatest(size(words) - 1, 0))"), lambda a, b: F.xxhash64(a, b)).alias("grams"))
     places = F.filter(F.transform("grams", lambda g, i: F.when(g.isin(grams), i)), lambda i: i.isNotNull() & (i < F.size("words") - 1))
     d = d.select("doc_id", "h", F.explode(F.transform(places, lambda i: F.struct(i.alias("pos"), F.get("grams", i).alias("gram"), F.get("words", i).alias("a"), F.get("words", i + 1).alias("b")))).alias("p"))
@@ -100,7 +102,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         F.max("cover").alias("score"),
         F.sort_array(F.collect_list(F.struct("start", "stop", "label", "cover"))).alias("spans"),
     )
-    d = d.select("doc_id", "h", F.regexp_count(F.lower("text"), F.lit(WORD)).cast("long").alias("n_words"))
+    d = d.select("doc_id", "h", F.regexp_count(ascii_lower(F.col("text")), F.lit(WORD)).cast("long").alias("n_words"))
     out = d.alias("d").join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.h") == F.col("f.h")), "left")
     return out.select(
         "d.doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), F.col("first_word").cast("long"), F.col("last_word").cast("long"),
@@ -120,7 +122,7 @@ def oracle() -> str:
         values += [f"({tid}, '{label}', {base}, {len(words) - 1}, {i}, '{words[i]}', '{words[i + 1]}')" for i in range(len(words) - 1)]
     return f"""
 WITH t(tid, label, base, pairs, tpos, w1, w2) AS (VALUES {", ".join(values)}),
-d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 u AS (SELECT doc_id, unnest(list_zip(w[:len(w) - 1], w[2:])) AS p, generate_subscripts(w[2:], 1) - 1 AS pos FROM d WHERE len(w) > 1),
 x AS (SELECT doc_id, pos, p[1] AS a, p[2] AS b FROM u),
 hit AS (SELECT DISTINCT doc_id, tid, label, base, pairs, pos, tpos, pos - tpos AS diag FROM x JOIN t ON a = w1 AND b = w2),
