@@ -9,7 +9,8 @@ a match and are left at once, for all passages of many texts in one step. All ot
 WAND, which gives all items above the threshold. A match counts if five-word shingles of the item's question
 (its first two thirds) and of its answer (the rest) both overlap with the passage.
 
-Items are indexed in blocks of ITEMS, which bounds what is broadcast; texts are read once for each block.
+Items are indexed in blocks of ITEMS (and ITEM_CHARS), which bounds what is broadcast and what the driver holds;
+texts are read once for each block, and what a block finds is written before the next one's index is made.
 
 Defined results: null and empty texts and items match nothing; an item of fewer than five words in a part is
 compared by all the words of that part; repeated rows of documents give repeated rows; each distinct
@@ -22,15 +23,14 @@ dropped); other columns are ignored or, by the filter, kept.
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm.common import stage_table
+from textmill.llm.common import drop_staged, stage_table
 from textmill.llm.tokens import in_pieces, powers
 
 K1, B = 1.2, 0.75
@@ -38,8 +38,8 @@ K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, SHINGLE = 0.6, 0.5, 5
 #: Largest share of the items for a rare term.
 RARE = 0.1
-#: Least words of a passage, postings of a block, items of an index.
-PASSAGE, BLOCK, ITEMS = 128, 32, 50_000
+#: Least words of a passage, postings of a block, items of an index and characters of their texts.
+PASSAGE, BLOCK, ITEMS, ITEM_CHARS = 128, 32, 50_000, 1 << 25
 
 WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[128:] = True
@@ -83,20 +83,20 @@ class Index:
         words, first = hashed_words([t for _, t in items])
         each = [words[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
         self.passage = max(PASSAGE, 2 * max((len(w) for w in each), default=0))
-        lists: dict[int, list[tuple[int, float]]] = {}
+        postings = []
         self.question, self.answer = [], []
         for k, w in enumerate(each):
-            tf = Counter(w.tolist())
-            impact = {t: math.log(1 + (total - frequency[t] + 0.5) / (frequency[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(w) / mean_length)) for t, n in tf.items()}
-            own = sum(impact.values())
-            for t, x in impact.items():
-                lists.setdefault(t, []).append((k, x / own))
+            terms, n = np.unique(w, return_counts=True)
+            df = np.array([frequency[t] for t in terms.tolist()], float)
+            impact = np.log(1 + (total - df + 0.5) / (df + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(w) / mean_length))
+            postings.append((terms, np.full(len(terms), k), impact / impact.sum()))
             cut = max(1, 2 * len(w) // 3) if len(w) > 1 else len(w)
             self.question.append(shingles(w[:cut]))
             self.answer.append(shingles(w[cut:]))
-        self.terms = np.array(sorted(lists), np.uint64)
-        self.items = [np.array([k for k, _ in lists[t]]) for t in self.terms.tolist()]
-        self.impacts = [np.array([x for _, x in lists[t]]) for t in self.terms.tolist()]
+        term, item, impact = (np.concatenate(x) for x in zip(*postings, strict=True))
+        order = np.argsort(term, kind="stable")
+        self.terms, first = np.unique(term[order], return_index=True)
+        self.items, self.impacts = np.split(item[order], first[1:]), np.split(impact[order], first[1:])
         self.most = np.array([x.max() for x in self.impacts])
         self.block_most = [np.maximum.reduceat(x, np.arange(0, len(x), BLOCK)) for x in self.impacts]
         counts = np.array([len(x) for x in self.items], np.int64)
@@ -228,44 +228,68 @@ def runs(words: np.ndarray, n: int) -> np.ndarray:
     return shingles(words, n) if len(words) >= n else words[:0]
 
 
-def indexes(items: DataFrame, per_block: int = ITEMS) -> Iterator[Index]:
-    """Indexes of at most about per_block items each; statistics are over all items.
+def indexes(items: DataFrame, per_block: int = ITEMS, block_chars: int = ITEM_CHARS) -> Iterator[Index]:
+    """Indexes of at most about per_block items, and block_chars of their texts, each; statistics are over all items.
 
-    An item is a distinct (item_id, text); a row without an id is one if no row with an id has its text.
+    An item is a distinct (item_id, text); a row without an id is one if no row with an id has its text. Only
+    one block's items, and the frequencies of its terms, are with the driver at a time.
     """
     named = items.where("text IS NOT NULL").select("item_id", "text").distinct()
     d = named.groupBy("text").agg(F.collect_set("item_id").alias("ids")).select(F.explode_outer("ids").alias("item_id"), "text")
-    total = d.count()
+    total, chars = d.agg(F.count("*"), F.sum(F.length("text"))).first()
     if not total:
         return
-    parts = math.ceil(total / per_block)
-    d = d.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
-    frequency: Counter[int] = Counter()
-    length = 0
-    blocks = [d.where(F.col("part") == p).select("item_id", "text").orderBy("item_id", "text") for p in range(parts)]
-    for b in blocks:
-        rows = b.collect()
-        words, first = hashed_words([r[1] for r in rows])
-        length += len(words)
-        for lo, hi in zip(first[:-1], first[1:], strict=True):
-            frequency.update(set(words[lo:hi].tolist()))
-        if parts == 1:
-            yield Index([tuple(r) for r in rows], frequency, total, max(1.0, length / total))
-            return
-    for b in blocks:
-        yield Index([tuple(r) for r in b.collect()], frequency, total, max(1.0, length / total))
+    parts = max(math.ceil(total / per_block), math.ceil(chars / block_chars))
+    d = stage_table(d.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))), "items")
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each item's different terms, and with term null its number of words."""
+        for b in batches:
+            words, first = hashed_words(b.column(0).to_pylist())
+            each = [np.unique(words[lo:hi]) for lo, hi in zip(first[:-1], first[1:], strict=True)]
+            own = np.concatenate([b.column(1).to_numpy().repeat([len(x) for x in each]), b.column(1).to_numpy()])
+            found = pa.array(np.concatenate([np.concatenate(each).view(np.int64), np.zeros(len(each), np.int64)]), mask=np.arange(len(own)) >= len(own) - len(each))
+            yield pa.RecordBatch.from_arrays([pa.array(own), found, pa.array(np.concatenate([np.ones(len(own) - len(each)), np.diff(first)]).astype(np.int64))], names=["part", "term", "n"])
+
+    t = stage_table(d.select("text", "part").mapInArrow(terms, "part long, term long, n long").groupBy("part", "term").agg(F.sum("n").alias("n")), "terms")
+    length = t.where("term IS NULL").agg(F.sum("n")).first()[0]
+    frequency = t.where("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("n"))
+    for p in range(parts):
+        rows = d.where(F.col("part") == p).select("item_id", "text").orderBy("item_id", "text").collect()
+        if rows:
+            own = t.where((F.col("part") == p) & F.col("term").isNotNull()).select("term")
+            of = frequency.join(own, "term", "left_semi").collect()
+            yield Index([tuple(r) for r in rows], {r[0] & (1 << 64) - 1: r[1] for r in of}, total, max(1.0, length / total))
+    drop_staged(t)
+    drop_staged(d)
+
+
+def _each_index(items: DataFrame, per_block: int, use: Callable) -> Iterator[DataFrame]:
+    """use(broadcast index) for each block of items in turn; written, and its broadcast dropped, before the next block's unless it is the only one."""
+    spark = items.sparkSession
+    found, held = None, None
+    for index in indexes(items, per_block):
+        if found is not None:
+            yield _settled(found, held)
+        held = spark.sparkContext.broadcast(index)  # at most per_block items
+        found = use(held)
+    if found is not None:
+        yield found
+
+
+def _settled(found: DataFrame, held) -> DataFrame:
+    out = stage_table(found, "decontaminate")
+    held.destroy()
+    return out
 
 
 def contaminated(docs: DataFrame, items: DataFrame, per_block: int = ITEMS) -> DataFrame:
     """One row per row of docs and item that it holds: doc_id, item_id, score, question_overlap, answer_overlap."""
-    spark = docs.sparkSession
     shape = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
-    out = spark.createDataFrame([], shape)
-    for index in indexes(items, per_block):
-        held = spark.sparkContext.broadcast(index)  # at most per_block items
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+    def use(held) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = held.value
             for b in batches:
                 done = 0
@@ -277,20 +301,20 @@ def contaminated(docs: DataFrame, items: DataFrame, per_block: int = ITEMS) -> D
                         yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, [pa.int64()] * 2 + [pa.float64()] * 3, strict=True)], names=names)
                     done += len(texts)
 
-        out = out.union(docs.select("doc_id", "text").mapInArrow(run, shape))
+        return docs.select("doc_id", "text").mapInArrow(run, shape)
+
+    out = docs.sparkSession.createDataFrame([], shape)
+    for found in _each_index(items, per_block, use):
+        out = out.union(found)
     return out
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, per_block: int = ITEMS) -> DataFrame:
     """The rows of docs that hold no test item, decided for each row by its own text."""
-    at = docs.columns.index("text")
-    kept = docs
-    for n, index in enumerate(indexes(items, per_block)):
-        if n:
-            kept = stage_table(kept, "decontaminate")  # so that a task holds one index at a time
-        held = docs.sparkSession.sparkContext.broadcast(index)  # at most per_block items
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+    at, kept = docs.columns.index("text"), docs
+
+    def use(held) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = held.value
             for b in batches:
                 clean, done = np.ones(b.num_rows, bool), 0
@@ -299,7 +323,10 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, per_block: int = ITEMS)
                     done += len(texts)
                 yield b.filter(pa.array(clean))
 
-        kept = kept.mapInArrow(run, docs.schema)
+        return kept.mapInArrow(run, docs.schema)
+
+    for found in _each_index(items, per_block, use):
+        kept = found
     return kept
 
 
