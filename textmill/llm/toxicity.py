@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from textmill.llm.langid import held_out
 from textmill.llm.tokens import Words, in_pieces, words_of
 
-#: Lengths of word beginnings; labelled documents that the model is fitted on at most (about); strings in the lexicon at most.
-BEGINNINGS, TRAIN_DOCS, LEXICON = (4, 5, 6, 7, 8), 12000, 4096
+#: Lengths of word beginnings; labelled documents, and characters of them, that the model is fitted on at most (about).
+BEGINNINGS, TRAIN_DOCS, TRAIN_CHARS = (4, 5, 6, 7, 8), 12000, 1 << 26
 #: Least likelihood ratio (G squared), least documents and least ratio of shares for a string of the lexicon.
 LEAST_G, LEAST_DOCS, LEAST_RATIO = 28.0, 4, 3.0
 TOXIC_FROM = 0.3
@@ -99,7 +99,7 @@ def learn_lexicon(toxic: list[str], clean: list[str]) -> np.ndarray:
 
     g = 2 * (part(pos, a) + part(neg, b))
     keep = np.flatnonzero((g >= LEAST_G) & (pos / a >= LEAST_RATIO * (neg + 0.5) / (b + 1)))
-    return strings[keep[np.argsort(-g[keep], kind="stable")][:LEXICON]]
+    return strings[keep]
 
 
 class Chain:
@@ -169,27 +169,26 @@ class Chain:
 class Model:
     def __init__(self, lexicon: Lexicon, chain: Chain):
         self.lexicon, self.chain, self.final = lexicon, chain, np.zeros(4)
+        #: The marginal of a word far from any string of the lexicon.
+        self.quiet = float(chain.marginals(np.full(257, np.clip(chain.bias, -30, 30)), np.array([0, 257]))[0][128])
 
     def word_marginals(self, texts: list[str]) -> tuple[Words, np.ndarray]:
         w = words_of(texts)
         words, places = self.lexicon.find(w)
         return w, self.chain.marginals(self.chain.emissions(len(w.start), words, places), w.first)[0]
 
+    def signals_of(self, w: Words, p: np.ndarray) -> np.ndarray:
+        """Texts x (1, log of the sum, largest, log of the density) of the marginals over what a word far from hits has."""
+        texts = len(w.first) - 1
+        over = np.maximum(p - self.quiet, 0)
+        doc, n = np.repeat(np.arange(texts), np.diff(w.first)), np.maximum(np.diff(w.first), 1)
+        total, most = np.bincount(doc, weights=over, minlength=texts), np.zeros(texts)
+        np.maximum.at(most, doc, over)
+        return np.stack([np.ones(texts), np.log1p(total), most, np.log1p(1000 * total / n)], 1)
+
     def signals(self, texts: list[str]) -> np.ndarray:
-        """Texts x (1, log of the sum, largest, log of the density) of the marginals over what a text without hits has."""
-        out = np.zeros((len(texts), 4))
-        out[:, 0] = 1
-        done = 0
-        for piece in in_pieces(texts):
-            w, p = self.word_marginals(piece)
-            p = np.where(p >= 0.02, p, 0)
-            doc, n = np.repeat(np.arange(len(piece)), np.diff(w.first)), np.maximum(np.diff(w.first), 1)
-            total = np.bincount(doc, weights=p, minlength=len(piece))
-            most = np.zeros(len(piece))
-            np.maximum.at(most, doc, p)
-            out[done : done + len(piece), 1:] = np.stack([np.log1p(total), most, np.log1p(1000 * total / n)], 1)
-            done += len(piece)
-        return out
+        out = [self.signals_of(*self.word_marginals(piece)) for piece in in_pieces(texts)]
+        return np.concatenate(out) if out else np.zeros((0, 4))
 
     def scores(self, texts: list[str]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.signals(texts) @ self.final, -30, 30)))
@@ -240,14 +239,14 @@ def learn(texts: list[str], label: np.ndarray) -> Model | None:
     return model
 
 
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, seed: int = 9) -> Model | None:
-    """The model from docs(text, toxic 0 or 1), on about train_docs of them taken by a hash of doc_id and text (of the text alone, copies would come all or none); fitted in one task, as the sample is bounded."""
+def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS, seed: int = 9) -> Model | None:
+    """The model from docs(text, toxic 0 or 1), on about train_docs of them, and train_chars of their texts, taken by a hash of doc_id and text (of the text alone, copies would come all or none); fitted in one task, as the sample is bounded."""
     key = [c for c in ("doc_id", "text") if c in docs.columns]
     d = docs.where("toxic IS NOT NULL").withColumns({"text": F.coalesce("text", F.lit("")), "toxic": F.col("toxic").cast("int")}).select("toxic", *key)
-    total = d.count()
+    total, chars = d.agg(F.count("*"), F.sum(F.length("text"))).first()
     if not total:
         return None
-    share = min(1.0, train_docs / total)
+    share = min(1.0, train_docs / total, train_chars / max(1, chars))
     d = d.where(F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -270,14 +269,9 @@ def score_toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(series: pd.Series) -> pd.DataFrame:
         model, scores, spans = held.value, [], []
         for texts in in_pieces(series):
-            x = np.ones((len(texts), 4))
             w, p = model.word_marginals(texts)
-            doc, n = np.repeat(np.arange(len(texts)), np.diff(w.first)), np.maximum(np.diff(w.first), 1)
-            kept = np.where(p >= 0.02, p, 0)
-            total, most = np.bincount(doc, weights=kept, minlength=len(texts)), np.zeros(len(texts))
-            np.maximum.at(most, doc, kept)
-            x[:, 1:] = np.stack([np.log1p(total), most, np.log1p(1000 * total / n)], 1)
-            scores.append(1 / (1 + np.exp(-np.clip(x @ model.final, -30, 30))))
+            doc = np.repeat(np.arange(len(texts)), np.diff(w.first))
+            scores.append(1 / (1 + np.exp(-np.clip(model.signals_of(w, p) @ model.final, -30, 30))))
             own: list[list[dict]] = [[] for _ in texts]
             at = np.flatnonzero(p >= 0.5)
             for k in np.split(at, np.flatnonzero((np.diff(at) > 1) | (np.diff(doc[at]) > 0)) + 1) if len(at) else []:
@@ -295,4 +289,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     train = docs.select("doc_id", "text").where(~held_out(F.col("doc_id"), 4, 2)).join(labels, "doc_id")
     out = score_toxicity(docs, fit(train))
-    return out.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"), "spans")
