@@ -94,6 +94,18 @@ def test_simhash_links_within_three_bits(spark):
                 assert (roots.get(a, a) == roots.get(signed[j], signed[j])) == (wanted[i] == wanted[j])
 
 
+def test_simhash_near_pairs_and_forests():
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
+    flips = [sum(1 << int(k) for k in rng.choice(64, n, replace=False)) for n in rng.integers(0, 3, 400)]
+    a = np.unique(np.array([int(base[k % 3]) ^ f for k, f in enumerate(flips)], np.uint64))
+    got = {(x, y) for xs, ys in simhash.near_pairs(a, a) for x, y in zip(xs.tolist(), ys.tolist(), strict=True)}
+    assert got == {(i, j) for i, p in enumerate(a.tolist()) for j, q in enumerate(a.tolist()) if (p ^ q).bit_count() <= 3}
+    links = simhash._forest(a, a)
+    parts = plain_components(list(enumerate(a.tolist())))
+    assert len(links) == len(a) - len(set(parts.values())) and all((p ^ q).bit_count() <= 3 for p, q in links)
+
+
 def test_simhash_odd(odd, empty):
     got = simhash.near_duplicate_classes(odd).collect()
     assert len(got) == odd.count()
@@ -615,6 +627,41 @@ def test_wand_finds_what_scanning_finds(spark, sf):
             assert dict(index.wand(terms, bar)).keys() == {k for k, x in scores.items() if x >= bar - 1e-9}
 
 
+def test_matches_are_those_of_scoring_every_pair(spark, sf):
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    (index,) = decontaminate.indexes(items)
+    by_id = {r.item_id: r.text for r in items.collect()}
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()] + [r.text for r in items.collect()]
+    texts += [" ".join(t.split()[: len(t.split()) * 3 // 4]) for t in texts[-40:]] + ["", "word"]
+    weight = [dict() for _ in index.ids]
+    for t, k, x in zip(index.terms.tolist(), index.items, index.impacts, strict=True):
+        for item, impact in zip(k.tolist(), x.tolist(), strict=True):
+            weight[item][t] = impact
+    assert all(abs(sum(w.values()) - 1) < 1e-9 for w in weight)
+    wanted, half = {}, index.passage // 2
+    for d, text in enumerate(texts):
+        words, _ = decontaminate.hashed_words([text])
+        for lo in range(-half, len(words), half):
+            own = words[max(0, lo) : lo + index.passage]
+            have, runs = set(own.tolist()), {n: {tuple(own[i : i + n].tolist()) for i in range(len(own) - n + 1)} for n in range(1, 6)}
+            for k, w in enumerate(weight):
+                score = sum(x for t, x in w.items() if t in have)
+                if score < decontaminate.THRESHOLD - 1e-9:
+                    continue
+                item, _ = decontaminate.hashed_words([by_id[index.ids[k]]])
+                cut = max(1, 2 * len(item) // 3) if len(item) > 1 else len(item)
+                shares = []
+                for part in (item[:cut], item[cut:]):
+                    n = min(5, len(part))
+                    own_runs = {tuple(part[i : i + n].tolist()) for i in range(len(part) - n + 1)} if n else set()
+                    shares.append(sum(r in runs[n] for r in own_runs) / len(own_runs) if own_runs else 1.0)
+                if min(shares) >= decontaminate.OVERLAP:
+                    wanted[d, k] = max(wanted.get((d, k), 0), score)
+    got = {(d, k): s for d, k, s, _, _ in index.matches(texts)}
+    assert got.keys() == wanted.keys() and len(got) > 40
+    assert all(got[x] == pytest.approx(wanted[x]) for x in got)
+
+
 def test_decontamination(spark):
     rng = np.random.default_rng(3)
     word = lambda: "".join(chr(97 + k) for k in rng.integers(0, 26, 5))
