@@ -228,15 +228,45 @@ def test_merged_transform_is_the_order_of_suffixes():
     rng = np.random.default_rng(2)
     strings = [bytes(rng.integers(97, 99, n).tolist()) for n in (120, 130, 101, 100, 140, 110)]
     strings += [strings[0][5:] + b"zz", strings[1][:105]]
-    interval, string, place = suffixes.repeated_intervals(strings)
-    found = {}
-    for i, s, p in zip(interval.tolist(), string.tolist(), place.tolist(), strict=True):
-        found.setdefault(i, set()).add((s, p))
     wanted = {}
     for s, text in enumerate(strings):
         for p in range(len(text) - 99):
             wanted.setdefault(text[p : p + 100], set()).add((s, p))
-    assert sorted(map(sorted, found.values())) == sorted(map(sorted, (v for v in wanted.values() if len(v) > 1)))
+    for shard in (1, 130, 300, 1 << 14):  # a shard for each string, of two or three strings, of half of them
+        interval, string, place = suffixes.repeated_intervals(strings, shard)
+        found = {}
+        for i, s, p in zip(interval.tolist(), string.tolist(), place.tolist(), strict=True):
+            found.setdefault(i, set()).add((s, p))
+        assert sorted(map(sorted, found.values())) == sorted(map(sorted, (v for v in wanted.values() if len(v) > 1)))
+
+
+@pytest.mark.parametrize("most", [2, 7])
+def test_repeats_with_split_keys(spark, monkeypatch, most):
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(chr(97 + k) for k in rng.integers(0, 26, 6))
+    common = " ".join(word() for _ in range(40))
+    t = [f"{word()} {word()} {common[a:b]} {word()} {word()}" for a, b in zip(rng.integers(0, 60, 40).tolist(), rng.integers(150, 280, 40).tolist(), strict=True)]
+    split = suffixes.split_keys
+    monkeypatch.setattr(suffixes, "split_keys", lambda strings: split(strings, most))
+    check_removal(spark.createDataFrame(rows(t), SCHEMA), dict(enumerate(t)))
+
+
+def test_settling_holds_across_batches():
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    r = pd.DataFrame({"h": rng.integers(0, 30, 400), "c": rng.integers(0, 3, 400), "did": rng.integers(0, 50, 400), "th": 0, "pos": rng.integers(0, 5, 400).astype(np.int32), "stop": np.int32(0), "own": np.int16(0)})
+    r.loc[r.h % 3 == 0, "c"] = 1
+    r = r.sort_values(["h", "c", "did", "th", "pos"], ignore_index=True)
+    wanted = []
+    for _, g in r.groupby("h"):
+        several = g.c.nunique() > 1
+        for _, k in g.groupby("c"):
+            first = tuple(k.iloc[0][["did", "pos"]])
+            wanted += [(*first, -1)] * several + [(x, y, 0) for x, y in zip(k.did, k.pos, strict=True) if (x, y) != first]
+    for size in (1, 3, 50, 400):
+        got = pd.concat(list(suffixes._settle(iter([r.iloc[k : k + size] for k in range(0, len(r), size)]))))
+        assert sorted(zip(got.did, got.pos, got.stop, strict=True)) == sorted(wanted)
 
 
 # Mixing

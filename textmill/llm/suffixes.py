@@ -6,22 +6,27 @@ are first reduced to where such strings can be, without losing one:
 
 1. Of each LENGTH-byte string the GRAM-byte part with the least hash is its anchor. Equal strings have equal
    anchors at equal places, so only strings around an anchor that stands in more places can repeat. Anchors
-   whose surroundings (all LENGTH-byte strings around them) are equal are settled by their order alone.
+   whose surroundings (all LENGTH-byte strings around them) are equal, by 64 bits of the anchor's hash and 64 of a
+   BLAKE2 digest of all these bytes, are settled by their order alone.
 2. Where surroundings of an anchor differ, a string that repeats holds half of what surrounds the anchor on
    the left or on the right. Each half that an anchor has in common with another gives a string of a shard.
-3. Shards are suffix-sorted each by itself into Burrows-Wheeler transforms (over pairs of bytes) and merged by
-   refining their interleave: reading both transforms in the order that holds for k symbols and dealing the
-   reads stably by symbol gives the order for k + 1. After half of LENGTH rounds, neighbours in the merged
-   order show their common prefixes, and runs of neighbours that share LENGTH bytes are the repeated
-   intervals; all but the earliest start of an interval are repeats.
-
-Defined results: a null text is empty; null doc_ids count as the largest; rows with equal doc_id are taken in
-order of a hash of their text, and rows equal in both are one document, reported for each row; an empty table
-gives an empty result; other columns are ignored.
+   A key (anchor and half) of more than KEY strings is split by where the repeat can start: each half of the
+   starts has more bytes in common, which make two finer keys, and so on down to one start.
+3. Shards are suffix-sorted each by itself into Burrows-Wheeler transforms (over pairs of bytes) and merged in
+   rounds, two by two, by refining their interleave: reading both transforms in the order that holds for k
+   symbols and dealing the reads stably by symbol gives the order for k + 1. After half of LENGTH steps,
+   neighbours in the merged order show their common prefixes, and runs of neighbours that share LENGTH bytes are
+   the repeated intervals; all but the earliest start of an interval are repeats.
+
+Defined results: a null text is empty; null doc_ids (and ones from NULLS, which no table should have) count as the
+largest, in order of a hash of their text; rows with equal doc_id are taken in order of a hash of their text, and
+rows equal in both are one document, reported for each row; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -40,8 +45,12 @@ LENGTH, GRAM = 100, 32
 WINDOW = LENGTH - GRAM + 1
 REACH = LENGTH - GRAM
 HALF = REACH // 2
-#: Bytes worked on at once, symbols of a merge.
-PIECE, SYMBOLS = 1 << 20, 1 << 16
+#: Bytes worked on at once; symbols of a shard, and of shards that are merged; strings that a key may have.
+PIECE, SHARD, SYMBOLS, KEY = 1 << 20, 1 << 14, 1 << 16, 512
+#: Where doc_ids of documents without one begin; the rest of them is 56 bits of a hash.
+NULLS = (1 << 63) - (1 << 56)
+#: Keys up to which their table is broadcast.
+FEW_KEYS = 1 << 16
 PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -51,11 +60,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+BYTE = [bytes([k]) for k in range(256)]
+
+
 class Text:
     """Bytes of some documents in a row, with hashes of any part."""
 
     def __init__(self, parts: list[bytes]):
-        self.codes = np.frombuffer(b"".join(parts), np.uint8)
+        self.raw = b"".join(parts)
+        self.codes = np.frombuffer(self.raw, np.uint8)
         self.base = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
         up, self.down = powers(1 << max(21, len(self.codes).bit_length()))
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.codes * up[1 : len(self.codes) + 1])])
@@ -63,6 +76,12 @@ class Text:
     def hash(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         return mix((self.sums[hi] - self.sums[lo]) * self.down[lo])
 
+    def digests(self, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """64 bits of a digest of the bytes from lo to hi and of where in them at is."""
+        raw, digest = self.raw, hashlib.blake2b
+        found = b"".join([digest(raw[b:c] + BYTE[a - b], digest_size=8).digest() for a, b, c in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True)])
+        return np.frombuffer(found, np.int64)
+
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of the anchors of all LENGTH-byte strings that lie in one document, and how far before an anchor the first and the last string begin whose anchor it is."""
         n = len(self.codes)
@@ -117,7 +136,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 #: first and last: how far before the anchor its own strings begin, in one number (first * 128 + last).
-ANCHORS = "h long, c long, did long, th int, pos int, stop int, own short"
+ANCHORS = "h long, c long, did long, th long, pos int, stop int, own short"
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,8 +151,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             d = np.searchsorted(t.base, a, side="right") - 1
             lo, hi = np.maximum(t.base[d], a - REACH), np.minimum(t.base[d + 1], a + LENGTH)
             doc, shift = np.array([k for k, _, _ in parts])[d], np.array([s for _, s, _ in parts])[d]
-            c = t.hash(lo, hi) ^ mix((a - lo).astype(np.uint64) + np.uint64(7))
-            cols.append((t.hash(a, a + GRAM), c, doc, a - t.base[d] + shift, hi - a, far * 128 + near))
+            cols.append((t.hash(a, a + GRAM), t.digests(a, lo, hi), doc, a - t.base[d] + shift, hi - a, far * 128 + near))
         if not sum(len(x[0]) for x in cols):
             continue
         h, c, doc, pos, right, own = (np.concatenate(x) for x in zip(*cols, strict=True))
@@ -147,8 +165,8 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(~same)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(np.concatenate([_signed(h[first]), dids[owner]])), pa.array(np.concatenate([_signed(c[first]), np.zeros(len(owner), np.int64)])),
-                pa.array(np.concatenate([did[first], dids[owner]])), pa.array(np.concatenate([th[first], ths[owner]]).astype(np.int32)),
+                pa.array(np.concatenate([_signed(h[first]), dids[owner]])), pa.array(np.concatenate([c[first], np.zeros(len(owner), np.int64)])),
+                pa.array(np.concatenate([did[first], dids[owner]])), pa.array(np.concatenate([th[first], ths[owner]])),
                 pa.array(np.concatenate([pos[first], start]).astype(np.int32)), pa.array(np.concatenate([np.zeros(len(first)), stop]).astype(np.int32)),
                 pa.array(np.concatenate([own[first], np.zeros(len(owner))]).astype(np.int16)),
             ],
@@ -172,33 +190,55 @@ def whole_groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataF
         yield pd.concat(held)
 
 
-SETTLED = "did long, th int, pos int, stop int, h long, own short"
+SETTLED = "did long, th long, pos int, stop int, h long, own short"
 
 
 def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """stop > 0: a run that is covered; 0: an anchor whose surroundings stand earlier; -1: the earliest place of surroundings, of an anchor that has others."""
-    for pdf in whole_groups(batches, "h"):
+    """stop > 0: a run that is covered; 0: an anchor whose surroundings stand earlier; -1: the earliest place of surroundings, of an anchor that has others.
+
+    Rows come in order of h, c and place. Of all before a batch only the earliest place of the last surroundings
+    is held, and whether its anchor has others, so an anchor may have any number of rows.
+    """
+    names = ["h", "c", "did", "th", "pos", "own"]
+    held: list[np.ndarray] = []
+    several = False  # whether the held row's anchor has other surroundings before, so that the row has been given out
+    for pdf in batches:
         run = pdf["stop"].to_numpy() > 0
         if run.any():
             yield pdf.loc[run, ["did", "th", "pos", "stop", "h", "own"]]
             pdf = pdf[~run]
-        h, c, did, th, pos, own = (pdf[x].to_numpy() for x in ("h", "c", "did", "th", "pos", "own"))
-        order = np.lexsort((pos, th, did, c, h))
-        h, c, did, th, pos, own = h[order], c[order], did[order], th[order], pos[order], own[order]
-        if not len(h):
+        if not len(pdf):
             continue
+        h, c, did, th, pos, own = cols = [np.concatenate([held[k], pdf[x].to_numpy()]) if held else pdf[x].to_numpy() for k, x in enumerate(names)]
         new_h = np.concatenate([[True], h[1:] != h[:-1]])
         new_c = new_h | np.concatenate([[True], c[1:] != c[:-1]])
         head = np.flatnonzero(new_c)[np.cumsum(new_c) - 1]
         later = ~new_c & ((did != did[head]) | (th != th[head]) | (pos != pos[head]))
-        kinds = np.add.reduceat(new_c.astype(np.int64), np.flatnonzero(new_h))[np.cumsum(new_h) - 1]
-        ask = new_c & (kinds > 1)
+        kinds = np.add.reduceat(new_c.astype(np.int64), np.flatnonzero(new_h))
+        kinds[0] += several
+        ask = new_c & (kinds[np.cumsum(new_h) - 1] > 1)
+        if several:
+            ask[0] = False
         at = np.flatnonzero(later | ask)
         if len(at):
             yield pd.DataFrame({"did": did[at], "th": th[at], "pos": pos[at], "stop": np.where(ask[at], -1, 0).astype(np.int32), "h": h[at], "own": own[at]})
+        held, several = [x[head[-1] : head[-1] + 1] for x in cols], bool(kinds[-1] > 1)
+
+
+#: off: where the text begins, seen from the anchor; lo, hi: the starts, seen from there, that the key stands for.
+STRINGS = "k long, did long, th long, pos int, off short, lo short, hi short, text binary"
+
 
+def _key(common: bytes, of: int, part: int) -> int:
+    return int.from_bytes(hashlib.blake2b(common, digest_size=8, key=(of & (1 << 64) - 1).to_bytes(8, "little") + bytes([part])).digest(), "little", signed=True)
 
-STRINGS = "k long, did long, th int, pos int, text binary"
+
+def _parts(k: int, did: int, th: int, pos: int, off: int, text: bytes, ranges: tuple) -> Iterator[tuple]:
+    """The string's part for each of two ranges of starts, under a key of what all strings with such a start have in common."""
+    for part, (lo, hi) in enumerate(ranges, 1):
+        first, last = max(lo, off), min(hi, off + len(text) - LENGTH)
+        if first <= last:
+            yield _key(text[hi - off : lo + LENGTH - off], k, part), did, th, pos + first - off, first, lo, hi, text[first - off : last + LENGTH - off]
 
 
 def _strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,13 +249,43 @@ def _strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             text = zstandard.ZstdDecompressor().decompress(packed)
             for pos, h, own in zip(places.tolist(), anchors.tolist(), owns.tolist(), strict=True):
                 far, near = divmod(own, 128)
-                # The anchor's own strings that hold all of its left half, and those that hold all of its right half.
-                for side, first, last, a, b in ((1, far, max(near, HALF), pos - HALF, pos), (2, min(far, HALF), near, pos + GRAM, pos + GRAM + HALF)):
-                    if first >= last:
-                        lo, hi = pos - first, pos - last + LENGTH
-                        k = int.from_bytes(hashlib.blake2b(text[a:b], digest_size=8, key=(h & (1 << 64) - 1).to_bytes(8, "little") + bytes([side])).digest(), "little", signed=True)
-                        out.append((k, did, th, lo, text[lo:hi]))
-        yield pd.DataFrame(out, columns=["k", "did", "th", "pos", "text"])
+                out += _parts(h, did, th, pos - far, -far, text[pos - far : pos - near + LENGTH], ((-REACH, -HALF), (-HALF, 0)))
+        yield pd.DataFrame(out, columns=["k", "did", "th", "pos", "off", "lo", "hi", "text"])
+
+
+def _finer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Strings of keys that have too many, under keys for either half of the starts."""
+    for pdf in batches:
+        out: list[tuple] = []
+        for k, did, th, pos, off, lo, hi, text in pdf[["k", "did", "th", "pos", "off", "lo", "hi", "text"]].itertuples(index=False):
+            middle = (lo + hi) // 2
+            out += _parts(k, did, th, pos, off, text, ((lo, middle), (middle + 1, hi)))
+        yield pd.DataFrame(out, columns=["k", "did", "th", "pos", "off", "lo", "hi", "text"])
+
+
+def split_keys(strings: DataFrame, most: int = KEY) -> tuple[DataFrame, DataFrame]:
+    """Strings under keys that have most of them at most, and runs that are covered already.
+
+    Keys with more are made finer until they stand for one start: all their strings are equal then, and all but
+    the earliest are covered, which is an aggregation, whatever their number.
+    """
+    small, covered = [], []
+    while True:
+        strings = stage_table(strings, "strings")
+        large = stage_table(strings.groupBy("k").count().where(F.col("count") > most).select("k"), "keys")
+        n = large.count()
+        if not n:
+            break
+        large = F.broadcast(large) if n <= FEW_KEYS else large
+        small.append(strings.join(large, "k", "left_anti"))
+        rest = strings.join(large, "k", "left_semi")
+        one = rest.where("lo = hi")
+        first = one.groupBy("text").agg(F.min(F.struct("did", "th", "pos")).alias("first"))
+        again = one.join(first, "text").where(F.struct("did", "th", "pos") != F.col("first"))
+        covered.append(again.select("did", "th", "pos", (F.col("pos") + LENGTH).cast("int").alias("stop")))
+        strings = rest.where("lo < hi").mapInPandas(_finer, STRINGS)
+    empty = strings.sparkSession.createDataFrame([], COVERED)
+    return functools.reduce(DataFrame.union, [*small, strings]), functools.reduce(DataFrame.union, [*covered, empty])
 
 
 def suffix_order(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -280,18 +350,33 @@ def interleave(a: Transform, b: Transform, rounds: int = LENGTH // 2) -> np.ndar
     return merged
 
 
-def repeated_intervals(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(interval, string, place) of all LENGTH-byte starts that stand in more than one place of the strings."""
-    half = (len(strings) + 1) // 2
-    shards = [strings[:half], strings[half:]]
-    if not shards[1]:
+def merged(a: Transform, b: Transform) -> Transform:
+    """The transform of both shards, from theirs alone: no suffix is sorted again."""
+    order = interleave(a, b)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    out = Transform.__new__(Transform)
+    out.codes = np.concatenate([a.codes, b.codes])
+    out.first = np.concatenate([a.first[:-1], b.first + len(a.codes)])
+    out.string = np.concatenate([a.string, b.string + len(a.first) - 1])
+    out.order = np.concatenate([a.order, b.order + len(a.codes)])[order]
+    out.symbol = np.concatenate([a.symbol, b.symbol])[order]
+    out.back = place[np.concatenate([a.back, b.back + len(a.order)])[order]]
+    return out
+
+
+def repeated_intervals(strings: list[bytes], shard: int = SHARD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(interval, string, place) of all LENGTH-byte starts that stand in more than one place of the strings, from shards of about shard symbols (two at least), merged two by two in rounds."""
+    if len(strings) < 2:
         return (np.zeros(0, np.int64),) * 3
-    a, b = Transform(shards[0]), Transform(shards[1])
-    merged = interleave(a, b)
-    codes = np.concatenate([a.codes, b.codes])
-    string = np.concatenate([a.string, b.string + half])
-    first = np.concatenate([a.first[:-1], b.first + len(a.codes)])
-    order = np.concatenate([a.order, b.order + len(a.codes)])[merged]
+    sizes = np.cumsum([len(x) for x in strings])
+    of = np.minimum(sizes // max(1, min(shard, int(sizes[-1]) // 2)), len(strings) - 1)
+    cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(strings)]
+    shards = [Transform(strings[lo:hi]) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+    while len(shards) > 1:
+        shards = [merged(*shards[k : k + 2]) if k + 1 < len(shards) else shards[k] for k in range(0, len(shards), 2)]
+    (all_,) = shards
+    codes, string, first, order = all_.codes, all_.string, all_.first, all_.order
     string_at = string[order]
     full = first[string_at + 1] - 2 - order >= LENGTH
     order, string_at = order[full], string_at[full]
@@ -312,7 +397,7 @@ def repeated_intervals(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np
     return interval[in_run], string_at[in_run], (order - first[string_at])[in_run]
 
 
-COVERED = "did long, th int, pos int, stop int"
+COVERED = "did long, th long, pos int, stop int"
 
 
 def covered_by(did: np.ndarray, th: np.ndarray, pos: np.ndarray, texts: np.ndarray) -> pd.DataFrame:
@@ -395,9 +480,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay)."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce("text", F.lit(""))
-    d = docs.select("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("did"), F.hash(text).alias("th"), text.cast("binary").alias("text"))
+    nameless = F.lit(NULLS) + F.shiftrightunsigned(F.xxhash64(F.lit(1), text), 8)
+    d = docs.select("doc_id", F.coalesce("doc_id", nameless).alias("did"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"))
     found = d.select("did", "th", "text").mapInArrow(_anchors, ANCHORS)
-    settled = stage_table(found.repartition(parts, "h").sortWithinPartitions("h").mapInPandas(_settle, SETTLED), "repeats")
+    settled = stage_table(found.repartition(parts, "h").sortWithinPartitions("h", "c", "did", "th", "pos").mapInPandas(_settle, SETTLED), "repeats")
 
     def pack(s: pd.Series) -> pd.Series:
         z = zstandard.ZstdCompressor(level=3)
@@ -406,8 +492,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     packed = d.select("doc_id", "did", "th", F.pandas_udf(pack, "binary")("text").alias("packed"))
     asked = settled.where("stop = -1").groupBy("did", "th").agg(F.collect_set(F.struct("pos", "h", "own")).alias("asked"))
     strings = packed.select("did", "th", "packed").join(asked.hint("merge"), ["did", "th"]).select("did", "th", "packed", F.col("asked.pos").alias("places"), F.col("asked.h").alias("anchors"), F.col("asked.own").alias("owns")).mapInPandas(_strings, STRINGS)
-    covered = strings.repartition(parts, "k").sortWithinPartitions("k").mapInPandas(_merge, COVERED)
-    runs = settled.where("stop >= 0").select("did", "th", "pos", "stop").union(covered)
+    strings, equal = split_keys(strings)
+    covered = strings.select("k", "did", "th", "pos", "text").repartition(parts, "k").sortWithinPartitions("k").mapInPandas(_merge, COVERED)
+    runs = settled.where("stop >= 0").select("did", "th", "pos", "stop").union(covered).union(equal)
     runs = runs.groupBy("did", "th").agg(F.collect_set(F.struct("pos", "stop")).alias("runs"))
     return packed.join(runs.hint("merge"), ["did", "th"], "left").select("doc_id", "packed", F.col("runs.pos").alias("starts"), F.col("runs.stop").alias("stops")).mapInPandas(_remove, RESULT)
 
