@@ -1,4 +1,12 @@
-"""The training-data pipeline: from raw documents to the blocks of a source mixture."""
+"""The training-data pipeline: from raw documents to the blocks of a source mixture.
+
+Defined results: documents without text, or whose text has no letter or no main language, go in the first stage, so
+an empty table, and one without a text, gives no blocks; without a document whose language is known none can be
+identified and all go. A null lang or source is kept (the source as one of its own), a null doc_id too: such
+documents are told apart by their texts. Of repeated rows, and of different texts of one doc_id, each is decided by
+itself; of near duplicates one stays. Columns besides those of documents are left out. An empty benchmark drops
+nothing.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.llm import decontaminate, langid, mixing, pii, simhash
-from textmill.llm.common import stage_table
+from textmill.llm.common import drop_staged, stage_table
 from textmill.shipping import shipping
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -50,9 +58,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = stage_table(docs, "pipeline")
-    return docs
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        docs = stage_table(stage(spark, docs, sf_dir), "pipeline")
+        if before is not None:
+            drop_staged(before)  # read by the stage just written, and by nothing else
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
