@@ -835,3 +835,23 @@ def test_pipeline(spark, sf):
     assert not any(x in r.text for r in docs.collect() for x in items)
     blocks = corpus_pipeline.run(spark, sf)
     assert {i for r in blocks.select("doc_ids").collect() for i in r[0]} <= {r.doc_id for r in docs.collect()}
+
+
+def test_pipeline_odd(odd, empty, spark, sf, tmp_path):
+    import corpus_pipeline
+
+    spark.read.parquet(f"{sf}/benchmark.parquet").limit(3).write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [(None, PROSE * 2, None, None, None, "x"), (None, PROSE[::-1] * 2, "en", "s", None, "x"), (5, PROSE.upper() + "twice over", "en", None, 3, "x"), (5, "another text of the same id, in some more words", "en", "s", 3, "x")]
+    docs = odd.drop("score", "h", "fp").union(spark.createDataFrame(texts, SCHEMA).drop("extra"))
+    for table in (docs, empty, docs.where("text IS NULL")):
+        kept = table
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = common.stage_table(stage(spark, kept, str(tmp_path)), "test")
+            assert kept.columns == corpus_pipeline.COLUMNS
+        ids = Counter(r.doc_id for r in kept.collect())
+        blocks = corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path)).collect()
+        if table is docs:
+            assert ids[None] >= 2 and ids[5] == 2 and ids[6] + ids[7] + ids[8] == 2 and ids[1] == ids[2] == ids[10] == 0
+            assert {i for r in blocks for i in r.doc_ids} <= set(ids)
+        else:
+            assert not ids and not blocks
