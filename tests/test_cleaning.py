@@ -46,5 +46,8 @@ def test_classes(spark):
     assert list(got) == ["full", "center", "right", "full", "left", "none", "mixed", "table", "reference", "prose", "text_layer", "scanned", "image_text", "scanned"]
 
 
-def test_invalid_bytes():
+def test_invalid_bytes(spark):
+    d = spark.createDataFrame([(b"a\xffb\xc3",), (None,), ("é\\xFF".encode(),), (b"\xff" * 100_000,)], "x binary")
+    got = [tuple(r[0]) for r in d.select(cl.escaped(F.col("x"))).collect()]
+    assert got[:3] == [("a\\xFFb\\xC3", 2), (None, None), ("é\\xFF", 0)] and got[3][1] == 100_000
     assert cl.escape_invalid(b"a\xffb\xc3") == ("a\\xFFb\\xC3", 2) and cl.escape_invalid("é".encode()) == ("é", 0)

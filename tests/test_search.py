@@ -64,7 +64,7 @@ def test_patterns_are_checked():
 
 @pytest.mark.parametrize(
     ("glob", "yes", "no"),
-    [("*.rs", ["a.rs"], ["src/a.rs"]), ("**/*.rs", ["a.rs", "x/y/a.rs"], ["a.rsx"]), ("a?c", ["abc"], ["a/c", "ac"]), ("{a,b}/*", ["a/x", "b/y"], ["c/x", "a/x/y"]), ("[a-c]x", ["bx"], ["dx"]), ("[!a]x", ["bx"], ["ax", "/x"]), ("src/**", ["src/a/b"], ["srcx/a"]), (r"a\b", ["a\\b"], ["ab"])],
+    [("*.rs", ["a.rs"], ["src/a.rs"]), ("**/*.rs", ["a.rs", "x/y/a.rs"], ["a.rsx"]), ("a?c", ["abc"], ["a/c", "ac"]), ("{a,b}/*", ["a/x", "b/y"], ["c/x", "a/x/y"]), ("[a-c]x", ["bx"], ["dx"]), ("[!a]x", ["bx"], ["ax", "/x"]), ("src/**", ["src/a/b"], ["srcx/a"]), ("**", ["a/b"], []), ("**.txt", ["a.txt"], ["a/b.txt"]), ("a**b", ["axb"], ["a/b"]), (r"a\b", ["a\\b"], ["ab"])],
 )
 def test_globs(glob, yes, no):
     import re
@@ -99,3 +99,27 @@ def test_synthetic_code_counts(spark):
     assert search.summary(search.occurrence_counts(d, Search("DENSE"))).first().asDict() == {"file_count": 20, "hit_count": 80}
     few, many = ({(r.path, r.occurrences) for r in search.occurrence_counts(x, Search("v = 7")).collect()} for x in (d.repartition(1), d.repartition(7)))
     assert few == many
+
+
+def test_patterns_of_the_dialect(spark):
+    texts = ["foo", "straße 12", "a😀b", "x:alph", "foo bar", "Ελλάδα", "abc\r", "ab\u2028c"]
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, x string")
+    found = lambda p: {r.i for r in d.where(Search(p, case="sensitive").found(d.x)).collect()}
+    assert found(r"^\p{L}+$") == {0, 5} and found(r"\x{1F600}") == {2} and found(r"\bfoo\z") == {0} and found("^[[:alpha:]]+$") == {0}
+    assert found("(?P<word>o{2}) b") == {4} and found(r"^\p{Greek}+$") == {5} and found(r"c$") == {7} and found(r"ab.c") == {7} and found(r"[[:^alpha:]]b") == {2, 4}
+    for bad in ("[[:nope:]]", "a++", "(?>a)", r"\Z", r"\p{Nope}", "(?P<n>a"):
+        with pytest.raises(PatternError):
+            Search(bad)
+
+
+def test_one_carriage_return_goes(spark):
+    d = spark.createDataFrame([("x", "abc\r\r\nd")], "path string, text string")
+    assert [r.line for r in search.lines(d).orderBy("line_no").collect()] == ["abc\r", "d"]
+
+
+def test_pages_by_key(corpus):
+    found, after, seen = search.contents(corpus, Search("needle")), None, []
+    while rows := search.page_after(found, ["path", "line_no", "occ"], after, 2).collect():
+        seen += [(r.path, r.line_no, r.occ) for r in rows]
+        after = seen[-1]
+    assert len(seen) == 5 and seen == sorted(seen)

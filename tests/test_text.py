@@ -62,10 +62,18 @@ def test_shells(spark):
 
 
 def test_percentiles(spark):
-    d = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (10.0,)], "x double")
-    got = d.agg(reports.floor_rank(F.col("x"), 0.95).alias("f"), reports.nearest_rank(F.col("x"), 0.95).alias("n"), F.percentile("x", F.lit(0.25)).alias("l"), F.median("x").alias("m"), reports.upper_median(F.col("x")).alias("u")).first()
-    assert tuple(got) == (3.0, 10.0, 1.75, 2.5, 3.0)
-    assert d.limit(1).agg(reports.floor_rank(F.col("x"), 0.95)).first()[0] == 1.0
+    d = spark.createDataFrame([("a", x) for x in (1.0, 2.0, 3.0, 10.0)] + [("b", 5.0)], "k string, x double")
+    got = {r.k: tuple(r)[1:] for r in reports.ranked(d, ["k"], "x").groupBy("k").agg(reports.linear("x", 0.25).alias("l"), reports.linear("x", 0.5).alias("m"), reports.linear("x", 0.9).alias("h")).collect()}
+    assert got["a"] == (1.75, 2.5, pytest.approx(7.9)) and got["b"] == (5.0, 5.0, 5.0)
+
+
+def test_rounds_are_kept_apart(spark):
+    rows = [("storm_a_r1_round2_q3", 8, "ok"), ("storm_a_r1_round2_q4", 8, "ok"), ("storm_a_r1_round2_q4", 1, "ok"), ("plain", 8, "ok"), ("storm_a_r1_round2", 8, "skipped"), ("storm_a_r2_round1_q1", 8, "skipped"), ("x", 1, "skipped")]
+    d = spark.createDataFrame([(s, c, st, "t", "g", False) for s, c, st in rows], "scenario string, concurrency int, status string, target string, tool string, is_warmup boolean")
+    single, of_round = reports.split_rounds(d)
+    assert sorted((r.scenario, r.concurrency) for r in single.collect()) == [("plain", 8), ("storm_a_r1_round2_q4", 1)]
+    assert [r.round_key for r in of_round.collect()] == ["storm_a_r1_round2"] * 2
+    assert sorted((r.scenario, r.n) for r in reports.skipped(d).collect()) == [("storm_a", 2), ("x", 1)]
 
 
 def test_bursts_split_at_equality(spark):
@@ -124,10 +132,18 @@ def test_decoding():
 
 def test_tokens(spark):
     assert [pt.pretoken_count(" x" * n) for n in (0, 1, 7)] == [0, 1, 7]
-    public = pytest.importorskip("public_tokenizers")
-    d = spark.createDataFrame([("hello world",), ("",), (None,)], "x string")
-    got = [r[0] for r in d.select(pt.token_counter(public.path("byte_bpe_50k.tiktoken"))("x")).collect()]
-    assert got == [2, 0, 0]
+    odd = ["Hello world's 12345 things!!\n\n  x", "ÄÖ ǅ ﬁ\u3000全角　文字 \u0301e", "a\r\nb\t\t c   ", "don't WON'T it'S", "//path/to\n/x", "", None, "١٢٣٤ नमस्ते 😀😀"]
+    d = spark.createDataFrame([(x,) for x in odd], "x string")
+    assert [r[0] for r in d.select(pt.pretokens(F.col("x"))).collect()] == [pt.pretoken_count(x) for x in odd]
+
+
+def test_exact_token_counts_by_a_rank_file(spark, tmp_path):
+    import base64
+
+    words = [bytes([k]) for k in range(256)] + [b"he", b"ll", b"hell", b"hello", b" w", b"or", b" wor", b"ld", b" world"]
+    (tmp_path / "ranks").write_bytes(b"\n".join(base64.b64encode(w) + b" %d" % k for k, w in enumerate(words)) + b"\n")
+    d = spark.createDataFrame([("hello world",), ("hell",), ("xyz",), ("",), (None,)], "x string")
+    assert [r[0] for r in d.select(pt.token_counter(str(tmp_path / "ranks"))("x")).collect()] == [2, 1, 3, 0, 0]
 
 
 def test_clusters_and_words(spark):
@@ -206,7 +222,51 @@ def test_process_trees_and_gates(spark):
 def test_admissions_and_lookups(spark):
     d = spark.createDataFrame([(1, 1, 0, 10), (1, 2, 1, 5), (1, 3, 2, None), (1, 4, 6, 7), (1, 5, 10, 11)], "k int, job_id long, s int, e int")
     got = {r.job_id: (r.active, r.admitted) for r in logs.admissions(d, "k", "s", "e", 2).collect()}
-    assert got == {1: (1, True), 2: (2, True), 3: (3, False), 4: (3, False), 5: (2, True)}
+    assert got == {1: (1, True), 2: (2, True), 3: (2, False), 4: (2, True), 5: (1, True)}  # a job that isn't admitted holds no slot
     ids = lambda rows: spark.createDataFrame(rows, "job_id long, state string")
     found = logs.job_lookup(spark.createDataFrame([(1,), (2,), (3,)], "job_id long"), ids([(1, "running")]), ids([(1, "old"), (2, "completed")]))
     assert {r.job_id: r.state for r in found.collect()} == {1: "running", 2: "completed", 3: "unknown"}
+
+
+def test_streams_are_rendered_by_lines(spark):
+    from textmill.operators import reading
+
+    text = "".join(f"line {k} of it, é\n" for k in range(100))
+    raw = [text.encode(), b"short", None, b"x" * 1000, ("é" * 500).encode(), b"\xff" * 30, b"a\n" * 300, ("ab\n" + "c" * 900 + "\nend").encode()]
+    got = [r[0] for r in spark.createDataFrame([(r,) for r in raw], "x binary").select(reading.rendered(F.col("x"), 200)).collect()]
+    for r, g in zip(raw, got, strict=True):
+        r = r or b""
+        assert g.shown + g.omitted == len(r)
+        if len(r) <= 200:
+            assert g.omitted == 0 and g.text == r.decode("utf-8", "backslashreplace").replace("\\xff", "\\xFF")
+            continue
+        head, _, tail = g.text.partition(f"... {g.omitted} bytes omitted ...")
+        assert 90 <= g.shown <= 200 and r.startswith(head.removesuffix("\n").encode()) and r.endswith(tail.removeprefix("\n").encode())
+        if r.count(b"\n") > 50:
+            assert head.endswith("\n") and r[-len(tail.encode()) :] == tail.removeprefix("\n").encode() or tail.startswith("\n")
+
+
+def test_chunks_visit_every_byte(spark):
+    from textmill.operators import reading
+
+    for text in ("aé日😀" * 40, "", "plain " * 30):
+        offset, seen = 0, ""
+        while offset is not None:
+            c = spark.createDataFrame([(text, offset)], "x string, o long").select(reading.chunk(F.col("x"), F.col("o"), 37)).first()[0]
+            assert len(c.text.encode()) <= 37 and c.total == len(text.encode())
+            seen, offset = seen + c.text, c.next_offset
+        assert seen == text
+    d = spark.createDataFrame([("é", 1), ("é", 5), ("é", 2)], "x string, o long")
+    assert [r[0] and r[0].text for r in d.select(reading.chunk(F.col("x"), F.col("o"), 9)).collect()] == [None, None, ""]
+
+
+def test_log_lines_are_written_by_day_and_part(spark, tmp_path):
+    from textmill.sinks import json_lines
+
+    d = spark.createDataFrame([("2024-01-01", k, "y" * 100, "z" * (9000 if k == 3 else 5)) for k in range(20)] + [("2024-01-02", 1, "w" * 9000, "d")], "dt string, k long, e string, diagnostic string")
+    r = json_lines.rotated(d, "dt", ["k"], part=1000, most=2500)
+    json_lines.append(r, "dt", str(tmp_path / "log"))
+    back = spark.read.json(str(tmp_path / "log"))
+    assert {r.dt for r in back.select("dt").distinct().collect()} == {"2024-01-01"} or str(back.first().dt) == "2024-01-01"
+    assert back.where(back.k == 3).first().diagnostic == json_lines.OMITTED and sorted(r.k for r in back.collect()) == list(range(back.count()))
+    assert {r.part for r in r.select("part").distinct().collect()} == {1, 2, 3}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import codecs
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -117,30 +120,41 @@ def region_class(lines: Column, mean_chars: Column, wide: Column, numbered: Colu
     )
 
 
-def page_kind(glyphs: Column, garbled: Column, fragmented: Column, paths: Column, image: Column, text: Column, invisible: Column) -> Column:
-    """Whether a page is empty, scanned, text over an image or a text layer, by its signals (counts and shares)."""
-    usable = (glyphs >= 24) & (garbled <= 0.20) & (fragmented <= 0.80)
-    clean = (garbled <= 0.20) & (fragmented <= 0.80)
+def page_kind(glyphs: Column, garbled: Column, fragmented: Column, paths: Column, image: Column, text: Column, invisible: Column, empty: Column | None = None) -> Column:
+    """Whether a page is empty, scanned, text over an image or a text layer, by its signals (counts and shares).
+
+    empty: whether nothing at all is on the page. Its text can be used if there are 24 glyphs and
+    few are garbled or in fragments. Vector outlines without usable text, and full images without it, are scans;
+    a full image over mostly invisible usable text is a text layer, a smaller image beside it image and text.
+    """
+    sound = (garbled <= 0.20) & (fragmented <= 0.80)
+    usable, full = sound & (glyphs >= 24), image >= 0.80
+    text_layer = (full & usable & (invisible >= 0.50)) | (usable & ~full & (image <= 0.05)) | (~usable & ~full & (glyphs > 0) & sound & (image < 0.05) & (paths <= 0.60)) | (usable & full & (text >= 0.10))
     return (
-        F.when(~usable & (paths > 0.60) & (image < 0.20), "scanned")
-        .when((image >= 0.80) & usable & (invisible >= 0.50), "text_layer")
-        .when((image >= 0.80) & ((text < 0.10) | ~usable), "scanned")
-        .when(usable & (image > 0.05) & (image < 0.80), "image_text")
-        .when(usable, "text_layer")
-        .when((glyphs > 0) & clean & (image < 0.05), "text_layer")
+        F.when(F.lit(False) if empty is None else empty, "empty")
+        .when(full & usable & (invisible < 0.50) & (text < 0.10), "scanned")
+        .when(text_layer, "text_layer")
+        .when(usable & (image > 0.05) & ~full, "image_text")
         .otherwise("scanned")
-    )
+    )
+
+
+def register() -> None:
+    """Make the error handler known, in each process that decodes."""
+    codecs.register_error("escape-bytes", lambda e: ("".join(f"\\x{b:02X}" for b in e.object[e.start : e.end]), e.end))
 
 
 def escape_invalid(raw: bytes) -> tuple[str, int]:
     """Bytes as text, each byte that isn't UTF-8 as an escape of its two digits, and how many there are."""
-    out, bad, at = [], 0, 0
-    while at < len(raw):
-        try:
-            out.append(raw[at:].decode())
-            break
-        except UnicodeDecodeError as e:
-            out.append(raw[at : at + e.start].decode())
-            out += [f"\\x{b:02X}" for b in raw[at + e.start : at + e.end]]
-            bad, at = bad + e.end - e.start, at + e.end
-    return "".join(out), bad
+    register()
+    text = raw.decode("utf-8", "escape-bytes")
+    return text, (len(text.encode()) - len(raw)) // 3  # an escape takes the place of one byte by four
+
+
+def escaped(raw: Column) -> Column:
+    """struct(text, invalid) of bytes; null bytes give nulls."""
+
+    def run(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None, None) if r is None else escape_invalid(r) for r in s], columns=["text", "invalid"])
+
+    return F.pandas_udf(run, "text string, invalid int")(raw)

@@ -86,7 +86,7 @@ def _encoding(path: str):
     return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-#: Words with their case runs and contractions, numbers of up to three digits, punctuation, white space.
+#: Pretokens: words with their case runs and contractions, numbers of up to three digits, punctuation, white space. Fixed values.
 PRETOKEN = (
     r"[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]*[\p{Ll}\p{Lm}\p{Lo}\p{M}]+(?i:'s|'t|'re|'ve|'m|'ll|'d)?"
     r"|[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]+[\p{Ll}\p{Lm}\p{Lo}\p{M}]*(?i:'s|'t|'re|'ve|'m|'ll|'d)?"
@@ -133,7 +133,8 @@ def mojibake(text: ColumnOrName) -> Column:
 
 
 def pretokens(text: ColumnOrName) -> Column:
-    return F.pandas_udf(lambda s: s.map(pretoken_count), "long")(text)
+    """Pretokens of a text, counted by Java's matcher (U: white space and case of all scripts)."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("(?U)" + PRETOKEN)).cast("long")
 
 
 def citations(text: ColumnOrName) -> Column:

@@ -14,7 +14,7 @@ class PatternError(ValueError):
 
 
 def glob_to_regex(glob: str) -> str:
-    """An anchored expression for a path glob: * and ? stop at a slash, ** crosses it, {a,b} and [a-z] work, a backslash is itself."""
+    """An anchored expression for a path glob: * and ? stop at a slash, ** as a whole component crosses it, {a,b} and [a-z] work, a backslash is itself."""
     out, i, depth = "", 0, 0
     while i < len(glob):
         c = glob[i]
@@ -24,7 +24,8 @@ def glob_to_regex(glob: str) -> str:
                 out += "(?:[^/]+/)*"
                 i += n + 1
                 continue
-            out += ".*" if n >= 2 else "[^/]*"
+            crosses = n == 2 and (i == 0 or glob[i - 1] == "/") and i + n == len(glob)  # beside other characters ** is two *
+            out += ".*" if crosses else "[^/]*"
             i += n
             continue
         if c == "?":
@@ -77,6 +78,43 @@ def ignored(path: Column, rules: list[str]) -> Column:
     return out
 
 
+#: POSIX classes, which stand in brackets, and Java's names for them. Fixed values.
+POSIX = {"alnum": "Alnum", "alpha": "Alpha", "ascii": "ASCII", "blank": "Blank", "cntrl": "Cntrl", "digit": "Digit", "graph": "Graph", "lower": "Lower", "print": "Print", "punct": "Punct", "space": "Space", "upper": "Upper", "xdigit": "XDigit"}
+
+
+def java_regex(pattern: str) -> str:
+    """A search pattern in Java's dialect: named groups, POSIX classes, names of scripts and properties."""
+
+    def posix(m: re.Match) -> str:
+        if m[2] not in POSIX and m[2] != "word":
+            raise PatternError(f"unknown class [:{m[2]}:]")
+        if m[2] == "word":
+            return "\\W" if m[1] else "\\w"
+        return ("\\P{" if m[1] else "\\p{") + POSIX[m[2]] + "}"
+
+    out = re.sub(r"\[:(\^?)([a-z]+):\]", posix, pattern.replace("(?P<", "(?<"))
+    return re.sub(r"\\([pP])\{(\^?)([A-Za-z]{3,})\}", lambda m: "\\" + (m[1] if not m[2] else m[1].swapcase()) + ("{" if m[3] in POSIX.values() or m[3].startswith("Is") else "{Is") + m[3] + "}", out)
+
+
+def check_java(expression: str) -> None:
+    """Raises PatternError for what Java's compiler refuses; without a session the regex library stands in for it."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark import SparkContext
+
+    sc = SparkContext._active_spark_context
+    try:
+        if sc is not None:
+            sc._jvm.java.util.regex.Pattern.compile(expression)
+        else:
+            import regex
+
+            regex.compile(re.sub(r"^\(\?[dUiu]+\)", "", expression).replace(r"\z", r"\Z"))
+    except Py4JJavaError as e:
+        raise PatternError(str(e.java_exception.getMessage())) from e
+    except Exception as e:
+        raise PatternError(str(e)) from e
+
+
 @dataclass(frozen=True)
 class Search:
     """A search request. case: smart (insensitive if the pattern has letters and none is upper case), sensitive or insensitive."""
@@ -91,12 +129,9 @@ class Search:
         if self.case not in ("smart", "sensitive", "insensitive"):
             raise PatternError(f"unknown case mode {self.case}")
         if not self.fixed:
-            if re.search(r"\(\?(?:[=!]|<[=!])|\\[1-9]|\\k<", self.pattern):
-                raise PatternError("look-around and back references aren't supported")
-            try:
-                re.compile(self.pattern)
-            except re.error as e:
-                raise PatternError(str(e)) from e
+            if re.search(r"\(\?(?:[=!>]|<[=!])|(?<!\\)(?:\\\\)*(?:\\[1-9GZQERXHhVvNk]|(?:[*+?]|\{[0-9,]+\})\+)", self.pattern):
+                raise PatternError("look-around, back references and possessive repeats aren't supported")
+            check_java(self.regex)
 
     @property
     def insensitive(self) -> bool:
@@ -108,8 +143,9 @@ class Search:
     @property
     def regex(self) -> str:
         """For Java: Unicode classes as the search has them, so that \\w and \\b know letters beyond ASCII."""
-        body = re.escape(self.pattern) if self.fixed else self.pattern
-        flags = ("U" if re.search(r"\\[wWdDsSbB]", body) and not self.fixed else "") + ("iu" if self.insensitive else "")
+        body = re.escape(self.pattern) if self.fixed else java_regex(self.pattern)
+        # Of line ends only LF is one, so that $ and . don't stop at others within a line.
+        flags = ("d" if not self.fixed else "") + ("U" if re.search(r"\\[wWdDsSbB]", body) and not self.fixed else "") + ("iu" if self.insensitive else "")
         return (f"(?{flags})" if flags else "") + body
 
     def found(self, text: Column) -> Column:

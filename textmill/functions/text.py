@@ -15,6 +15,7 @@ FRAME_TOKENS, IMAGE_TOKENS, CAPTION_TOKENS, BOUND_BYTES = 128, 1844, 32, 512
 SCRIPTS = {"han": "一-鿿", "han_ext": "㐀-䶿", "hiragana": "぀-ゟ", "katakana": "゠-ヿ", "hangul": "가-힣", "rtl": "֐-ࣿ", "indic": "ऀ-ൿ", "thai": "฀-๿", "khmer": "ក-៿"}
 #: Characters that count as mathematical. Fixed values.
 MATH = "∑∫∂∇√∞≈≠≤≥±×÷αβγδεθλμπσω"
+#: Links and addresses. Fixed values.
 URL = r"https?://[^\s<>\[\]]*[^\s<>\[\].,!?;:]"
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 #: Forms of citations: class, expression. Fixed values.
@@ -28,6 +29,10 @@ CITATIONS = [
 ]
 
 
+#: White space of all scripts, inside brackets. Fixed values.
+WHITE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+
+
 def count_of(text: Column, expression: str) -> Column:
     return F.regexp_count(text, F.lit(expression)).cast("long")
 
@@ -76,7 +81,7 @@ def projected_tokens(tokens: Column, images: Column) -> Column:
 
 
 def collapse_space(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, f"[{WHITE}]+", " "))
 
 
 def normalize_space(text: Column) -> Column:
@@ -95,11 +100,13 @@ def linkify(text: Column) -> Column:
 
 
 def has_url(text: Column) -> Column:
-    return text.rlike(r"(?i)https?://|ftp://|www\.")
+    return (F.length(text) >= 7) & text.rlike("(?i)https?://|ftp://|mailto:")
 
 
 def has_email(text: Column) -> Column:
-    return text.rlike(r"@[^@\s]*\.")
+    """An @ and, anywhere after the first one, a dot."""
+    at = F.instr(text, "@")
+    return (at > 0) & (F.instr(F.substr(text, at + 1, F.length(text)), ".") > 0)
 
 
 def citation_counts(text: Column) -> dict[str, Column]:
@@ -110,37 +117,30 @@ def citation_counts(text: Column) -> dict[str, Column]:
 
 
 def quality_gate(text: Column) -> Column:
-    """Why a text layer isn't usable (glyph_mapping_missing or below_threshold), or null if it is."""
+    """Why a text layer isn't usable (glyph_mapping_missing or below_threshold), or null if it is. All counts are made on the text itself."""
     total, bad = F.length(text), count_of(text, r"[\x00-\x08\x0E-\x1F\uFFFD\uE000-\uF8FF]")
-    split = F.filter(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "), lambda w: w != "")
-    cjk = cjk_dominant(text)
-    alnum = count_of(text, r"[\p{L}\p{N}]") / total
-
-    def shares(words: Column) -> Column:
-        """Shares of short and of repeated words, and the mean length, in one walk over the words."""
-        start = F.struct(F.lit(0).alias("short"), F.lit(0).alias("again"), F.lit(0).alias("chars"), F.lit("").alias("last"))
-
-        def step(s: Column, w: Column) -> Column:
-            return F.struct((s["short"] + (F.length(w) <= 2).cast("int")).alias("short"), (s["again"] + (s["last"] == w).cast("int")).alias("again"), (s["chars"] + F.length(w)).alias("chars"), w.alias("last"))
-
-        n = F.greatest(F.size(words), F.lit(1))
-        return F.aggregate(words, start, step, lambda s: F.struct(F.size(words).alias("n"), (s["short"] / n).alias("short"), (s["again"] / n).alias("again"), (s["chars"] / n).alias("mean")))
+    begin, end = f"(?<![^{WHITE}])", f"(?![^{WHITE}])"
+    words = F.greatest(count_of(text, f"[^{WHITE}]++"), F.lit(1))
 
     def reason(m: Column) -> Column:
+        short = count_of(text, f"{begin}[^{WHITE}]{{1,2}}{end}") / m
+        again = count_of(text, f"{begin}([^{WHITE}]++)(?=[{WHITE}]++\\1{end})") / m
+        mean = (total - count_of(text, f"[{WHITE}]")) / m
+        cjk = cjk_dominant(text)
         return (
             F.when(total < 16, None)
             .when(bad / total > 0.20, "glyph_mapping_missing")
-            .when((m["n"] >= 8) & (m["short"] > 0.80) & ~cjk, "glyph_mapping_missing")
-            .when((m["n"] >= 8) & ((m["again"] > 0.30) | ((m["short"] > 0.55) & (m["mean"] < 2.5) & ~cjk)), "below_threshold")
-            .when(alnum < 0.20, "below_threshold")
+            .when((m >= 8) & (short > 0.80) & ~cjk, "glyph_mapping_missing")
+            .when((m >= 8) & ((again > 0.30) | ((short > 0.55) & (mean < 2.5) & ~cjk)), "below_threshold")
+            .when(count_of(text, r"[\p{IsAlphabetic}\p{N}]") / total < 0.20, "below_threshold")
         )
 
-    return let(let(split, shares), reason)
+    return let(words, reason)
 
 
 def page_state(text: Column, drawn: Column) -> Column:
     """State of a page by its text and whether anything is drawn on it."""
-    empty = F.trim(F.regexp_replace(text, r"\s+", " ")) == ""
+    empty = collapse_space(text) == ""
     return F.when(text.isNull(), "unavailable").when(empty & drawn, "image_required").when(empty, "blank").when(quality_gate(text).isNotNull(), "text_uncertain").otherwise("text_ready")
 
 
@@ -233,3 +233,40 @@ def first_int(payload: Column, keys: list[str]) -> Column:
         listed = F.json_array_length(value)
         found.append(F.when(value.rlike("^-?[0-9]+$"), value.cast("long")).when(value.rlike(r"^\["), listed.cast("long")).when(value.rlike(r"^\{"), F.get_json_object(value, "$.count").try_cast("long")))
     return F.coalesce(*found)
+
+
+#: Classes of CJK punctuation. Fixed values.
+CJK_MARKS = {"sentence": "。！？", "enumeration": "、，；：", "bracket": "〈-】〔〕（）［-］｛-｝", "other": "　〃・．－～"}
+
+
+def cjk_mark_counts(text: Column) -> dict[str, Column]:
+    return {k: count_of(text, f"[{r}]") for k, r in CJK_MARKS.items()}
+
+
+#: What stands at the end of a text that was cut. Fixed value.
+CUT_MARKER = " [truncated]"
+
+
+def bounded(text: Column, most: int, marker: str = CUT_MARKER) -> Column:
+    """A text of most bytes at most: whole, or its longest beginning with the marker; empty if not even the marker fits."""
+    from textmill.operators.reading import truncated
+
+    room = most - len(marker.encode())
+    cut = F.concat(truncated(text, room)["text"], F.lit(marker)) if room >= 0 else F.lit("")
+    return F.when(F.octet_length(text) <= most, text).otherwise(cut)
+
+
+def isolated(text: Column) -> Column:
+    """A text that looks right-to-left between the marks that isolate its direction."""
+    from textmill.functions.cleaning import looks_rtl
+
+    return F.when(looks_rtl(text), F.concat(F.lit("\u2067"), text, F.lit("\u2069"))).otherwise(text)
+
+
+def milliseconds(nanoseconds: Column) -> Column:
+    return nanoseconds / 1e6
+
+
+def rfc3339(at: Column) -> Column:
+    """A time of UTC to the millisecond."""
+    return F.date_format(at.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

@@ -130,7 +130,7 @@ def grid_cells(edges: DataFrame, by: list[str], tolerance: float = 3.0) -> DataF
     """Cells of ruled tables: edges(x0, y0, x1, y1) -> by, table, row, col, x0, y0, x1, y1.
 
     Horizontal and vertical edges that cross give points; four points of neighbouring lines whose sides are
-    ruled give a cell; cells that share a corner are one table.
+    ruled give a cell; cells that share an edge are one table.
     """
     schema = [edges.schema[c] for c in by]
 
@@ -153,17 +153,17 @@ def grid_cells(edges: DataFrame, by: list[str], tolerance: float = 3.0) -> DataF
                 sides = ruled(hs, hy, r, xs[c], xs[c + 1], "x0", "x1") and ruled(hs, hy, r + 1, xs[c], xs[c + 1], "x0", "x1")
                 if sides and ruled(vs, vx, c, ys[r], ys[r + 1], "y0", "y1") and ruled(vs, vx, c + 1, ys[r], ys[r + 1], "y0", "y1"):
                     found.append((r, c))
-        table, tables = {}, 0
+        table, tables, known = {}, 0, set(found)
         for cell in found:
             if cell in table:
                 continue
             stack, tables = [cell], tables + 1
             while stack:
                 r, c = stack.pop()
-                if (r, c) in table or (r, c) not in set(found):
+                if (r, c) in table or (r, c) not in known:
                     continue
                 table[r, c] = tables - 1
-                stack += [(r + i, c + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+                stack += [(r - 1, c), (r + 1, c), (r, c - 1), (r, c + 1)]
         return [(table[r, c], r, c, xs[c], ys[r], xs[c + 1], ys[r + 1]) for r, c in found]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -187,3 +187,144 @@ def text_spans(pages: DataFrame, by: list[str], char_width: float = 6.0, leading
     w = Window.partitionBy(*by, "row").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("x", F.coalesce(F.sum(F.length("word") + 1).over(w), F.lit(0)) * char_width).where("word <> ''")
     return d.select(*by, (F.col("row") * 100000 + F.col("k")).cast("long").alias("seq"), F.col("word").alias("text"), F.col("x").cast("double"), (-F.col("row") * leading).cast("double").alias("y"), (F.length("word") * char_width).cast("double").alias("w"), F.lit(10.0).alias("h"))
+
+
+def rect(x: Column, y: Column, w: Column, h: Column) -> dict[str, Column]:
+    return {"x": x, "y": y, "w": w, "h": h}
+
+
+def intersects(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Whether two rectangles share more than an edge."""
+    return (a["x"] < b["x"] + b["w"]) & (a["x"] + a["w"] > b["x"]) & (a["y"] < b["y"] + b["h"]) & (a["y"] + a["h"] > b["y"])
+
+
+def union_of(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
+    x, y = F.least(a["x"], b["x"]), F.least(a["y"], b["y"])
+    return rect(x, y, F.greatest(a["x"] + a["w"], b["x"] + b["w"]) - x, F.greatest(a["y"] + a["h"], b["y"] + b["h"]) - y)
+
+
+def intersection_of(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
+    """The rectangle that both hold; null where there is none."""
+    x, y, both = F.greatest(a["x"], b["x"]), F.greatest(a["y"], b["y"]), intersects(a, b)
+    w, h = F.least(a["x"] + a["w"], b["x"] + b["w"]) - x, F.least(a["y"] + a["h"], b["y"] + b["h"]) - y
+    return rect(*[F.when(both, c) for c in (x, y, w, h)])
+
+
+def area(a: dict[str, Column]) -> Column:
+    return a["w"] * a["h"]
+
+
+def center_distance(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    return F.hypot(a["x"] + a["w"] / 2 - b["x"] - b["w"] / 2, a["y"] + a["h"] / 2 - b["y"] - b["h"] / 2)
+
+
+#: How far outside a grid a point may lie to be of its first or last interval. Fixed value.
+SNAP = 3.0
+
+
+def interval_of(point: Column, bounds: list[float], snap: float = SNAP) -> Column:
+    """The number of the interval that a point lies in: closed on the left, the last one on both sides; null if it lies further out than snap."""
+    last = len(bounds) - 2
+    inner = F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds[1:-1]]), lambda b: b <= point)) if last else F.lit(0)
+    near = (point >= bounds[0] - snap) & (point <= bounds[-1] + snap)
+    return F.when(near, F.least(inner, F.lit(last)))
+
+
+def nearest(value: Column, centers: Column) -> Column:
+    """The number of the nearest center, the first of several, by distance in thousandths."""
+    distance = F.transform(centers, lambda c: F.floor(F.abs(value - c) * 1000))
+    return (F.array_position(distance, F.array_min(distance)) - 1).cast("int")
+
+
+def columns_of_page(spans: DataFrame, by: list[str], gutter: float = GUTTER) -> DataFrame:
+    """spans with column numbers from the left: a gutter is a strip of that width and more that no span of the page reaches into."""
+    w = Window.partitionBy(*by).orderBy("x", "seq")
+    reach = F.max(F.col("x") + F.col("w")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(F.col("x") - reach >= gutter, 1).otherwise(0)
+    return spans.withColumn("_new", new).withColumn("column", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_new")
+
+
+def vertical_order(spans: DataFrame, by: list[str], band: float = 5.0) -> DataFrame:
+    """Spans of vertical writing: columns of band units from right to left, from top to bottom within one."""
+    w = Window.partitionBy(*by).orderBy(F.floor(F.col("x") / band).desc(), F.col("y").desc(), "seq")
+    return spans.withColumn("place", (F.row_number().over(w) - 1).cast("int"))
+
+
+def thread_order(spans: DataFrame, beads: DataFrame, by: list[str], band: float = 5.0) -> DataFrame:
+    """Spans by the beads(bead, bx, by_, bw, bh) of an article that hold their centers, the first of several; those of none come last."""
+    cx, cy = F.col("s.x") + F.col("s.w") / 2, F.col("s.y") + F.col("s.h") / 2
+    held = [F.col(f"s.{c}") == F.col(f"b.{c}") for c in by] + [cx.between(F.col("b.bx"), F.col("b.bx") + F.col("b.bw")), cy.between(F.col("b.by_"), F.col("b.by_") + F.col("b.bh"))]
+    d = spans.alias("s").join(beads.alias("b"), held, "left").select("s.*", "b.bead")
+    d = d.groupBy(*spans.columns).agg(F.min("bead").alias("bead"))
+    w = Window.partitionBy(*by).orderBy(F.col("bead").asc_nulls_last(), F.floor(F.col("y") / band).desc(), "x", "seq")
+    return d.withColumn("place", (F.row_number().over(w) - 1).cast("int"))
+
+
+def structure_order(spans: DataFrame, tree: DataFrame, by: list[str], mark: str) -> DataFrame:
+    """Spans by the place that the structure tree(by, mark, rank) gives their mark; spans without one come last, by seq."""
+    w = Window.partitionBy(*by).orderBy(F.col("rank").asc_nulls_last(), "seq")
+    return spans.join(tree, [*by, mark], "left").withColumn("place", (F.row_number().over(w) - 1).cast("int"))
+
+
+def tiered_order(spans: DataFrame, by: list[str], band: float = 5.0) -> DataFrame:
+    """spans(.., rank, rotation): where a page has ranks of a structure tree these decide, else bands from the top; rotated spans of a page follow the others, by rotation."""
+    ranked = F.max(F.col("rank").isNotNull()).over(Window.partitionBy(*by))
+    tier = F.when(ranked, 1).otherwise(3)
+    w = Window.partitionBy(*by).orderBy(F.col("rotation") != 0, "rotation", F.when(ranked, F.coalesce("rank", F.lit((1 << 31) - 1))), F.floor(F.col("y") / band).desc(), "x", "seq")
+    return spans.withColumns({"tier": tier, "place": (F.row_number().over(w) - 1).cast("int")})
+
+
+def tree_order(nodes: DataFrame, depth: int = 64) -> DataFrame:
+    """nodes(tree, node, parent, seq) of trees -> tree, node, depth, place: depth first, children by seq. Deeper nodes than depth are left out."""
+    return nodes.sparkSession.sql(
+        f"""WITH RECURSIVE walk(tree, node, depth, path) AS (
+             SELECT tree, node, 0, array(seq) FROM {{nodes}} WHERE parent IS NULL
+             UNION ALL SELECT n.tree, n.node, w.depth + 1, array_append(w.path, n.seq) FROM walk w JOIN {{nodes}} n ON n.tree = w.tree AND n.parent = w.node WHERE w.depth < {depth})
+           SELECT tree, node, depth, CAST(row_number() OVER (PARTITION BY tree ORDER BY path) - 1 AS INT) AS place FROM walk""",
+        nodes=nodes,
+    )
+
+
+def line_height(spans: DataFrame, by: list[str], em: float) -> DataFrame:
+    """The upper median of the distances between baselines (those within 0.5 of the one before are it) from half an em to three; no row for a page of fewer than four spans or without such a distance."""
+    d = spans.withColumns({"_n": F.count("*").over(Window.partitionBy(*by))}).where("_n >= 4").select(*by, "y").distinct()
+    w = Window.partitionBy(*by).orderBy(F.col("y").desc())
+    d = d.withColumn("gap", F.lag("y").over(w) - F.col("y")).where(F.col("gap").between(max(0.5, em * 0.5), em * 3))
+    r = d.withColumns({"_rank": F.row_number().over(Window.partitionBy(*by).orderBy("gap")) - 1, "_n": F.count("*").over(Window.partitionBy(*by))})
+    return r.where(F.col("_rank") == F.floor(F.col("_n") / 2)).select(*by, F.col("gap").alias("line_height"))
+
+
+def page_properties(spans: DataFrame, by: list[str], bin: float = 10.0) -> DataFrame:
+    """Of each page: spans, upper median of their widths, population variance of y, and columns (runs of bins of x that spans begin in)."""
+    r = spans.withColumns({"_rank": F.row_number().over(Window.partitionBy(*by).orderBy("w")) - 1, "_n": F.count("*").over(Window.partitionBy(*by))})
+    m = r.groupBy(*by).agg(F.count("*").alias("spans"), F.max(F.when(F.col("_rank") == F.floor(F.col("_n") / 2), F.col("w"))).alias("width"), F.var_pop("y").alias("y_variance"))
+    bins = spans.select(*by, F.floor(F.col("x") / bin).alias("bin")).distinct()
+    new = F.when(F.col("bin") - F.lag("bin").over(Window.partitionBy(*by).orderBy("bin")) == 1, 0).otherwise(1)
+    return m.join(bins.withColumn("_new", new).groupBy(*by).agg(F.sum("_new").alias("columns")), by)
+
+
+def spacing_deviation(gaps: DataFrame, by: list[str], gap: str) -> DataFrame:
+    """Population standard deviation of word gaps; 0 where there is one."""
+    return gaps.groupBy(*by).agg(F.coalesce(F.stddev_pop(gap), F.lit(0.0)).alias("deviation"))
+
+
+def characters(spans: DataFrame, by: list[str]) -> DataFrame:
+    """Characters of spans: by, seq, i, ch, x and w, each of an equal part of the span's width."""
+    d = spans.select(*by, "seq", "x", "w", F.length("text").alias("_n"), F.posexplode(F.split("text", "")).alias("i", "ch")).where("ch <> ''")
+    return d.select(*by, "seq", "i", "ch", (F.col("x") + F.col("w") / F.col("_n") * F.col("i")).alias("x"), (F.col("w") / F.col("_n")).alias("w"))
+
+
+def assembled(spans: DataFrame, by: list[str], band: float = 5.0, gap: float = 2.5) -> DataFrame:
+    """Lines of text from spans: by, line (from the top), text; spans of a band from the left, with a blank where they are more than gap apart."""
+    d = spans.withColumn("line", F.floor(F.col("y") / band))
+    w = Window.partitionBy(*by, "line").orderBy("x", "seq")
+    far = F.col("x") - F.lag(F.col("x") + F.col("w")).over(w) > gap
+    d = d.withColumn("piece", F.when(far, F.concat(F.lit(" "), "text")).otherwise(F.col("text")))
+    g = d.groupBy(*by, "line").agg(F.array_sort(F.collect_list(F.struct("x", "seq", "piece"))).alias("pieces"))  # one line's
+    line = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("line").desc())) - 1
+    return g.select(*by, line.cast("int").alias("line"), F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("text"))
+
+
+def without_artifacts(lines: DataFrame, running: DataFrame, doc: str, band: str) -> DataFrame:
+    """Lines whose normal form doesn't run over the pages of their document."""
+    return lines.join(running.select(doc, band), [doc, band], "left_anti")

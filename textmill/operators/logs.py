@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Records before an error that the recorder keeps; days and bytes of logs that stay; quiet time that ends a burst. Fixed values.
 RING, KEEP_DAYS, KEEP_BYTES, QUIET_US = 64, 30, 384 * 1024 * 1024, 2_000_000
@@ -72,8 +78,26 @@ def bursts(calls: DataFrame, key: str, start: str, end: str, quiet: int = QUIET_
 
 
 def admissions(jobs: DataFrame, key: str, start: str, end: str, slots: int = 16) -> DataFrame:
-    """jobs with active (those of the key that run when a job starts, itself included) and admitted: whether slots suffice for them."""
-    edges = jobs.select(key, "job_id", F.col(start).alias("_at"), F.lit(1).alias("_step")).union(jobs.where(F.col(end).isNotNull()).select(key, F.lit(None).cast("long"), F.col(end), F.lit(-1)))
-    w = Window.partitionBy(key).orderBy("_at", "_step", "job_id").rowsBetween(Window.unboundedPreceding, 0)
-    counted = edges.withColumn("active", F.sum("_step").over(w)).where("job_id IS NOT NULL").select(key, "job_id", "active")
-    return jobs.join(counted, [key, "job_id"]).withColumn("admitted", F.col("active") <= slots)
+    """jobs with admitted (whether fewer than slots admitted jobs of the key run when it starts) and active (those, and itself if admitted).
+
+    A job that isn't admitted holds no slot, so who is depends on all before: rows come in order of key and start,
+    and of a key only its admitted jobs' ends are held, slots of them at most. A null end is never.
+    """
+    schema = T.StructType([*jobs.schema, T.StructField("active", T.IntegerType()), T.StructField("admitted", T.BooleanType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, ends = None, []
+        for pdf in batches:
+            active, admitted = [], []
+            for k, a, b in zip(pdf[key].tolist(), pdf[start].tolist(), pdf[end].tolist(), strict=True):
+                if k != of:
+                    of, ends = k, []
+                while ends and ends[0] <= a:
+                    heapq.heappop(ends)
+                admitted.append(len(ends) < slots)
+                if admitted[-1]:
+                    heapq.heappush(ends, math.inf if b is None or b != b else b)
+                active.append(len(ends))
+            yield pdf.assign(active=active, admitted=admitted)
+
+    return jobs.repartition(key).sortWithinPartitions(key, start, "job_id").mapInPandas(run, schema)

@@ -8,29 +8,19 @@ from pyspark.sql import functions as F
 GROUP = ["scale", "tool", "scenario", "concurrency", "target"]
 
 
-def floor_rank(x: Column, share: float) -> Column:
-    """The value at rank int(n * share) - 1 of the sorted values, within the first and the last."""
-    n = F.count(x)
-    at = F.greatest(F.lit(1), F.least(n, F.floor(n.cast("double") * F.lit(share)))).cast("int")
-    return F.element_at(F.array_sort(F.collect_list(x)), at)
-
-
-def nearest_rank(x: Column, share: float) -> Column:
-    n = F.count(x)
-    at = F.greatest(F.lit(1), F.ceil(n.cast("double") * F.lit(share))).cast("int")
-    return F.element_at(F.array_sort(F.collect_list(x)), at)
-
-
-def upper_median(x: Column) -> Column:
-    return F.element_at(F.array_sort(F.collect_list(x)), (F.floor(F.count(x) / 2) + 1).cast("int"))
-
-
 def ranked(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """df with _rank from 0 and _n within by. Sorting in the shuffle spills, unlike collecting a group in one row."""
     rows = Window.partitionBy(*by)
     return df.withColumns({"_rank": F.row_number().over(rows.orderBy(value)) - 1, "_n": F.count(value).over(rows)})
 
 
+def linear(value: str, share: float) -> Column:
+    """The linear percentile of ranked rows: between the values at the ranks around share * (n - 1)."""
+    at = (F.col("_n") - 1) * F.lit(share)
+    low, high = (F.max(F.when(F.col("_rank") == r(at).cast("int"), F.col(value))) for r in (F.floor, F.ceil))
+    return low + (high - low) * F.max(at - F.floor(at))
+
+
 def measured(samples: DataFrame) -> DataFrame:
     """Samples that count: not of a warm-up and ended well."""
     return samples.where(~F.col("is_warmup") & (F.col("status") == "ok"))
@@ -40,7 +30,7 @@ def latency(samples: DataFrame) -> DataFrame:
     """n, p50 (median) and p95 (floor rank) of each group."""
     r = ranked(measured(samples), GROUP, "duration_ms")
     p95 = F.max(F.when(F.col("_rank") == F.greatest(F.lit(0), F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(0.95)) - 1)), F.col("duration_ms")))
-    return r.groupBy(*GROUP).agg(F.count("*").alias("n"), F.median("duration_ms").alias("p50"), p95.alias("p95"))
+    return r.groupBy(*GROUP).agg(F.count("*").alias("n"), linear("duration_ms", 0.5).alias("p50"), p95.alias("p95"))
 
 
 def throughput(samples: DataFrame) -> DataFrame:
@@ -49,6 +39,22 @@ def throughput(samples: DataFrame) -> DataFrame:
     return measured(samples).groupBy(*GROUP).agg(F.count("*").alias("n"), F.when(mean > 0, F.col("concurrency") * 1000.0 / mean).otherwise(0.0).alias("ops"))
 
 
+#: The scenario of a sample of a concurrent round: the round's key, with the number of the query. Fixed values.
+ROUND, ROUND_SAMPLE = r"^(.+_r\d+_round\d+)$", r"^(.+_r\d+_round\d+)_q\d+$"
+
+
+def round_key(scenario: Column) -> Column:
+    """The key of the round that a sample is of; null if it is of none."""
+    return F.nullif(F.regexp_extract(scenario, ROUND_SAMPLE, 1), F.lit(""))
+
+
+def split_rounds(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Measured samples that are grouped one by one, and those of concurrent rounds with their round_key."""
+    m = measured(samples).withColumn("round_key", round_key(F.col("scenario")))
+    of_round = F.col("round_key").isNotNull() & (F.col("concurrency") > 1)
+    return m.where(~of_round).drop("round_key"), m.where(of_round)
+
+
 def rounds(samples: DataFrame) -> DataFrame:
     """Of each round: its first sample's duration, samples that went well, and all."""
     return samples.groupBy("scale", "round_key", "target").agg(F.min_by("duration_ms", "iteration").alias("wall_ms"), F.count_if("success").alias("ok"), F.count("*").alias("total"))
@@ -63,8 +69,11 @@ def resources(samples: DataFrame) -> DataFrame:
 
 
 def skipped(samples: DataFrame) -> DataFrame:
-    """Unsupported and skipped samples, each target, tool, scenario and status once, with how many."""
-    return samples.where(F.col("status").isin("unsupported", "skipped") & ~F.col("is_warmup")).groupBy("target", "tool", "scenario", "status").agg(F.count("*").alias("n"))
+    """Unsupported and skipped samples, each target, tool, scenario and status once, with how many. All rounds of a storm are one row, its scenario their name without run and round."""
+    scenario = F.col("scenario")
+    storm = F.when(scenario.rlike(ROUND_SAMPLE) | scenario.rlike(ROUND), F.regexp_replace(scenario, r"_r\d+_round\d+(_q\d+)?$", "")).otherwise(scenario)
+    s = samples.where(F.col("status").isin("unsupported", "skipped") & ~F.col("is_warmup"))
+    return s.groupBy("target", "tool", storm.alias("scenario"), "status").agg(F.count("*").alias("n"))
 
 
 def resource_delta(ticks: DataFrame, by: list[str], at: str, gauge: str, counter: str) -> DataFrame:
@@ -74,9 +83,9 @@ def resource_delta(ticks: DataFrame, by: list[str], at: str, gauge: str, counter
 
 def gap_statistics(gaps: DataFrame, by: list[str], gap: str = "gap") -> DataFrame:
     """Count, extremes, mean, population deviation and linear percentiles of gaps; no group where there are none."""
-    p = F.percentile(gap, F.array(*[F.lit(x) for x in (0.10, 0.25, 0.50, 0.75, 0.90)]))
-    g = gaps.where(F.col(gap).isNotNull()).groupBy(*by).agg(F.count(gap).alias("n"), F.min(gap).alias("least"), F.max(gap).alias("most"), F.avg(gap).alias("mean"), F.stddev_pop(gap).alias("deviation"), p.alias("p"))
-    g = g.withColumns({k: F.get("p", F.lit(i)) for i, k in enumerate(("p10", "p25", "median", "p75", "p90"))}).drop("p")
+    r = ranked(gaps.where(F.col(gap).isNotNull()).select(*by, gap), by, gap)
+    percentiles = [linear(gap, p).alias(name) for name, p in (("p10", 0.10), ("p25", 0.25), ("median", 0.50), ("p75", 0.75), ("p90", 0.90))]
+    g = r.groupBy(*by).agg(F.count(gap).alias("n"), F.min(gap).alias("least"), F.max(gap).alias("most"), F.avg(gap).alias("mean"), F.stddev_pop(gap).alias("deviation"), *percentiles)
     return g.withColumns({"iqr": F.col("p75") - F.col("p25"), "range": F.col("most") - F.col("least"), "cv": F.when(F.col("mean") != 0, F.col("deviation") / F.col("mean")).otherwise(0.0)})
 
 
@@ -130,3 +139,28 @@ def tree_sum(processes: DataFrame, roots: DataFrame) -> DataFrame:
 def gates(found: DataFrame, expected: DataFrame) -> DataFrame:
     """found(scenario, value), expected(scenario, wanted): each expected scenario with passed; one without a result fails."""
     return expected.join(found, "scenario", "left").select("scenario", "wanted", "value", F.coalesce(F.col("value") == F.col("wanted"), F.lit(False)).alias("passed"))
+
+
+def stage_profile(records: DataFrame, stage: str, nanoseconds: str) -> DataFrame:
+    """Of each stage: calls, total and mean milliseconds, and its share of all time."""
+    g = records.groupBy(stage).agg(F.count("*").alias("calls"), F.sum(nanoseconds).alias("_ns"))
+    all_ = F.sum("_ns").over(Window.partitionBy())  # over one row for each stage
+    return g.select(stage, "calls", (F.col("_ns") / 1e6).alias("total_ms"), (F.col("_ns") / F.col("calls") / 1e6).alias("mean_ms"), F.when(all_ > 0, F.col("_ns") / all_).otherwise(0.0).alias("share"))
+
+
+def traversal_counters(entries: DataFrame, path: str, content: str) -> DataFrame:
+    """One row: entries, those that can't be read, whose path leads out of the root, and whose path isn't text."""
+    from textmill.functions.paths import normalized
+
+    escaped, broken = normalized(F.col(path)).isNull(), F.col(path).contains("\ufffd")
+    return entries.agg(F.count("*").alias("entries"), F.count_if(F.col(content).isNull()).alias("io_errors"), F.count_if(escaped).alias("escaped"), F.count_if(broken).alias("non_unicode"))
+
+
+def ground_truth(files: DataFrame) -> DataFrame:
+    """What a generated corpus holds by its flags: files, sparse_files, dense_files, dense_hits."""
+    return files.agg(F.count("*").alias("files"), F.count_if("has_sparse").alias("sparse_files"), F.count_if("has_dense").alias("dense_files"), (4 * F.count_if("has_dense")).alias("dense_hits"))
+
+
+def targets_of(scenarios: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Scenarios with the path that the manifest(target_key, path) has for their target_key, null if none."""
+    return scenarios.join(manifest, "target_key", "left")

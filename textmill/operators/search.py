@@ -17,7 +17,7 @@ def split_lines(text: Column) -> Column:
 def lines(corpus: DataFrame, *keep: str) -> DataFrame:
     """One row per line: path, line_no from 1, line."""
     d = corpus.select("path", *keep, F.posexplode(split_lines(F.col("text"))).alias("i", "line"))
-    return d.select("path", *keep, (F.col("i") + 1).cast("long").alias("line_no"), F.regexp_replace("line", "\r$", "").alias("line"))
+    return d.select("path", *keep, (F.col("i") + 1).cast("long").alias("line_no"), F.regexp_replace("line", "\r\\z", "").alias("line"))
 
 
 def candidates(corpus: DataFrame, search: Search) -> DataFrame:
@@ -28,13 +28,13 @@ def candidates(corpus: DataFrame, search: Search) -> DataFrame:
 
 
 def matching_files(corpus: DataFrame, search: Search) -> DataFrame:
-    """path of files with a match in a line."""
-    return corpus.where(F.exists(split_lines(F.col("text")), lambda x: search.found(F.regexp_replace(x, "\r$", "")))).select("path").distinct()
+    """path of files (a row is a file) with a match in a line. Decided within each row: nothing is shuffled."""
+    return candidates(corpus, search).where(F.exists(split_lines(F.col("text")), lambda x: search.found(F.regexp_replace(x, "\r\\z", "")))).select("path")
 
 
 def occurrence_counts(corpus: DataFrame, search: Search) -> DataFrame:
     """path and occurrences (matches that don't overlap, not lines) of files that have any. Counted within each row: nothing is shuffled."""
-    per_line = F.transform(split_lines(F.col("text")), lambda x: search.count(F.regexp_replace(x, "\r$", "")))
+    per_line = F.transform(split_lines(F.col("text")), lambda x: search.count(F.regexp_replace(x, "\r\\z", "")))
     total = F.aggregate(per_line, F.lit(0).cast("long"), lambda a, b: a + b)
     return candidates(corpus, search).select("path", total.alias("occurrences")).where("occurrences > 0")
 
@@ -64,6 +64,18 @@ def page(ordered: DataFrame, order: list, offset: int = 0, limit: int = 200) ->
     return probe.where((F.col("_rank") > offset) & (F.col("_rank") <= offset + limit)).drop("_rank")
 
 
+def page_after(rows: DataFrame, order: list[str], after: tuple | None = None, limit: int = 200) -> DataFrame:
+    """The first limit rows beyond the key after of a total order (None: from the start). However far a page is, no row before it is brought together."""
+    if not 1 <= limit <= 1000:
+        raise ValueError("limit is 1 to 1000")
+    if after is not None:
+        beyond, same = F.lit(False), F.lit(True)
+        for name, value in zip(order, after, strict=True):
+            beyond, same = beyond | (same & (F.col(name) > F.lit(value))), same & (F.col(name) == F.lit(value))
+        rows = rows.where(beyond)
+    return rows.orderBy(*order).limit(limit)
+
+
 def summary(counts: DataFrame) -> DataFrame:
     """file_count and hit_count of occurrence counts."""
     return counts.agg(F.count("*").alias("file_count"), F.coalesce(F.sum("occurrences"), F.lit(0)).cast("long").alias("hit_count"))
@@ -81,5 +93,7 @@ def skip_reason(text: Column) -> Column:
 def skip_notes(corpus: DataFrame, sample: int = 32) -> DataFrame:
     """Skipped files: reason, total of it, and a sample of at most that many paths, the first in order."""
     s = corpus.select("path", skip_reason(F.col("text")).alias("reason")).where("reason IS NOT NULL")
-    first = F.slice(F.array_sort(F.collect_list("path")), 1, sample)
-    return s.groupBy("reason").agg(F.count("*").alias("total"), first.alias("sample"))
+    rank = F.row_number().over(Window.partitionBy("reason").orderBy("path"))
+    few = s.withColumn("k", rank).where(F.col("k") <= sample)  # a top-k of each task before the shuffle
+    few = few.groupBy("reason").agg(F.array_sort(F.collect_list("path")).alias("sample"))
+    return s.groupBy("reason").agg(F.count("*").alias("total")).join(few, "reason").select("reason", "total", "sample")

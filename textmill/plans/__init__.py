@@ -1 +1 @@
-"""Registered queries and the SQL they are held against."""
+"""Registered queries: textmill.plans.queries and textmill.plans.more."""

@@ -35,6 +35,29 @@ GAPS = "gaps AS (SELECT user_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITI
 DOC_LINES = LINES + r""", t AS (SELECT path, trim(line) AS line FROM lines WHERE trim(line) <> '')"""
 
 
+#: Texts of kinds that the documents don't have: scripts, Markdown, citations, forms, journals, broken text layers. One in two documents is one of them.
+VARIED = [
+    "これは日本語の文章です。漢字とカタカナとひらがながあります。", "这是一个中文句子，没有别的文字。第二句也是中文。", "한국어 문장입니다. 띄어쓰기가 있습니다.", "שלום עולם 12 هذا نص عربي", "यह हिन्दी है ประเทศไทย ខ្មែរ",
+    "# Title\n\n```\ncode\n```\n> quote\n- item one\n- item two\n1. first\n2) second\n* * *\n|a|b|\n|---|:-:|\n|1|2|\n## Second title", "as shown [1], [2-3] and (4), in (2020) x² by Smith (2021) and [Lee et al., 2019] (Jones and Brown, 2018)",
+    "Name: ____\nDate: ____\n[ ] yes [ ] no\nSign: ______", "Journal of Things, Volume 12\ndoi:10.1000/182\nwww.journal.org 2021\nno number in this article", "∑ x ≤ 1 [1]\n∫ y et al 2001\n∞ ≠ 3 [2]\n≈ π [3]\n√ 2 [4]\n± 5 [5]", "a b c d e f g h i j k l m n",
+    "same same same same same same same same word word", "\ue000\ue001\ue002\ue003\ue004\ue005\ue006 glyphs lost in a page", "-- ... ,,, ;;; ::: !!! ??? ((( ))) --- ===", "  wide   gaps   in   each   line   of   this\n  and   more   of   them   here   and   there", "", "short", "see mailto:a@b.org, ftp://x.org or mail a@b c. d",
+]
+_LITERALS = " ".join(f"WHEN {2 * k} THEN '{t}'" for k, t in enumerate(VARIED))
+#: SQL for the same corpus, and for its lines.
+VARIED_CORPUS = f"corpus AS (SELECT source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, CASE doc_id % {2 * len(VARIED)} {_LITERALS} ELSE text END AS text, doc_id FROM documents)"
+
+
+VARIED_LINES = VARIED_CORPUS + LINES[len(CORPUS) :]
+VARIED_DOC_LINES = VARIED_LINES + DOC_LINES[len(LINES) :]
+
+
+def varied(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.col("text")
+    for k, t in enumerate(VARIED):
+        text = F.when(F.col("doc_id") % (2 * len(VARIED)) == 2 * k, F.lit(t)).otherwise(text)
+    return docs(spark, sf).withColumn("text", text)
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = shipping(f)
@@ -86,7 +109,11 @@ def scan_corpus(spark, sf):
 @query(f"WITH {CORPUS} SELECT path FROM corpus WHERE starts_with(path, 'src1/en/') AND ends_with(path, '.txt')")
 def glob_prefix(spark, sf):
     glob = "src1/en/*.txt"
-    return docs(spark, sf).where((F.col("source") == "src1") & (F.col("lang") == "en")).where(F.col("path").startswith(literal_prefix(glob)) & glob_matches(F.col("path"), glob)).select("path")
+    parts = zip(["source", "lang"], literal_prefix(glob).split("/")[:-1], strict=False)
+    d = docs(spark, sf)
+    for name, value in parts:  # the directories that the glob names in full are columns, which the scan filters by
+        d = d.where(F.col(name) == value)
+    return d.where(glob_matches(F.col("path"), glob)).select("path")
 
 
 PAGE_PATH = "pg AS (SELECT page_id, regexp_extract(url, '^https?://([^?#]*)', 1) AS path FROM pages)"
@@ -142,7 +169,8 @@ def grep_context(spark, sf):
 
 @query(f"WITH {LINES}, h AS (SELECT path, line_no, line, row_number() OVER (ORDER BY path, line_no) AS r FROM lines WHERE regexp_matches(line, 'er the')), m AS (SELECT count(*) AS n FROM h) SELECT path, line_no, line, CASE WHEN n > 250 THEN CAST(250 AS BIGINT) END AS next_offset FROM h, m WHERE r > 50 AND r <= 250")
 def grep_page(spark, sf):
-    found = search.lines(docs(spark, sf)).where(Search("er the", case="sensitive").found(F.col("line")))
+    wanted = Search("er the", case="sensitive")
+    found = search.lines(search.candidates(docs(spark, sf), wanted)).where(wanted.found(F.col("line")))
     return search.page(found, ["path", "line_no"], 50, 200)
 
 
@@ -161,9 +189,16 @@ def glob_type(spark, sf):
     return src.entries(docs(spark, sf)).select("path", "is_dir")
 
 
-@query()
+@query(f"WITH {CORPUS}, t AS (SELECT path, CASE doc_id % 20 WHEN 0 THEN NULL WHEN 1 THEN text || chr(0) WHEN 2 THEN repeat('x', 70000) ELSE text END AS text FROM corpus), r AS (SELECT path, CASE WHEN text IS NULL THEN 'unreadable' WHEN contains(text, chr(0)) THEN 'binary' WHEN len([l for l in string_split(text, chr(10)) if octet_length(encode(l)) > 65536]) > 0 THEN 'line_too_long' END AS reason FROM t) SELECT reason, count(*) AS total, array_to_string(list(path ORDER BY path)[1:32], ' ') AS sample FROM r WHERE reason IS NOT NULL GROUP BY reason")
 def skip_reasons(spark, sf):
-    return search.skip_notes(docs(spark, sf))
+    text = F.when(F.col("doc_id") % 20 == 1, F.concat("text", F.lit("\0"))).when(F.col("doc_id") % 20 == 2, F.repeat(F.lit("x"), F.lit(70000))).when(F.col("doc_id") % 20 > 0, F.col("text"))
+    return search.skip_notes(docs(spark, sf).withColumn("text", text)).withColumn("sample", F.array_join("sample", " "))
+
+
+@query(f"WITH {LINES} SELECT path, line_no FROM lines WHERE regexp_matches(line, 'er the') AND (path > 'src1' OR (path = 'src1' AND line_no > 3)) ORDER BY path, line_no LIMIT 100")
+def grep_page_after(spark, sf):
+    found = search.lines(search.candidates(docs(spark, sf), Search("er the", case="sensitive"))).where(Search("er the", case="sensitive").found(F.col("line")))
+    return search.page_after(found, ["path", "line_no"], ("src1", 3), 100).select("path", "line_no")
 
 
 @query(f"WITH {CORPUS}, a AS (SELECT path FROM corpus WHERE contains(text, 'the')), b AS (SELECT path FROM corpus WHERE contains(text, 'tion')) SELECT path, 'missing' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT path, 'unexpected' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)")
@@ -180,10 +215,10 @@ def read_slice(spark, sf):
     return reading.line_slice(docs(spark, sf), 3, 10)
 
 
-@query(f"WITH {LINES} SELECT path, line_no, octet_length(encode(line)) > 512 AS truncated, CASE WHEN octet_length(encode(line)) <= 512 THEN length(line) END AS whole FROM lines")
+@query(f"WITH {LINES} SELECT path, line_no, octet_length(encode(line)) > 512 AS truncated, md5(CASE WHEN octet_length(encode(line)) <= 512 THEN line ELSE left(line, list_max([k for k in range(0, least(length(line), 512) + 1) if octet_length(encode(left(line, k))) <= 512])) END) AS cut FROM lines")
 def read_truncate(spark, sf):
     d = search.lines(docs(spark, sf)).withColumn("t", reading.truncated(F.col("line"), 512))
-    return d.select("path", "line_no", "t.truncated", F.when(~F.col("t.truncated"), F.length("t.text")).cast("long").alias("whole"))
+    return d.select("path", "line_no", "t.truncated", F.md5(F.col("t.text").cast("binary")).alias("cut"))
 
 
 @query(f"WITH {LINES}, u AS (SELECT path, line_no, CAST(sum(octet_length(encode(line)) + 1) OVER (PARTITION BY path ORDER BY line_no) AS BIGINT) AS used FROM lines) SELECT path, line_no, used FROM u WHERE line_no = 1 OR used <= 2048")
@@ -206,16 +241,16 @@ def head_tail(spark, sf):
     return docs(spark, sf).select("path", reading.head_tail(F.col("text"), 200).alias("h")).select("path", F.when(F.col("h.omitted") > 0, F.col("h.head")).otherwise(F.concat("h.head", "h.tail")).alias("head"), F.when(F.col("h.omitted") > 0, F.col("h.tail")).otherwise("").alias("tail"), "h.omitted")
 
 
-@query("SELECT page_id, octet_length(encode(html)) AS total, greatest(octet_length(encode(html)) - 64, 0) AS start FROM pages")
+@query("SELECT page_id, octet_length(encode(html)) AS total, greatest(octet_length(encode(html)) - 64, 0) AS start, right(hex(encode(html)), 128) AS data FROM pages")
 def log_tail(spark, sf):
     p = src.table(spark, sf, "pages").select("page_id", reading.tail_bytes(F.col("html").cast("binary"), 64).alias("t"))
-    return p.select("page_id", "t.total", F.col("t.start").cast("long").alias("start"))
+    return p.select("page_id", "t.total", F.col("t.start").cast("long").alias("start"), F.hex("t.data").alias("data"))
 
 
-@query()
+@query(f"WITH {CORPUS}, b AS (SELECT path, hex(encode(text)) AS h FROM corpus), c AS (SELECT path, h, substr(h, 201, 666) AS d FROM b), e AS (SELECT path, d, length(d) // 2 AS n, [k for k in range(1, 5) if k <= length(d) // 2 AND substr(d, length(d) - 2 * k + 1, 1) NOT IN ('8', '9', 'A', 'B')][1] AS lead FROM c), w AS (SELECT *, substr(d, length(d) - 2 * lead + 1, 1) AS f FROM e) SELECT path, CASE WHEN lead < (CASE f WHEN 'F' THEN 4 WHEN 'E' THEN 3 WHEN 'C' THEN 2 WHEN 'D' THEN 2 ELSE 0 END) THEN left(d, 2 * (n - lead)) ELSE d END AS data, 100 + length(CASE WHEN lead < (CASE f WHEN 'F' THEN 4 WHEN 'E' THEN 3 WHEN 'C' THEN 2 WHEN 'D' THEN 2 ELSE 0 END) THEN left(d, 2 * (n - lead)) ELSE d END) // 2 AS next_cursor FROM w")
 def log_cursor(spark, sf):
     f = docs(spark, sf).select("path", F.col("text").cast("binary").alias("content"), F.lit(100).cast("long").alias("cursor"), F.lit(False).alias("finalized"))
-    return reading.cursor_page(f, 333)
+    return reading.cursor_page(f, 333).withColumn("data", F.hex("data"))
 
 
 @query(f"WITH {CORPUS}, c AS (SELECT path, left(md5(path), 16) || CASE WHEN length(path) > 14 THEN '.' || CAST(doc_id AS VARCHAR) WHEN length(path) > 13 THEN '.x' ELSE '' END AS cursor FROM corpus) SELECT path, CASE WHEN regexp_full_match(cursor, '[0-9a-f]{{16}}([.][0-9]{{1,18}})?') THEN left(cursor, 16) END AS id, CASE WHEN regexp_full_match(cursor, '[0-9a-f]{{16}}([.][0-9]{{1,18}})?') THEN CAST(coalesce(nullif(regexp_extract(cursor, '[.]([0-9]+)$', 1), ''), '0') AS BIGINT) END AS at FROM c")
@@ -225,14 +260,14 @@ def cursor_parse(spark, sf):
     return docs(spark, sf).select("path", reading.cursor_parse(cursor).alias("c")).select("path", "c.id", "c.at")
 
 
-@query(f"WITH {CORPUS} SELECT path, CAST(len(regexp_extract_all(text, '[一-鿿]')) AS DOUBLE) / greatest(length(text), 1) AS ratio FROM corpus")
+@query(f"WITH {VARIED_CORPUS} SELECT path, CAST(len(regexp_extract_all(text, '[一-鿿]')) AS DOUBLE) / greatest(length(text), 1) AS ratio FROM corpus")
 def cjk_ratio(spark, sf):
-    return docs(spark, sf).select("path", tx.cjk_ratio(F.col("text")).alias("ratio"))
+    return varied(spark, sf).select("path", tx.cjk_ratio(F.col("text")).alias("ratio"))
 
 
-@query(f"WITH {CORPUS} SELECT path, least(20480, CAST(floor((CAST(5.17 AS DOUBLE) - CAST(len(regexp_extract_all(text, '[一-鿿]')) AS DOUBLE) / greatest(length(text), 1) * 3.0) * 10000) AS BIGINT)) AS bytes FROM corpus")
+@query(f"WITH {VARIED_CORPUS} SELECT path, least(20480, CAST(floor((CAST(5.17 AS DOUBLE) - CAST(len(regexp_extract_all(text, '[一-鿿]')) AS DOUBLE) / greatest(length(text), 1) * 3.0) * 10000) AS BIGINT)) AS bytes FROM corpus")
 def cjk_budget(spark, sf):
-    return docs(spark, sf).select("path", tx.byte_budget(F.col("text"), 20480).alias("bytes"))
+    return varied(spark, sf).select("path", tx.byte_budget(F.col("text"), 20480).alias("bytes"))
 
 
 @query(f"WITH {CORPUS} SELECT path, octet_length(encode(text)) + len(regexp_extract_all(text, '[\"\\\\\\x08\\t\\n\\x0C\\r]')) + 5 * len(regexp_extract_all(text, '[\\x00-\\x07\\x0B\\x0E-\\x1F]')) AS encoded FROM corpus")
@@ -371,37 +406,37 @@ def burst_sessions(spark, sf):
 # Text functions
 
 
-@query(f"WITH {CORPUS} SELECT path, array_to_string([array_to_string([trim(regexp_replace(l, '\\s+', ' ', 'g')) for l in string_split(p, chr(10)) if trim(regexp_replace(l, '\\s+', ' ', 'g')) <> ''], chr(10)) for p in string_split(text, chr(10) || chr(10))], chr(10) || chr(10)) AS normal FROM corpus")
+@query(f"WITH {VARIED_CORPUS} SELECT path, array_to_string([array_to_string([trim(regexp_replace(l, '[\\t-\\r \\x{{85}}\\x{{A0}}\\x{{3000}}]+', ' ', 'g')) for l in string_split(p, chr(10)) if trim(regexp_replace(l, '[\\t-\\r \\x{{85}}\\x{{A0}}\\x{{3000}}]+', ' ', 'g')) <> ''], chr(10)) for p in string_split(text, chr(10) || chr(10))], chr(10) || chr(10)) AS normal FROM corpus")
 def ws_normalize(spark, sf):
-    return docs(spark, sf).select("path", tx.normalize_space(F.col("text")).alias("normal"))
+    return varied(spark, sf).select("path", tx.normalize_space(F.col("text")).alias("normal"))
 
 
-@query(f"WITH {CORPUS}, u AS (SELECT path, text, CASE WHEN contains(text, '://') OR contains(text, 'www.') THEN regexp_replace(text, '(https?://[^\\s<>\\[\\]]*[^\\s<>\\[\\].,!?;:])', '[\\1](\\1)', 'g') ELSE text END AS x FROM corpus) SELECT path, CASE WHEN contains(text, '@') THEN regexp_replace(x, '([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}})', '[\\1](mailto:\\1)', 'g') ELSE x END AS linked FROM u")
+@query(f"WITH {VARIED_CORPUS}, u AS (SELECT path, text, CASE WHEN contains(text, '://') OR contains(text, 'www.') THEN regexp_replace(text, '(https?://[^\\s<>\\[\\]]*[^\\s<>\\[\\].,!?;:])', '[\\1](\\1)', 'g') ELSE text END AS x FROM corpus) SELECT path, CASE WHEN contains(text, '@') THEN regexp_replace(x, '([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}})', '[\\1](mailto:\\1)', 'g') ELSE x END AS linked FROM u")
 def linkify(spark, sf):
-    return docs(spark, sf).select("path", tx.linkify(F.col("text")).alias("linked"))
+    return varied(spark, sf).select("path", tx.linkify(F.col("text")).alias("linked"))
 
 
-@query("SELECT page_id, regexp_matches(html, '(?i)https?://|ftp://|www\\.') AS url, regexp_matches(html, '@[^@\\s]*\\.') AS email FROM pages")
+@query(f"WITH {VARIED_CORPUS}, l AS (SELECT path, text, lower(text) AS low, strpos(text, '@') AS k FROM corpus) SELECT path, length(text) >= 7 AND (contains(low, 'http://') OR contains(low, 'https://') OR contains(low, 'ftp://') OR contains(low, 'mailto:')) AS url, k > 0 AND contains(substr(text, k + 1), '.') AS email FROM l")
 def has_url_email(spark, sf):
-    return src.table(spark, sf, "pages").select("page_id", tx.has_url(F.col("html")).alias("url"), tx.has_email(F.col("html")).alias("email"))
+    return varied(spark, sf).select("path", tx.has_url(F.col("text")).alias("url"), tx.has_email(F.col("text")).alias("email"))
 
 
-@query(f"WITH {CORPUS} SELECT path, " + ", ".join(f"len(regexp_extract_all(text, '{e}')){' - len(regexp_extract_all(text, ' + chr(39) + r'\(\d{4}\)' + chr(39) + '))' if k == 'paren' else ''} AS {k}" for k, e in tx.CITATIONS) + " FROM corpus")
+@query(f"WITH {VARIED_CORPUS} SELECT path, " + ", ".join(f"len(regexp_extract_all(text, '{e}')){' - len(regexp_extract_all(text, ' + chr(39) + r'\(\d{4}\)' + chr(39) + '))' if k == 'paren' else ''} AS {k}" for k, e in tx.CITATIONS) + " FROM corpus")
 def citation_counts(spark, sf):
-    return docs(spark, sf).select("path", *[c.alias(k) for k, c in tx.citation_counts(F.col("text")).items()])
+    return varied(spark, sf).select("path", *[c.alias(k) for k, c in tx.citation_counts(F.col("text")).items()])
 
 
 @query()
 def citations(spark, sf):
-    return docs(spark, sf).select("path", F.explode(pandas_text.citations("text")).alias("c")).select("path", "c.*")
+    return varied(spark, sf).select("path", F.explode(pandas_text.citations("text")).alias("c")).select("path", "c.*")
 
 
-@query(f"""WITH {CORPUS}, w AS (SELECT path, text, length(text) AS total, [x for x in string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') if x <> ''] AS words FROM corpus),
-m AS (SELECT path, total, len(words) AS n, len(regexp_extract_all(text, '[\\x00-\\x08\\x0E-\\x1F\\x{{FFFD}}\\x{{E000}}-\\x{{F8FF}}]')) AS bad, len([x for x in words if length(x) <= 2]) / len(words) AS frag,
+@query(f"""WITH {VARIED_CORPUS}, w AS (SELECT path, text, length(text) AS total, [x for x in string_split(regexp_replace(text, '[\\t-\\r \\x{{85}}\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{3000}}]+', ' ', 'g'), ' ') if x <> ''] AS words FROM corpus),
+m AS (SELECT path, total, len(words) AS n, len(regexp_extract_all(text, '[一-鿿㐀-䶿぀-ゟ゠-ヿ가-힣]')) > 0.5 * len(regexp_extract_all(text, '[^\\s]')) AS cjk, len(regexp_extract_all(text, '[\\x00-\\x08\\x0E-\\x1F\\x{{FFFD}}\\x{{E000}}-\\x{{F8FF}}]')) AS bad, len([x for x in words if length(x) <= 2]) / len(words) AS frag,
  len([i for i in range(1, len(words)) if words[i] = words[i + 1]]) / len(words) AS rep, list_sum([length(x) for x in words]) / len(words) AS mean, len(regexp_extract_all(text, '[\\pL\\pN]')) / total AS alnum FROM w)
-SELECT path, CASE WHEN total < 16 THEN NULL WHEN bad / total > 0.20 THEN 'glyph_mapping_missing' WHEN n >= 8 AND frag > 0.80 THEN 'glyph_mapping_missing' WHEN n >= 8 AND (rep > 0.30 OR (frag > 0.55 AND mean < 2.5)) THEN 'below_threshold' WHEN alnum < 0.20 THEN 'below_threshold' END AS reason FROM m""")
+SELECT path, CASE WHEN total < 16 THEN NULL WHEN bad / total > 0.20 THEN 'glyph_mapping_missing' WHEN n >= 8 AND frag > 0.80 AND NOT cjk THEN 'glyph_mapping_missing' WHEN n >= 8 AND (rep > 0.30 OR (frag > 0.55 AND mean < 2.5 AND NOT cjk)) THEN 'below_threshold' WHEN alnum < 0.20 THEN 'below_threshold' END AS reason FROM m""")
 def quality_gate(spark, sf):
-    return docs(spark, sf).select("path", tx.quality_gate(F.col("text")).alias("reason"))
+    return varied(spark, sf).select("path", tx.quality_gate(F.col("text")).alias("reason"))
 
 
 SQL["page_state"] = SQL["quality_gate"].replace("SELECT path, CASE WHEN total < 16 THEN NULL", "SELECT path, CASE WHEN n = 0 THEN 'blank' WHEN total < 16 THEN 'text_ready'").replace("'glyph_mapping_missing'", "'text_uncertain'").replace("'below_threshold'", "'text_uncertain'").replace("END AS reason", "ELSE 'text_ready' END AS state")
@@ -409,12 +444,12 @@ SQL["page_state"] = SQL["quality_gate"].replace("SELECT path, CASE WHEN total <
 
 @query(SQL["page_state"])
 def page_state(spark, sf):
-    return docs(spark, sf).select("path", tx.page_state(F.col("text"), F.lit(False)).alias("state"))
+    return varied(spark, sf).select("path", tx.page_state(F.col("text"), F.lit(False)).alias("state"))
 
 
 def _document_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Per document: lines, bytes of a line (mean, deviation), shares of justified, form and citation lines, math lines, and gaps between words in ems."""
-    d = search.lines(docs(spark, sf)).select("path", F.trim("line").alias("line")).where("line <> ''")
+    d = search.lines(varied(spark, sf)).select("path", F.trim("line").alias("line")).where("line <> ''")
     line = F.col("line")
     gaps = F.transform(F.regexp_extract_all(line, F.lit(" +"), F.lit(0)), lambda g: F.length(g).cast("long"))
     start = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("g", "g2", "gn", "tight")])
@@ -433,7 +468,7 @@ def _document_stats(spark: SparkSession, sf: str) -> DataFrame:
     return s.withColumns({"gap_mean": F.coalesce(mean * 0.1, F.lit(0.0)), "gap_deviation": F.coalesce(spread, F.lit(0.0)), "tightness": F.coalesce(F.try_divide("tight", "gn"), F.lit(0.0))})
 
 
-DOC_STATS = DOC_LINES + r""", f AS (SELECT path, octet_length(encode(line)) AS b, CAST(contains(line, '  ') AND len(regexp_split_to_array(line, '\s+')) > 5 AS INT) AS justified,
+DOC_STATS = VARIED_DOC_LINES + r""", f AS (SELECT path, octet_length(encode(line)) AS b, CAST(contains(line, '  ') AND len(regexp_split_to_array(line, '\s+')) > 5 AS INT) AS justified,
  CAST(length(line) - length(replace(line, '_', '')) >= 3 OR regexp_matches(line, '[\[\]☐☒□]') AS INT) AS form,
  CAST(contains(line, 'et al') OR contains(line, 'et. al') OR (contains(line, '[') AND contains(line, ']')) OR regexp_matches(line, '19\d\d|20\d\d|2100') AS INT) AS cites,
  CAST(regexp_matches(line, '[∑∫∂∇√∞≈≠≤≥±×÷αβγδεθλμπσω]') AS INT) AS math, [length(x) for x in regexp_extract_all(line, ' +')] AS gaps FROM t),
@@ -457,19 +492,20 @@ def doc_type(spark, sf):
     return _document_stats(spark, sf).select("path", kind.alias("doc_type"))
 
 
-@query(f"WITH {LINES}, t AS (SELECT trim(line) AS t FROM lines) SELECT CASE WHEN t = '' THEN 'blank' WHEN regexp_matches(t, '^(```|~~~)') THEN 'fence' WHEN regexp_matches(t, '^#{{1,6}} ') THEN 'heading' WHEN regexp_matches(t, '^\\|( *[-:]+ *\\|){{2,}}$') THEN 'table_separator' WHEN regexp_matches(t, '^\\|.*\\|$') THEN 'table' WHEN regexp_matches(t, '^>') THEN 'quote' WHEN regexp_matches(t, '^([-*+]|\\d+[.)]) ') THEN 'list' WHEN regexp_matches(t, '^(-( *-){{2,}}|\\*( *\\*){{2,}}|_( *_){{2,}})$') THEN 'rule' ELSE 'text' END AS kind, count(*) AS n FROM t GROUP BY 1")
+@query(f"WITH {VARIED_LINES}, t AS (SELECT trim(line) AS t FROM lines) SELECT CASE WHEN t = '' THEN 'blank' WHEN regexp_matches(t, '^(```|~~~)') THEN 'fence' WHEN regexp_matches(t, '^#{{1,6}} ') THEN 'heading' WHEN regexp_matches(t, '^\\|( *[-:]+ *\\|){{2,}}$') THEN 'table_separator' WHEN regexp_matches(t, '^\\|.*\\|$') THEN 'table' WHEN regexp_matches(t, '^>') THEN 'quote' WHEN regexp_matches(t, '^([-*+]|\\d+[.)]) ') THEN 'list' WHEN regexp_matches(t, '^(-( *-){{2,}}|\\*( *\\*){{2,}}|_( *_){{2,}})$') THEN 'rule' ELSE 'text' END AS kind, count(*) AS n FROM t GROUP BY 1")
 def md_line_kind(spark, sf):
-    return search.lines(docs(spark, sf)).groupBy(tx.line_kind(F.col("line")).alias("kind")).agg(F.count("*").alias("n"))
+    return search.lines(varied(spark, sf)).groupBy(tx.line_kind(F.col("line")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {CORPUS} SELECT path, " + ", ".join(f"len(regexp_extract_all(text, '[{r}]')) AS {k}" for k, r in tx.SCRIPTS.items()) + ", CAST(NULL AS VARCHAR) AS language FROM corpus")
+@query(f"WITH {VARIED_CORPUS} SELECT path, " + ", ".join(f"len(regexp_extract_all(text, '[{r}]')) AS {k}" for k, r in tx.SCRIPTS.items()) + ", CASE WHEN regexp_matches(text, '[぀-ゟ゠-ヿ]') THEN 'japanese' WHEN regexp_matches(text, '[가-힣]') THEN 'korean' WHEN regexp_matches(text, '[一-鿿㐀-䶿]') THEN 'chinese' END AS language FROM corpus")
 def script_counts(spark, sf):
-    return docs(spark, sf).select("path", *[c.alias(k) for k, c in tx.script_counts(F.col("text")).items()], tx.inferred_language(F.col("text")).alias("language"))
+    return varied(spark, sf).select("path", *[c.alias(k) for k, c in tx.script_counts(F.col("text")).items()], tx.inferred_language(F.col("text")).alias("language"))
 
 
-@query("WITH p AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line FROM conversations), b AS (SELECT conv_id, turn, lower(trim(regexp_replace(regexp_replace(line, '[0-9]', '', 'g'), '\\s+', ' ', 'g'))) AS band FROM p), c AS (SELECT conv_id, count(DISTINCT turn) AS pages FROM b GROUP BY 1), s AS (SELECT conv_id, band, count(DISTINCT turn) AS n FROM b WHERE length(band) > 3 GROUP BY 1, 2) SELECT conv_id, band, n, pages FROM s JOIN c USING (conv_id) WHERE pages >= 3 AND n >= greatest(2, ceil(pages * CAST(0.3 AS DOUBLE)))")
+@query("WITH p AS (SELECT conv_id, turn, unnest(string_split(CASE WHEN conv_id % 3 = 0 THEN 'Report 7, page ' || CAST(turn AS VARCHAR) || chr(10) || text ELSE text END, chr(10))) AS line FROM conversations), b AS (SELECT conv_id, turn, lower(trim(regexp_replace(regexp_replace(line, '[0-9]', '', 'g'), '\\s+', ' ', 'g'))) AS band FROM p), c AS (SELECT conv_id, count(DISTINCT turn) AS pages FROM b GROUP BY 1), s AS (SELECT conv_id, band, count(DISTINCT turn) AS n FROM b WHERE length(band) > 3 GROUP BY 1, 2) SELECT conv_id, band, n, pages FROM s JOIN c USING (conv_id) WHERE pages >= 3 AND n >= greatest(2, ceil(pages * CAST(0.3 AS DOUBLE)))")
 def repeated_lines(spark, sf):
-    p = src.table(spark, sf, "conversations").select("conv_id", "turn", F.explode(F.split("text", "\n")).alias("line"))
+    text = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("Report 7, page "), F.col("turn").cast("string"), F.lit("\n"), "text")).otherwise(F.col("text"))
+    p = src.table(spark, sf, "conversations").select("conv_id", "turn", F.explode(F.split(text, "\n")).alias("line"))
     return layout.running_lines(p.withColumn("band", tx.band_line(F.col("line"))), "conv_id", "turn", "band", 0.3).select("conv_id", "band", "n", "pages")
 
 
@@ -503,10 +539,15 @@ def json_counts(spark, sf):
     return src.table(spark, sf, "events").select("event_id", tx.first_int(F.col("props"), ["hit_count", "k", "count"]).alias("n"))
 
 
-@query("WITH c AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'C:\\bin\\PWSH.exe -c x' WHEN 'click' THEN '\"/usr/bin/python\" a.py' WHEN 'error' THEN 'ls -l' WHEN 'signup' THEN '  bash.exe -c y' ELSE 'cmd /c dir' END AS x, event_type AS t FROM events) SELECT event_id, CASE t WHEN 'view' THEN 'pwsh' WHEN 'click' THEN 'other-interpreter' WHEN 'error' THEN 'none' WHEN 'signup' THEN 'wsl' ELSE 'cmd' END AS delegate FROM c")
+@query(r"""WITH c AS (SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'C:\bin\PWSH.exe -c x' WHEN 1 THEN '"/usr/bin/python" a.py' WHEN 2 THEN 'ls -l' WHEN 3 THEN '  bash.exe -c y' WHEN 4 THEN 'cmd /c dir' WHEN 5 THEN chr(39) || '/opt/a b/node' || chr(39) || ' x' WHEN 6 THEN 'wsl.exe ls' WHEN 7 THEN '' ELSE event_type || ' --flag' END AS x FROM events),
+t AS (SELECT event_id, trim(CASE WHEN starts_with(ltrim(x), '"') THEN string_split(x, '"')[2] WHEN starts_with(ltrim(x), chr(39)) THEN string_split(x, chr(39))[2] ELSE string_split(ltrim(x), ' ')[1] END) AS token FROM c),
+n AS (SELECT event_id, lower(string_split(replace(token, '\', '/'), '/')[-1]) AS name FROM t), z AS (SELECT event_id, name, CASE WHEN contains(name, '.') THEN left(name, length(name) - strpos(reverse(name), '.')) ELSE name END AS stem FROM n)
+SELECT event_id, CASE WHEN name = 'bash.exe' THEN 'wsl' WHEN stem IN ('pwsh', 'powershell') THEN 'pwsh' WHEN stem IN ('cmd', 'wsl') THEN stem WHEN stem IN ('python', 'node', 'perl', 'ruby') THEN 'other-interpreter' ELSE 'none' END AS delegate FROM z""")
 def shell_delegate(spark, sf):
-    t = F.col("event_type")
-    command = F.when(t == "view", r"C:\bin\PWSH.exe -c x").when(t == "click", '"/usr/bin/python" a.py').when(t == "error", "ls -l").when(t == "signup", "  bash.exe -c y").otherwise("cmd /c dir")
+    commands = [r"C:\bin\PWSH.exe -c x", '"/usr/bin/python" a.py', "ls -l", "  bash.exe -c y", "cmd /c dir", "'/opt/a b/node' x", "wsl.exe ls", ""]
+    command = F.concat("event_type", F.lit(" --flag"))
+    for k, c in enumerate(commands):
+        command = F.when(F.col("event_id") % 9 == k, F.lit(c)).otherwise(command)
     return src.table(spark, sf, "events").select("event_id", tx.shell_delegate(command).alias("delegate"))
 
 
@@ -517,7 +558,7 @@ def _spans(spark: SparkSession, sf: str) -> DataFrame:
     return layout.text_spans(src.table(spark, sf, "conversations"), ["conv_id", "turn"])
 
 
-@query()
+@query("WITH ln AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS r FROM conversations), w AS (SELECT conv_id, turn, r, len([x for x in string_split(l, ' ') if x <> '']) AS n FROM ln) SELECT conv_id, turn, count(*) - 1 AS last_line, CAST(sum(n) AS BIGINT) AS words FROM w WHERE n > 0 GROUP BY conv_id, turn")
 def cluster_lines(spark, sf):
     return layout.lines_of_page(_spans(spark, sf), ["conv_id", "turn"], 3.0).groupBy("conv_id", "turn").agg(F.max("line").alias("last_line"), F.count("*").alias("words"))
 
@@ -543,7 +584,10 @@ def rect_filter(spark, sf):
 
 
 def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/textmill-checkpoints"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    root = root or "/tmp/textmill-checkpoints"
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -578,9 +622,9 @@ def artifact_signature(spark, sf):
     return docs(spark, sf).select("path", F.md5(cl.artifact_signature(F.col("text")).cast("binary")).alias("signature"))
 
 
-@query(f"WITH {LINES} SELECT path, line_no FROM lines WHERE regexp_matches(line, '[0-9]') AND (contains(lower(line), 'doi.org') OR contains(lower(line), 'doi:') OR contains(lower(line), '/doi/') OR contains(lower(line), 'volume') OR contains(lower(line), 'vol.') OR contains(lower(line), 'article') OR contains(lower(line), 'issue') OR (contains(lower(line), 'www.') AND (contains(lower(line), '.org') OR contains(lower(line), '.com') OR contains(lower(line), '.net'))))")
+@query(f"WITH {VARIED_LINES} SELECT path, line_no FROM lines WHERE regexp_matches(line, '[0-9]') AND (contains(lower(line), 'doi.org') OR contains(lower(line), 'doi:') OR contains(lower(line), '/doi/') OR contains(lower(line), 'volume') OR contains(lower(line), 'vol.') OR contains(lower(line), 'article') OR contains(lower(line), 'issue') OR (contains(lower(line), 'www.') AND (contains(lower(line), '.org') OR contains(lower(line), '.com') OR contains(lower(line), '.net'))))")
 def stable_pagination(spark, sf):
-    return search.lines(docs(spark, sf)).where(cl.stable_pagination(F.col("line"))).select("path", "line_no")
+    return search.lines(varied(spark, sf)).where(cl.stable_pagination(F.col("line"))).select("path", "line_no")
 
 
 @query(f"WITH {CORPUS} SELECT path, len([x for x in string_split(text, chr(10)) if trim(x) <> '' AND NOT (starts_with(lower(trim(x)), '[') OR starts_with(lower(trim(x)), 'the ') OR starts_with(lower(trim(x)), 'de '))]) AS n FROM corpus")
@@ -588,9 +632,9 @@ def content_lines(spark, sf):
     return docs(spark, sf).select("path", F.size(cl.content_lines(F.col("text"), ["[", "the ", "de "])).cast("long").alias("n"))
 
 
-@query(f"WITH {LINES} SELECT path, count(*) AS items FROM lines WHERE regexp_matches(line, '^\\s*([-*+] \\s*\\S|[-*+] $|[0-9]+[.)] )') GROUP BY path")
+@query(f"WITH {VARIED_LINES} SELECT path, count(*) AS items FROM lines WHERE regexp_matches(line, '^\\s*([-*+] \\s*\\S|[-*+] $|[0-9]+[.)] )') GROUP BY path")
 def list_items(spark, sf):
-    return search.lines(docs(spark, sf)).where(cl.is_list_item(F.col("line"))).groupBy("path").agg(F.count("*").alias("items"))
+    return search.lines(varied(spark, sf)).where(cl.is_list_item(F.col("line"))).groupBy("path").agg(F.count("*").alias("items"))
 
 
 @query(f"WITH {CORPUS}, w AS (SELECT path, [trim(c) for c in string_split(text, '|') if trim(c) <> ''] AS c, len(string_split(text, '|')) AS k FROM corpus) SELECT path, k < 5 OR len(c) = 0 OR len([x for x in c if regexp_matches(x, '^[0-9.,%+\\-−$€£]*[0-9][0-9.,%+\\-−$€£]*$')]) * 2 >= len(c) OR len([x for x in c if NOT regexp_matches(x, '\\s')]) <= len(c) * 0.7 AS table_like FROM w")

@@ -90,3 +90,28 @@ def synthetic_code(spark: SparkSession, n: int, sparse: str, dense: str, seed: i
         F.when(i % 250 == 249, F.array(F.repeat(F.lit("x"), F.lit(16384)))).otherwise(F.array().cast("array<string>")),
     )
     return f.withColumn("text", F.concat(F.array_join(F.concat(extra, lines), "\n"), F.lit("\n")))
+
+
+def single_file(corpus: DataFrame, path: str) -> DataFrame:
+    """The file of that path; no row if there is none."""
+    return corpus.where(F.col("path") == path)
+
+
+def scenarios(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A JSON list of scenarios as rows."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def register_lines(spark: SparkSession) -> None:
+    """The table function text_lines(text) -> (line_no, line) for SQL."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="line_no bigint, line string", useArrow=True)
+    class TextLines:
+        def eval(self, text: str):
+            if text:
+                rows = text.split("\n")
+                for k, x in enumerate(rows[:-1] if rows[-1] == "" else rows, 1):
+                    yield k, x.removesuffix("\r")
+
+    spark.udtf.register("text_lines", TextLines)
