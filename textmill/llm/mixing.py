@@ -27,7 +27,7 @@ BLOCK, SHARD = 64, 1024
 WEIGHTS = (5, 2, 1)
 CAP = 3
 #: Words of a chunk, for which a source's running totals are made at once; shards whose slots are numbered at once.
-CHUNK_WORDS, NUMBERED = 1 << 22, 64
+CHUNK_WORDS, NUMBERED = 1 << 20, 16
 #: Cells that the slots' draws are looked up by; sources up to which the table of cells is broadcast; slots of a task.
 CELLS, SOURCES, TASK_SLOTS = 4096, 1024, 1 << 20
 
