@@ -240,10 +240,13 @@ def learn(texts: list[str], label: np.ndarray) -> Model | None:
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS, seed: int = 9) -> Model | None:
-    """The model from docs(text, toxic 0 or 1), on about train_docs of them, and train_chars of their texts, taken by a hash of doc_id and text (of the text alone, copies would come all or none); fitted in one task, as the sample is bounded."""
+    """The model from docs(text, toxic 0 or 1, and maybe text_length), on about train_docs of them, and train_chars of their texts, taken by a hash of doc_id and text (of the text alone, copies would come all or none); fitted in one task, as the sample is bounded."""
     key = [c for c in ("doc_id", "text") if c in docs.columns]
-    d = docs.where("toxic IS NOT NULL").withColumns({"text": F.coalesce("text", F.lit("")), "toxic": F.col("toxic").cast("int")}).select("toxic", *key)
-    total, chars = d.agg(F.count("*"), F.sum(F.length("text"))).first()
+    # Lengths that come with the rows spare the texts the way to where docs are joined to their labels.
+    length = F.col("text_length") if "text_length" in docs.columns else F.length("text")
+    d = docs.where("toxic IS NOT NULL")
+    total, chars = d.agg(F.count("*"), F.coalesce(F.sum(length), F.lit(0))).first()
+    d = d.withColumns({"text": F.coalesce("text", F.lit("")), "toxic": F.col("toxic").cast("int")}).select("toxic", *key)
     if not total:
         return None
     share = min(1.0, train_docs / total, train_chars / max(1, chars))
@@ -287,6 +290,6 @@ def score_toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    train = docs.select("doc_id", "text").where(~held_out(F.col("doc_id"), 4, 2)).join(labels, "doc_id")
+    train = docs.select("doc_id", "text", F.length("text").alias("text_length")).where(~held_out(F.col("doc_id"), 4, 2)).join(labels, "doc_id")
     out = score_toxicity(docs, fit(train))
     return out.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"), "spans")
