@@ -270,3 +270,16 @@ def test_log_lines_are_written_by_day_and_part(spark, tmp_path):
     assert {r.dt for r in back.select("dt").distinct().collect()} == {"2024-01-01"} or str(back.first().dt) == "2024-01-01"
     assert back.where(back.k == 3).first().diagnostic == json_lines.OMITTED and sorted(r.k for r in back.collect()) == list(range(back.count()))
     assert {r.part for r in r.select("part").distinct().collect()} == {1, 2, 3}
+
+
+def test_white_space_of_all_scripts(spark):
+    """The quality gate and collapsing treat every white space like a blank."""
+    texts = ["same same same same same same word word word", "a b c d e f g h i j k l m n", "plain words that stand in a whole sentence", "  two   gaps  ", ""]
+    wide = ["\xa0", "\x85", "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000", "\t"]
+    rows = [(k, t.replace(" ", w)) for k, t in enumerate(texts) for w in [" ", *wide]]
+    found = spark.createDataFrame(rows, "k int, text string").select("k", tx.quality_gate(F.col("text")).alias("gate"), tx.collapse_space(F.col("text")).alias("one"), tx.page_state(F.col("text"), F.lit(False)).alias("state"))
+    kinds = {tuple(r) for r in found.collect()}
+    assert kinds == {
+        (0, "below_threshold", texts[0], "text_uncertain"), (1, "glyph_mapping_missing", texts[1], "text_uncertain"),
+        (2, None, texts[2], "text_ready"), (3, None, "two gaps", "text_ready"), (4, None, "", "blank"),
+    }
