@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from textmill.plans import more  # noqa: F401 (adds its queries)
+from textmill.plans import more, tables  # noqa: F401 (add their queries)
 from textmill.plans.queries import QUERIES, SQL
 
 TABLES = "lineitem events documents pages benchmark labels conversations".split()

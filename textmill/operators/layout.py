@@ -328,3 +328,72 @@ def assembled(spans: DataFrame, by: list[str], band: float = 5.0, gap: float = 2
 def without_artifacts(lines: DataFrame, running: DataFrame, doc: str, band: str) -> DataFrame:
     """Lines whose normal form doesn't run over the pages of their document."""
     return lines.join(running.select(doc, band), [doc, band], "left_anti")
+
+
+#: Of pages whose regions stand side by side: least spans, of a page and of each region; least lines and characters a line. Fixed values.
+SIDE_SPANS, REGION_SPANS, REGION_LINES, REGION_DENSITY = 8, 8, 4, 12.0
+
+
+def regions(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Region numbers of boxes: neighbours in a line less than a median height apart are of one region, and so are boxes above each other that share some width and are near."""
+    em, right, middle = max(1.0, float(np.median(h))), x + w, y + h / 2
+    out = np.arange(len(x))
+    while True:
+        before = out.copy()
+        for i in range(len(x)):  # one row of the matrix of neighbours at a time
+            line = np.abs(middle - middle[i]) < em / 2
+            beside = np.maximum(x, x[i]) - np.minimum(right, right[i]) < em
+            shared = np.minimum(right, right[i]) - np.maximum(x, x[i]) > 0.3 * em
+            near = np.minimum(np.abs(y - y[i] - h[i]), np.abs(y[i] - y - h)) < 1.5 * em
+            own = np.where(line, beside, shared & near)
+            own[i] = True
+            out[own] = out[own].min()
+        if (out == before).all():
+            return np.unique(out, return_inverse=True)[1]
+
+
+def region_order(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, chars: np.ndarray) -> np.ndarray | None:
+    """Order of boxes by region, a region after those above it and after those on its left; None unless two dense regions of half the boxes stand side by side."""
+    if len(x) < SIDE_SPANS:
+        return None
+    em, of = max(1.0, float(np.median(h))), regions(x, y, w, h)
+    n = of.max() + 1
+    of_each = [of == k for k in range(n)]
+    size = np.array([m.sum() for m in of_each])
+    if 2 * (size < 4).sum() > n:
+        return None
+    x0, x1 = np.array([x[m].min() for m in of_each]), np.array([(x + w)[m].max() for m in of_each])
+    low, top = np.array([y[m].min() for m in of_each]), np.array([(y + h)[m].max() for m in of_each])
+    lines = np.array([1 + (np.diff(np.sort(y[m])) > 0.6 * em).sum() for m in of_each])
+    large = (size >= REGION_SPANS) & (lines >= REGION_LINES) & (np.array([chars[m].sum() for m in of_each]) >= REGION_DENSITY * lines)
+    apart = (x1[:, None] <= x0) | (x1 <= x0[:, None])
+    height = np.minimum(top[:, None], top) - np.maximum(low[:, None], low)
+    if not (apart & (height > 3 * em) & large[:, None] & large & (2 * (size[:, None] + size) >= len(x))).any():
+        return None
+    first = (~apart & (low[:, None] >= low) & (top[:, None] > top)) | ((x1[:, None] <= x0) & (height > em / 2))
+    np.fill_diagonal(first, False)
+    left, out = np.ones(n, bool), []
+    while left.any():
+        free = left & ~first[left].any(axis=0)
+        free = np.flatnonzero(free if free.any() else left)
+        k = free[np.lexsort((x0[free], -top[free]))[0]]
+        left[k] = False
+        at = np.flatnonzero(of_each[k])
+        out.append(at[np.lexsort((at, x[at], -y[at]))])
+    return np.concatenate(out)
+
+
+def block_order(spans: DataFrame, by: list[str], band: float = 5.0) -> DataFrame:
+    """spans(seq, x, y, w, h, text) with regions (whether the page is read by regions that stand side by side) and place; other pages are read in bands from the top."""
+    schema = T.StructType([*spans.schema, T.StructField("regions", T.BooleanType()), T.StructField("place", T.IntegerType())])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq", kind="stable", ignore_index=True)
+        x, y, w, h = (pdf[c].to_numpy(float) for c in "xywh")
+        order = region_order(x, y, w, h, pdf["text"].str.strip().str.len().to_numpy())
+        found = order is not None
+        place = np.empty(len(pdf), int)
+        place[order if found else np.lexsort((np.arange(len(x)), x, -np.floor(y / band)))] = np.arange(len(pdf))
+        return pdf.assign(regions=found, place=place)
+
+    return spans.groupBy(*by).applyInPandas(run, schema)

@@ -521,10 +521,11 @@ def dehyphenate(spark, sf):
     return docs(spark, sf).select("path", F.md5(pandas_text.dehyphenate(F.regexp_replace("text", "tion ", "-\n")).cast("binary")).alias("joined"))
 
 
-@query()
+@query(f"WITH {VARIED_CORPUS} SELECT path, md5(array_to_string([CASE WHEN regexp_matches(r, '^[\\x00-\\x7F]') OR regexp_matches(r, '[^\\x00-\\x{{FF}}]') THEN r ELSE array_to_string([CASE WHEN ord(c) < 192 THEN 'Â' || c ELSE 'Ã' || chr(ord(c) - 64) END for c in string_split(r, '')], '') END for r in regexp_extract_all(text, '[\\x00-\\x7F]+|[^\\x00-\\x7F]+')], '')) AS repaired FROM corpus")
 def mojibake(spark, sf):
+    """Texts read as Latin-1: runs with a character beyond it come back, others stay as they are."""
     garbled = F.decode(F.col("text").cast("binary"), "ISO-8859-1")
-    return docs(spark, sf).select("path", F.md5(pandas_text.mojibake(garbled).cast("binary")).alias("repaired"))
+    return varied(spark, sf).select("path", F.md5(pandas_text.mojibake(garbled).cast("binary")).alias("repaired"))
 
 
 @query(f"WITH {CORPUS}, o AS (SELECT path, text, CASE WHEN contains(text, 'idiot') THEN '70' WHEN contains(text, 'license') THEN '1' ELSE '0' END AS code FROM corpus) SELECT path, CASE WHEN code = '0' THEN 'ok' WHEN code = '70' AND len([l for l in string_split(text, chr(10)) if contains(lower(l), 'stupid') AND lower(l) <> 'stupid']) > 0 THEN 'runner_failed' WHEN contains(lower(text), 'public license') THEN 'denied' ELSE 'ok' END AS outcome FROM o")
@@ -563,7 +564,11 @@ def cluster_lines(spark, sf):
     return layout.lines_of_page(_spans(spark, sf), ["conv_id", "turn"], 3.0).groupBy("conv_id", "turn").agg(F.max("line").alias("last_line"), F.count("*").alias("words"))
 
 
-@query()
+@query("""WITH RECURSIVE ln AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS l FROM conversations), wk AS (SELECT conv_id, turn, string_split(l, ' ') AS ws, unnest(range(len(string_split(l, ' ')))) AS k FROM ln),
+v AS (SELECT conv_id, turn, list_sort(list(CAST(6 * coalesce(list_sum([length(z) + 1 for z in ws[1:k]]), 0) AS DOUBLE))) AS v FROM wk WHERE ws[k + 1] <> '' GROUP BY conv_id, turn),
+c AS (SELECT conv_id, turn, v, 1 AS i, 1 AS k, v[1] AS total, 1 AS n FROM v UNION ALL
+ SELECT conv_id, turn, v, i + 1, CASE WHEN abs(v[i + 1] - total / n) <= 12 THEN k ELSE k + 1 END, CASE WHEN abs(v[i + 1] - total / n) <= 12 THEN total + v[i + 1] ELSE v[i + 1] END, CASE WHEN abs(v[i + 1] - total / n) <= 12 THEN n + 1 ELSE 1 END FROM c WHERE i < len(v))
+SELECT conv_id, turn, max(k) AS clusters FROM c GROUP BY conv_id, turn""")
 def cluster_values(spark, sf):
     return layout.clustered(_spans(spark, sf).select("conv_id", "turn", "seq", "x"), ["conv_id", "turn"], "x", 12.0).groupBy("conv_id", "turn").agg((F.max("cluster") + 1).alias("clusters"))
 
@@ -573,7 +578,7 @@ def reading_order(spark, sf):
     return layout.reading_order(_spans(spark, sf), ["conv_id", "turn"]).select("conv_id", "turn", "seq", "place")
 
 
-@query()
+@query("WITH ln AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS r FROM conversations), wk AS (SELECT conv_id, turn, r, string_split(l, ' ') AS ws, unnest(range(len(string_split(l, ' ')))) AS k FROM ln), s AS (SELECT conv_id, turn, CAST(r AS BIGINT) * 100000 + k AS seq, ws[k + 1] AS text, CAST(6 * coalesce(list_sum([length(z) + 1 for z in ws[1:k]]), 0) AS DOUBLE) AS x, CAST(6 * length(ws[k + 1]) AS DOUBLE) AS w FROM wk WHERE ws[k + 1] <> '') SELECT conv_id, turn, seq, text FROM s WHERE x <= 300 AND (least(x + w, 300) - x) / w >= 0.5")
 def rect_filter(spark, sf):
     s = _spans(spark, sf)
     boxes = s.groupBy("conv_id", "turn").agg(F.lit(0.0).alias("rx"), F.min("y").alias("ry"), F.lit(300.0).alias("rw"), (F.max("y") - F.min("y") + 10.0).alias("rh"))
