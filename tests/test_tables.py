@@ -15,10 +15,17 @@ def cells(df):
 
 
 def test_columns_merge_when_near_or_touching():
-    lo = np.array([0.0, 2.0, 20.0, 100.0, 130.0])
-    assert tables.merged_columns(lo, lo + 10).tolist() == [0, 0, 0, 1, 2]
-    wide = np.array([0.0, 90.0])
-    assert tables.merged_columns(wide, wide + 95).tolist() == [0, 0]
+    lo = [0.0, 2.0, 20.0, 100.0, 130.0]
+    assert tables.merged_columns(lo, [v + 10 for v in lo]) == [0, 0, 0, 1, 2]
+    assert tables.merged_columns([0.0, 90.0], [95.0, 185.0]) == [0, 0]
+
+
+def test_running_clusters():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        v = rng.integers(0, 60, 30).astype(float)
+        wanted = layout.cluster_values(v, 4.0)
+        assert [sorted(c) for c in tables.running_clusters(v.tolist(), 4.0)] == [np.flatnonzero(wanted == k).tolist() for k in range(wanted.max() + 1)]
 
 
 def test_spatial_tables_gates(spark):

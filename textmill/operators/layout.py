@@ -336,18 +336,24 @@ SIDE_SPANS, REGION_SPANS, REGION_LINES, REGION_DENSITY = 8, 8, 4, 12.0
 
 def regions(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Region numbers of boxes: neighbours in a line less than a median height apart are of one region, and so are boxes above each other that share some width and are near."""
-    em, right, middle = max(1.0, float(np.median(h))), x + w, y + h / 2
-    out = np.arange(len(x))
+    em, right, middle, n = max(1.0, float(np.median(h))), x + w, y + h / 2, len(x)
+
+    def neighbours(at: slice) -> np.ndarray:
+        a = lambda v: v[at, None]
+        line = np.abs(middle - a(middle)) < em / 2
+        gap = np.maximum(x, a(x)) - np.minimum(right, a(right))
+        near = np.minimum(np.abs(y - a(y) - a(h)), np.abs(a(y) - y - h)) < 1.5 * em
+        return np.where(line, gap < em, (gap < -0.3 * em) & near)
+
+    step = max(1, 4_000_000 // n)  # so that a part of the matrix has some million fields, whatever the page
+    parts = [slice(k, min(n, k + step)) for k in range(0, n, step)]
+    kept = neighbours(parts[0]) if len(parts) == 1 else None
+    out = np.arange(n)
     while True:
-        before = out.copy()
-        for i in range(len(x)):  # one row of the matrix of neighbours at a time
-            line = np.abs(middle - middle[i]) < em / 2
-            beside = np.maximum(x, x[i]) - np.minimum(right, right[i]) < em
-            shared = np.minimum(right, right[i]) - np.maximum(x, x[i]) > 0.3 * em
-            near = np.minimum(np.abs(y - y[i] - h[i]), np.abs(y[i] - y - h)) < 1.5 * em
-            own = np.where(line, beside, shared & near)
-            own[i] = True
-            out[own] = out[own].min()
+        before = out
+        least = np.concatenate([np.where(neighbours(p) if kept is None else kept, out, n).min(axis=1) for p in parts])
+        out = np.minimum(out, least)
+        out = out[out]
         if (out == before).all():
             return np.unique(out, return_inverse=True)[1]
 

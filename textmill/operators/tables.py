@@ -5,13 +5,12 @@ A page, or a structure tree, is a group and its size bounds a task.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import re
+from collections import Counter, defaultdict
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from textmill.operators.layout import cluster_values
 
 #: Tolerances of columns and rows, merge distance of columns; least cells, columns and rows, most columns, least share of regular rows, most share of empty cells. Fixed values.
 COLUMN, ROW, MERGE = 15.0, 2.8, 25.0
@@ -22,47 +21,92 @@ BULLETS = "►•▪▸‣◦●■◆○□❍❖✓✔➢➤\x7f"
 HEADINGS, BOLD, SMALLEST, BODY = [1.8, 1.4, 1.2], 1.05, 9.0, 12.0
 
 
-def merged_columns(lo: np.ndarray, hi: np.ndarray, tolerance: float = COLUMN, merge: float = MERGE) -> np.ndarray:
+def by_page(df: DataFrame, by: list[str], fields: list[str], use: Callable[[list[dict]], list[dict]], out: str) -> DataFrame:
+    """by and the rows of schema out that use makes of a page's rows. Pages are handed over in batches: most are too small for a call each."""
+    pages = df.groupBy(*by).agg(F.collect_list(F.struct(*fields)).alias("_rows"))
+    run = F.pandas_udf(lambda s: s.map(lambda rows: use(list(rows))), f"array<struct<{out}>>")
+    return pages.select(*by, F.explode(run("_rows")).alias("_row")).select(*by, "_row.*")
+
+
+def running_clusters(values: list[float], tolerance: float) -> list[list[int]]:
+    """cluster_values as lists of places in values, for few values."""
+    out, total = [], 0.0
+    for i in sorted(range(len(values)), key=values.__getitem__):
+        if out and abs(values[i] - total / len(out[-1])) <= tolerance:
+            out[-1].append(i)
+            total += values[i]
+        else:
+            out.append([i])
+            total = values[i]
+    return out
+
+
+def merged_columns(lo: list[float], hi: list[float], tolerance: float = COLUMN, merge: float = MERGE) -> list[int]:
     """Column numbers of intervals by their centers; neighbouring columns are one if their centers are nearer than merge or their ranges meet."""
-    center = (lo + hi) / 2
-    fine = cluster_values(center, tolerance)
-    out, at, middle, weight, reach = np.zeros(fine.max() + 1, int), -1, 0.0, 0, 0.0
-    for k in range(fine.max() + 1):
-        own = fine == k
-        m, n = center[own].mean(), int(own.sum())
-        if at >= 0 and (m - middle < merge or lo[own].min() <= reach):
-            middle, weight, reach = (middle * weight + m * n) / (weight + n), weight + n, max(reach, hi[own].max())
+    center = [(a + b) / 2 for a, b in zip(lo, hi, strict=True)]
+    out, at, middle, held, reach = [0] * len(lo), -1, 0.0, 0, 0.0
+    for own in running_clusters(center, tolerance):
+        m, far = sum(center[i] for i in own) / len(own), max(hi[i] for i in own)
+        if at >= 0 and (m - middle < merge or min(lo[i] for i in own) <= reach):
+            middle, held, reach = (middle * held + m * len(own)) / (held + len(own)), held + len(own), max(reach, far)
         else:
-            at, middle, weight, reach = at + 1, m, n, hi[own].max()
-        out[k] = at
-    return out[fine]
+            at, middle, held, reach = at + 1, m, len(own), far
+        for i in own:
+            out[i] = at
+    return out
+
+
+_VALUE = re.compile(r"[0-9.,%+\-−$€£]*[0-9][0-9.,%+\-−$€£]*")
 
 
-def _grid(pdf: pd.DataFrame) -> pd.DataFrame | None:
+def _grid(spans: list[dict]) -> list[dict]:
     """Cells (row, col, text) of the table that a page's spans are, if they pass the tests of a table."""
-    lo, w = pdf["x"].to_numpy(float), pdf["w"].to_numpy(float)
-    d = pdf.assign(col=merged_columns(lo, lo + w), row=cluster_values(-pdf["y"].to_numpy(float), ROW))
-    columns, rows = d["col"].max() + 1, d["row"].max() + 1
-    d = d.sort_values(["row", "col", "x", "seq"], kind="stable").groupby(["row", "col"], as_index=False)["text"].agg(" ".join)
-    filled = d.groupby("row").size()
-    regular = filled.value_counts().max() / rows
-    sound = len(d) >= CELLS and COLUMNS <= columns <= MOST_COLUMNS and rows >= ROWS and regular >= REGULAR and 1 - len(d) / (rows * columns) <= EMPTY
-    words = d["text"].str.strip()
-    values = words.str.match(r"^[0-9.,%+\-−$€£]*[0-9][0-9.,%+\-−$€£]*$").sum()
-    prose = columns >= 5 and values * 2 < len(d) and (~words.str.contains(r"\s")).sum() > 0.7 * len(d)
-    return d if sound and not prose else None
+    spans = sorted(spans, key=lambda s: (s["x"], s["seq"]))
+    cols = merged_columns([s["x"] for s in spans], [s["x"] + s["w"] for s in spans])
+    lines = running_clusters([-s["y"] for s in spans], ROW)
+    row_of = {i: r for r, line in enumerate(lines) for i in line}
+    found = defaultdict(list)
+    for i, s in enumerate(spans):
+        found[row_of[i], cols[i]].append(s["text"] or "")
+    columns, rows = max(cols) + 1, len(lines)
+    filled = Counter(Counter(r for r, _ in found).values())
+    if len(found) < CELLS or not COLUMNS <= columns <= MOST_COLUMNS or rows < ROWS or max(filled.values()) < REGULAR * rows or len(found) < (1 - EMPTY) * rows * columns:
+        return []
+    texts = [" ".join(t).strip() for t in found.values()]
+    values, single = sum(bool(_VALUE.fullmatch(t)) for t in texts), sum(len(t.split()) < 2 for t in texts)
+    if columns >= 5 and values * 2 < len(texts) and single > 0.7 * len(texts):  # prose
+        return []
+    return [{"row": r, "col": c, "text": " ".join(t)} for (r, c), t in sorted(found.items())]
 
 
 def spatial_tables(spans: DataFrame, by: list[str]) -> DataFrame:
     """spans(seq, x, y, w, text) of pages, or of columns of pages -> by, row, col, text: the filled cells of those that are tables."""
-    out = T.StructType([*[spans.schema[c] for c in by], T.StructField("row", T.IntegerType()), T.StructField("col", T.IntegerType()), T.StructField("text", T.StringType())])
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        d = _grid(pdf)
-        found = d.itertuples(index=False) if d is not None else []
-        return pd.DataFrame([(*key, r.row, r.col, r.text) for r in found], columns=out.names)
-
-    return spans.groupBy(*by).applyInPandas(run, out)
+    return by_page(spans, by, ["seq", "x", "y", "w", "text"], _grid, "row:int,col:int,text:string")
+
+
+def _tagged(nodes: list[dict]) -> list[dict]:
+    below = defaultdict(list)
+    for n in sorted(nodes, key=lambda n: (n["seq"], n["node"]), reverse=True):
+        below[n["parent"]].append(n)
+    cells, tables, rows = [], 0, 0
+    # (node, its table, row and cell, whether it is within a THead), the next one to read last
+    todo = [(n, None, None, None, False) for n in below[None]]
+    while todo:
+        n, table, row, cell, head = todo.pop()
+        kind = n["kind"]
+        if cell is None and table is None and kind == "Table":
+            table, tables, rows = tables, tables + 1, 0
+        elif cell is None and table is not None and row is None and kind == "TR":
+            row, rows = [rows, 0], rows + 1
+        elif cell is None and row is not None and kind in ("TH", "TD"):
+            span = max(1, n["colspan"] or 1)
+            cell = {"table": table, "row": row[0], "col": row[1], "header": head or kind == "TH", "colspan": span, "text": []}
+            row[1] += span
+            cells.append(cell)
+        if cell is not None and n["text"] is not None:
+            cell["text"].append(n["text"])
+        todo += [(c, table, row, cell, head or kind == "THead") for c in below[n["node"]]]
+    return [c | {"text": " ".join(c["text"])} for c in cells]
 
 
 def tagged_tables(nodes: DataFrame) -> DataFrame:
@@ -71,34 +115,7 @@ def tagged_tables(nodes: DataFrame) -> DataFrame:
     A table is numbered in reading order; what is below its first TR is of that row, below its first TH or TD of that
     cell: tables within cells are text of these. A cell is a header if it is a TH or within a THead. Children come by seq.
     """
-    out = "tree long, table int, row int, col int, header boolean, colspan int, text string"
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["seq", "node"], kind="stable")
-        below = {p: g.to_dict("records") for p, g in pdf.groupby("parent", dropna=True)}
-        cells, tables, rows = [], 0, 0
-        # (node, its table, row and cell, whether it is within a THead), the next one to read last
-        todo = [(n, None, None, None, False) for n in reversed(pdf[pdf["parent"].isna()].to_dict("records"))]
-        while todo:
-            n, table, row, cell, head = todo.pop()
-            kind = n["kind"]
-            if cell is not None:
-                pass
-            elif table is None and kind == "Table":
-                table, tables, rows = tables, tables + 1, 0
-            elif table is not None and row is None and kind == "TR":
-                row, rows = [rows, 0], rows + 1
-            elif row is not None and kind in ("TH", "TD"):
-                span = 1 if pd.isna(n["colspan"]) else max(1, int(n["colspan"]))
-                cell = {"table": table, "row": row[0], "col": row[1], "header": head or kind == "TH", "colspan": span, "text": []}
-                row[1] += span
-                cells.append(cell)
-            if cell is not None and isinstance(n["text"], str):
-                cell["text"].append(n["text"])
-            todo += [(c, table, row, cell, head or kind == "THead") for c in reversed(below.get(n["node"], []))]
-        return pd.DataFrame([(key[0], *[c[k] for k in ("table", "row", "col", "header", "colspan")], " ".join(c["text"])) for c in cells], columns="tree table row col header colspan text".split())
-
-    return nodes.groupBy("tree").applyInPandas(run, out)
+    return by_page(nodes, ["tree"], ["node", "parent", "seq", "kind", "text", "colspan"], _tagged, "table:int,row:int,col:int,header:boolean,colspan:int,text:string")
 
 
 def table_markdown(cells: DataFrame, by: list[str]) -> DataFrame:
