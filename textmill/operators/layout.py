@@ -5,12 +5,16 @@ Each operator takes the spans or edges of one page at a time, so a page is a gro
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textmill.operators.tables import by_page
+
 #: Depth, least spans, least valley and width of a cut. Fixed values.
 CUT_DEPTH, CUT_SPANS, VALLEY, GUTTER = 64, 5, 0.3, 15.0
 
@@ -275,14 +279,24 @@ def tiered_order(spans: DataFrame, by: list[str], band: float = 5.0) -> DataFram
 
 
 def tree_order(nodes: DataFrame, depth: int = 64) -> DataFrame:
-    """nodes(tree, node, parent, seq) of trees -> tree, node, depth, place: depth first, children by seq. Deeper nodes than depth are left out."""
-    return nodes.sparkSession.sql(
-        f"""WITH RECURSIVE walk(tree, node, depth, path) AS (
-             SELECT tree, node, 0, array(seq) FROM {{nodes}} WHERE parent IS NULL
-             UNION ALL SELECT n.tree, n.node, w.depth + 1, array_append(w.path, n.seq) FROM walk w JOIN {{nodes}} n ON n.tree = w.tree AND n.parent = w.node WHERE w.depth < {depth})
-           SELECT tree, node, depth, CAST(row_number() OVER (PARTITION BY tree ORDER BY path) - 1 AS INT) AS place FROM walk""",
-        nodes=nodes,
-    )
+    """nodes(tree, node, parent, seq) of trees -> tree, node, depth, place: depth first, children by seq. Deeper nodes than depth are left out.
+
+    A tree is a page's or a document's and is walked at once: a recursive query would go over all trees together, and Spark ends one at a number of rows.
+    """
+
+    def walk(rows: list[dict]) -> list[dict]:
+        below, out = defaultdict(list), []
+        for n in sorted(rows, key=lambda n: (n["seq"], n["node"]), reverse=True):
+            below[n["parent"]].append(n["node"])
+        todo = [(n, 0) for n in below[None]]
+        while todo:
+            n, at = todo.pop()
+            out.append({"node": n, "depth": at, "place": len(out)})
+            if at < depth:
+                todo += [(c, at + 1) for c in below[n]]
+        return out
+
+    return by_page(nodes, ["tree"], ["node", "parent", "seq"], walk, f"node:{nodes.schema['node'].dataType.simpleString()},depth:int,place:int")
 
 
 def line_height(spans: DataFrame, by: list[str], em: float) -> DataFrame:
