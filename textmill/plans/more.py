@@ -201,12 +201,12 @@ def invalid_bytes(spark, sf):
 
 @query(f"WITH {SPANS}, o AS (SELECT conv_id, turn, seq, row_number() OVER (PARTITION BY conv_id, turn ORDER BY floor(y / 5) DESC, x, seq) - 1 AS place FROM spans) SELECT * FROM o")
 def banded_order(spark, sf):
-    return layout.simple_order(_spans(spark, sf), PAGE).select(*PAGE, "seq", "place")
+    return layout.simple_order(_spans(spark, sf), PAGE).select(*PAGE, "seq", "place").withColumn("place", F.col("place").cast("long"))
 
 
 @query(f"WITH {SPANS} SELECT conv_id, turn, seq, row_number() OVER (PARTITION BY conv_id, turn ORDER BY floor(x / 5) DESC, y DESC, seq) - 1 AS place FROM spans")
 def vertical_order(spark, sf):
-    return layout.vertical_order(_spans(spark, sf), PAGE).select(*PAGE, "seq", "place")
+    return layout.vertical_order(_spans(spark, sf), PAGE).select(*PAGE, "seq", "place").withColumn("place", F.col("place").cast("long"))
 
 
 @query(f"WITH {SPANS}, b AS (SELECT *, CASE WHEN x + w / 2 BETWEEN 200 AND 400 THEN 1 WHEN x + w / 2 BETWEEN 0 AND 200 THEN 2 END AS bead FROM spans) SELECT conv_id, turn, seq, row_number() OVER (PARTITION BY conv_id, turn ORDER BY bead ASC NULLS LAST, floor(y / 5) DESC, x, seq) - 1 AS place FROM b")
@@ -215,7 +215,7 @@ def thread_order(spark, sf):
     s = _spans(spark, sf)
     beads = s.select(*PAGE).distinct().withColumn("b", F.explode(F.array(*[F.struct(F.lit(k).alias("bead"), F.lit(x).alias("bx")) for k, x in ((1, 200.0), (2, 0.0))])))
     beads = beads.select(*PAGE, "b.bead", "b.bx", F.lit(-1e6).alias("by_"), F.lit(200.0).alias("bw"), F.lit(2e6).alias("bh"))
-    return layout.thread_order(s, beads, PAGE).select(*PAGE, "seq", "place")
+    return layout.thread_order(s, beads, PAGE).select(*PAGE, "seq", "place").withColumn("place", F.col("place").cast("long"))
 
 
 @query(f"WITH RECURSIVE {SPANS}, n AS (SELECT DISTINCT conv_id, seq // 100000 AS mark FROM spans WHERE turn = 0), t AS (SELECT conv_id, mark, 0 AS depth, [mark] AS p FROM n WHERE mark = 0 UNION ALL SELECT n.conv_id, n.mark, t.depth + 1, list_append(t.p, -n.mark) FROM t JOIN n ON n.conv_id = t.conv_id AND n.mark > 0 AND (n.mark - 1) // 2 = t.mark WHERE t.depth < 64), k AS (SELECT conv_id, mark, row_number() OVER (PARTITION BY conv_id ORDER BY p) - 1 AS rank FROM t) SELECT conv_id, turn, seq, row_number() OVER (PARTITION BY conv_id, turn ORDER BY rank ASC NULLS LAST, seq) - 1 AS place FROM spans LEFT JOIN k ON k.conv_id = spans.conv_id AND spans.turn = 0 AND seq // 100000 = k.mark".replace("SELECT conv_id, turn, seq, row_number() OVER (PARTITION BY conv_id, turn ORDER BY rank", "SELECT spans.conv_id, turn, seq, row_number() OVER (PARTITION BY spans.conv_id, turn ORDER BY rank"))
@@ -224,13 +224,13 @@ def structure_order(spark, sf):
     s = _spans(spark, sf).withColumn("mark", F.floor(F.col("seq") / 100000))
     nodes = s.where("turn = 0").select("conv_id", "mark").distinct().select(F.col("conv_id").alias("tree"), F.col("mark").alias("node"), F.when(F.col("mark") > 0, F.floor((F.col("mark") - 1) / 2)).alias("parent"), (-F.col("mark")).alias("seq"))
     tree = layout.tree_order(nodes).select(F.col("tree").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.col("node").alias("mark"), F.col("place").alias("rank"))
-    return layout.structure_order(s, tree, PAGE, "mark").select(*PAGE, "seq", "place")
+    return layout.structure_order(s, tree, PAGE, "mark").select(*PAGE, "seq", "place").withColumn("place", F.col("place").cast("long"))
 
 
 @query(f"WITH {SPANS}, r AS (SELECT *, CASE WHEN turn % 2 = 0 THEN seq % 7 END AS rank, CASE WHEN seq % 5 = 0 THEN 90 ELSE 0 END AS rotation FROM spans) SELECT conv_id, turn, seq, CASE WHEN turn % 2 = 0 THEN 1 ELSE 3 END AS tier, row_number() OVER (PARTITION BY conv_id, turn ORDER BY rotation <> 0, rotation, coalesce(rank, 0), floor(y / 5) DESC, x, seq) - 1 AS place FROM r")
 def tiered_order(spark, sf):
     s = _spans(spark, sf).withColumns({"rank": F.when(F.col("turn") % 2 == 0, F.col("seq") % 7).cast("int"), "rotation": F.when(F.col("seq") % 5 == 0, 90).otherwise(0)})
-    return layout.tiered_order(s, PAGE).select(*PAGE, "seq", "tier", "place")
+    return layout.tiered_order(s, PAGE).select(*PAGE, "seq", "tier", "place").withColumn("place", F.col("place").cast("long"))
 
 
 @query(f"WITH {SPANS}, m AS (SELECT *, max(x + w) OVER (PARTITION BY conv_id, turn ORDER BY x, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT * REPLACE (CASE WHEN x >= 120 THEN x + 40 ELSE x END AS x) FROM spans)) SELECT conv_id, turn, seq, CAST(sum(CASE WHEN x - reach >= 15 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY x, seq ROWS UNBOUNDED PRECEDING) AS INT) AS \"column\" FROM m")
@@ -256,12 +256,12 @@ def spacing_deviation(spark, sf):
 
 @query(f"WITH {SPANS}, c AS (SELECT conv_id, turn, seq, text, x, w, unnest(range(length(text))) AS i FROM spans) SELECT conv_id, turn, seq, i, text[i + 1] AS ch, x + w / length(text) * i AS x, w / length(text) AS w FROM c")
 def span_characters(spark, sf):
-    return layout.characters(_spans(spark, sf), PAGE)
+    return layout.characters(_spans(spark, sf), PAGE).withColumn("i", F.col("i").cast("long"))
 
 
 @query(f"WITH {SPANS}, l AS (SELECT conv_id, turn, r, string_agg(text, ' ' ORDER BY x, seq) AS text FROM spans GROUP BY ALL) SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY r) - 1 AS line, md5(text) AS text FROM l")
 def assembled_lines(spark, sf):
-    return layout.assembled(_spans(spark, sf), PAGE).select(*PAGE, "line", F.md5(F.col("text").cast("binary")).alias("text"))
+    return layout.assembled(_spans(spark, sf), PAGE).select(*PAGE, "line", F.md5(F.col("text").cast("binary")).alias("text")).withColumn("line", F.col("line").cast("long"))
 
 
 @query("WITH l AS (SELECT conv_id, turn, unnest(string_split('Report 7, page ' || CAST(turn AS VARCHAR) || chr(10) || text, chr(10))) AS line FROM conversations), b AS (SELECT *, lower(trim(regexp_replace(regexp_replace(line, '[0-9]', '', 'g'), '\\s+', ' ', 'g'))) AS band FROM l), c AS (SELECT conv_id, count(DISTINCT turn) AS pages FROM b GROUP BY 1), s AS (SELECT conv_id, band FROM b JOIN c USING (conv_id) WHERE length(band) > 3 AND pages >= 3 GROUP BY conv_id, band, pages HAVING count(DISTINCT turn) >= greatest(2, ceil(pages * CAST(0.3 AS DOUBLE)))) SELECT conv_id, turn, md5(line) AS line FROM b WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.conv_id = b.conv_id AND s.band = b.band)")

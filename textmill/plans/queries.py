@@ -561,7 +561,7 @@ def _spans(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("WITH ln AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS r FROM conversations), w AS (SELECT conv_id, turn, r, len([x for x in string_split(l, ' ') if x <> '']) AS n FROM ln) SELECT conv_id, turn, count(*) - 1 AS last_line, CAST(sum(n) AS BIGINT) AS words FROM w WHERE n > 0 GROUP BY conv_id, turn")
 def cluster_lines(spark, sf):
-    return layout.lines_of_page(_spans(spark, sf), ["conv_id", "turn"], 3.0).groupBy("conv_id", "turn").agg(F.max("line").alias("last_line"), F.count("*").alias("words"))
+    return layout.lines_of_page(_spans(spark, sf), ["conv_id", "turn"], 3.0).groupBy("conv_id", "turn").agg(F.max("line").alias("last_line"), F.count("*").alias("words")).withColumn("last_line", F.col("last_line").cast("long"))
 
 
 @query("""WITH RECURSIVE ln AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS l FROM conversations), wk AS (SELECT conv_id, turn, string_split(l, ' ') AS ws, unnest(range(len(string_split(l, ' ')))) AS k FROM ln),

@@ -34,7 +34,7 @@ def spatial_tables(spark, sf):
     d = _rows(spark, sf).select("page", "r", y.alias("y"), F.explode(F.array(*words)).alias("c")).select("page", "r", "y", "c.*")
     d = d.where((kind <= 1) | ((kind == 2) & (F.col("k") == 0)) | ((kind == 3) & (F.col("k") == F.col("r") % 3)))
     s = d.select("page", (F.col("r") * 1000 + F.col("x")).cast("long").alias("seq"), "x", "y", F.lit(12.0).alias("w"), "text")
-    return tables.spatial_tables(s, ["page"])
+    return tables.spatial_tables(s, ["page"]).withColumn("row", F.col("row").cast("long"))
 
 
 @query(
@@ -54,7 +54,7 @@ def tagged_tables(spark, sf):
     top = [node(F.lit(1), F.lit(None), "Table"), node(F.lit(2), F.lit(1), "THead"), node(F.lit(3), F.lit(1), "TBody"), node(F.lit(4), F.lit(None), "TD", F.lit("stray"))]
     n = rows.select("page", F.explode(F.concat(F.array(*own), F.when(r == 2, F.array(*inner)).otherwise(F.array().cast("array<struct<node:bigint,parent:bigint,seq:bigint,kind:string,text:string,colspan:int>>")))).alias("n"))
     n = n.union(rows.select("page").distinct().select("page", F.explode(F.array(*top)).alias("n")))
-    return tables.tagged_tables(n.select(F.col("page").alias("tree"), "n.*"))
+    return tables.tagged_tables(n.select(F.col("page").alias("tree"), "n.*")).withColumn("row", F.col("row").cast("long"))
 
 
 @query(
@@ -105,7 +105,7 @@ def block_order(spark, sf):
     c = src.table(spark, sf, "conversations").select("conv_id", "turn", two.alias("two"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("r")).select("*", F.explode(F.array(*map(F.lit, range(4)))).alias("k"))
     x = F.col("k") * 63.0 + F.when(F.col("two") & (F.col("k") >= 2), 40.0).otherwise(0.0)
     s = c.select("conv_id", "turn", (F.col("r") * 4 + F.col("k")).alias("seq"), x.alias("x"), (F.col("r") * -12.0).alias("y"), F.lit(60.0).alias("w"), F.lit(10.0).alias("h"), F.lit("tenletters").alias("text"))
-    return layout.block_order(s, ["conv_id", "turn"]).select("conv_id", "turn", "seq", "regions", "place")
+    return layout.block_order(s, ["conv_id", "turn"]).select("conv_id", "turn", "seq", "regions", "place").withColumn("seq", F.col("seq").cast("long")).withColumn("place", F.col("place").cast("long"))
 
 
 def _setting(field: str) -> str:
