@@ -1,11 +1,14 @@
 """Tables, regions and Markdown of pages: gates, odd pages and the order of regions."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from textmill.functions import profiles
 from textmill.operators import layout, tables
+from textmill.plans import tables as plans  # noqa: F401 (adds its queries)
+from textmill.plans.queries import QUERIES, SQL
 
 SPANS = "page long, seq long, x double, y double, w double, h double, text string"
 
@@ -86,3 +89,17 @@ def test_profiles():
     assert profiles.by_name("academic")["citations"] and profiles.by_name("form")["margin"] == 0.08
     with pytest.raises(ValueError):
         profiles.by_name("none")
+
+
+def test_lines_markdown_query_on_odd_lines(spark, tmp_path):
+    """Addresses, section numbers, ordinals, printed bullets, tabs and CRs: as the query's SQL has them."""
+    texts = [
+        "Ung sich\n56.187.231.175 Keit in lich auf.\n2.1.3 Results\n1.2 a", "th\nst\nnd", "a\n• one\n► two\n- three\n* four\n-\tfive", "a\n- \t\n-\x0bx\n1.\x0bx\n2. y\n- \t\t",
+        "Title\r\nfirst\r\n\r\n- one\r\n- two\r\n1. x\r\n", "Big " + "w\x0b" * 30, "Big " + "w\t" * 17 + "\t", "x", "56.187.231.175 Keit", "", "\n\n", None, "10.20.30.40 " + "ä" * 70,
+    ]
+    rows = [(2 * i + 1, t, "en", "src", 0) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in QUERIES["lines_markdown"](spark, str(tmp_path)).select("path", "markdown").collect())
+    assert len(got) == 10 and got == sorted(con.sql(f"select path, markdown from ({SQL['lines_markdown']})").fetchall())

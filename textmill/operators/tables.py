@@ -17,6 +17,8 @@ COLUMN, ROW, MERGE = 15.0, 2.8, 25.0
 CELLS, COLUMNS, ROWS, MOST_COLUMNS, REGULAR, EMPTY = 4, 2, 3, 15, 0.3, 0.6
 #: Glyphs that begin an item of a list. Fixed values.
 BULLETS = "►•▪▸‣◦●■◆○□❍❖✓✔➢➤\x7f"
+#: White space of RE2's \s, which is Java's without the vertical tab.
+SPACE = r"[\t\n\f\r ]"
 #: Ratios to the body's size from which a line is a heading of level 1, 2, 3, and 4 if it is bold; a body is at least 9 and at most 12 points. Fixed values.
 HEADINGS, BOLD, SMALLEST, BODY = [1.8, 1.4, 1.2], 1.05, 9.0, 12.0
 
@@ -141,27 +143,37 @@ def body_size(lines: DataFrame, by: list[str]) -> DataFrame:
     return n.groupBy(*by).agg(F.least(F.coalesce(best, F.lit(BODY)), F.lit(BODY)).alias("body"))
 
 
-def heading_level(text: Column, ratio: Column, bold: Column) -> Column:
+def heading_level(text: Column, ratio: Column, bold: Column, printed: bool = True) -> Column:
     """Level of a heading by the ratio of its size to the body's, else by its section number (2.1.3 is level 3, at most 6); null for other lines.
 
     A heading has 2 to 200 characters, 20 words at most, no end of a sentence within, and isn't a stray ordinal suffix.
+    Unless printed, sizes and weights alone decide: section numbers (and addresses that look like one) and suffixes mean nothing.
     """
     t = F.trim(text)
-    fit = F.length(t).between(2, 200) & (F.size(F.split(t, r"\s+")) <= 20) & ~t.rlike(r"[.!?] +\p{Lu}") & ~F.lower(t).isin("st", "nd", "rd", "th")
+    fit = F.length(t).between(2, 200) & (F.size(F.split(t, (r"\s" if printed else SPACE) + "+", -1)) <= 20) & ~t.rlike(r"[.!?] +\p{Lu}")
+    if printed:
+        fit &= ~F.lower(t).isin("st", "nd", "rd", "th")
     by_size = F.when(ratio >= HEADINGS[0], 1).when(ratio >= HEADINGS[1], 2).when(ratio >= HEADINGS[2], 3).when(bold & (ratio >= BOLD), 4)
+    if not printed:
+        return F.when(fit, by_size)
     number = F.regexp_extract(t, r"^([0-9]+(?:\.[0-9]+)+)\s*(?=\p{L}.)", 1)
     dots = F.length(number) - F.length(F.replace(number, F.lit("."), F.lit("")))
     numbered = F.when((number != "") & (F.octet_length(t) - F.octet_length(number) <= 121), F.least(dots + 1, F.lit(6)))
     return F.coalesce(F.when(fit, by_size), numbered)
 
 
-def lines_markdown(lines: DataFrame, by: list[str]) -> DataFrame:
-    """lines(line, text, size, bold) -> by, markdown: headings, items of lists, and paragraphs of the lines between; empty lines end a paragraph."""
+def lines_markdown(lines: DataFrame, by: list[str], printed: bool = True) -> DataFrame:
+    """lines(line, text, size, bold) -> by, markdown: headings, items of lists, and paragraphs of the lines between; empty lines end a paragraph.
+
+    Unless printed, headings are by size and weight alone, the marks of items are - and *, and white space is that of RE2.
+    """
     d = lines.join(body_size(lines, by), by)
     t = F.trim("text")
-    d = d.withColumn("level", heading_level(F.col("text"), F.col("size") / F.col("body"), F.col("bold")))
-    bullet = F.regexp_extract(t, rf"(?s)^[{BULLETS}\-*]\s+(.*)$", 1)
-    kind = F.when(t == "", "blank").when(F.col("level").isNotNull(), "heading").when(bullet != "", "bullet").when(t.rlike(r"^([0-9]{1,3}|[a-z])[.)]\s"), "number").otherwise("text")
+    d = d.withColumn("level", heading_level(F.col("text"), F.col("size") / F.col("body"), F.col("bold"), printed))
+    space, marks = (r"\s", BULLETS) if printed else (SPACE, "")
+    bullet = F.regexp_extract(t, rf"(?s)^[{marks}\-*]{space}+(.*)$", 1)
+    item = bullet != "" if printed else t.rlike(rf"(?s)^[\-*]{space}+.")
+    kind = F.when(t == "", "blank").when(F.col("level").isNotNull(), "heading").when(item, "bullet").when(t.rlike(rf"^([0-9]{{1,3}}|[a-z])[.)]{space}"), "number").otherwise("text")
     d = d.withColumn("kind", kind)
     w = Window.partitionBy(*by).orderBy("line")
     same = (F.col("kind") == F.lag("kind").over(w)) & F.col("kind").isin("text", "bullet", "number")
