@@ -312,6 +312,12 @@ def test_mixed_blocks_agree_with_the_plan(docs, texts):
     assert again == {(r.shard, r.slot, r.text) for r in blocks}
 
 
+def test_mixed_blocks_are_a_small_plan(docs):
+    """What a query has open at once is the driver's memory: places, counts and slots are written before blocks are made."""
+    plan = mixing.mixed_blocks(docs)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Window ") == 0 and plan.count("Join ") <= 3, plan
+
+
 def test_draws_of_shards(docs):
     plan = mixing.planned(common.stage_table(mixing.sized(docs), "test"))
     targets = {r.skey: r for r in plan.targets.collect()}

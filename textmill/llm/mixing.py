@@ -91,7 +91,7 @@ def planned(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP, block: int = BL
 
 
 def drawn(plan: Plan, seed: int) -> DataFrame:
-    """One row per slot: place (its number over all shards), skey and quota of the source that it draws.
+    """One row per slot: place (its number over all shards), skey, quota and n (blocks) of the source that it draws.
 
     A draw is a number below slots; the sources' quotas, one after the other, are its ranges. Ranges are found by
     cells of equal width, of which each source has those that its range touches.
@@ -99,34 +99,36 @@ def drawn(plan: Plan, seed: int) -> DataFrame:
     slots = max(1, plan.slots)
     cells = max(1, min(slots, max(CELLS, slots // TASK_SLOTS)))
     last = F.col("first") + F.col("quota") - 1
-    t = plan.targets.where("quota > 0").select("skey", "quota", "first", F.explode(F.expr(f"sequence(first * {cells} div {slots}, (first + quota - 1) * {cells} div {slots})")).alias("cell"), last.alias("last"))
+    t = plan.targets.where("quota > 0").select("skey", "quota", "n", "first", F.explode(F.expr(f"sequence(first * {cells} div {slots}, (first + quota - 1) * {cells} div {slots})")).alias("cell"), last.alias("last"))
     t = F.broadcast(t) if plan.sources <= SOURCES else t.hint("merge")  # at most CELLS rows more than sources
     spark = plan.targets.sparkSession
     tasks = max(1, min(plan.slots // (TASK_SLOTS // 16), int(spark.conf.get("spark.sql.shuffle.partitions"))), plan.slots // TASK_SLOTS)
     s = spark.range(0, plan.slots, 1, tasks).select(F.col("id").alias("place"), F.pmod(F.xxhash64(F.lit(seed), F.lit("slot"), "id"), F.lit(slots)).alias("u"))
     s = s.withColumn("cell", F.expr(f"u * {cells} div {slots}"))
-    return s.join(t, "cell").where("u BETWEEN first AND last").select("place", "skey", "quota")
+    return s.join(t, "cell").where("u BETWEEN first AND last").select("place", "skey", "quota", "n")
 
 
 def draws(plan: Plan, seed: int = 17, shard: int = SHARD) -> DataFrame:
-    """One row per output slot: place, skey and idx, the block that it takes."""
+    """One row per output slot: place, skey and idx, the block that it takes.
+
+    Counts, slots and the few that change their source are written one after the other: as one plan, with what is
+    joined to it, they keep too many stages in the driver's memory at once.
+    """
+    idx = permute(F.expr("k % n"), F.col("n"), F.xxhash64(F.lit(seed), "skey", F.expr("k div n")))
     d = drawn(plan, seed).withColumn("part", F.expr(f"place div {NUMBERED * shard}"))
-    counts = d.groupBy("skey", "part").agg(F.count("*").alias("m"))
+    counts = stage_table(d.groupBy("skey", "part").agg(F.count("*").alias("m")), "mixing")
     before = F.sum("m").over(Window.partitionBy("skey").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select("skey", "part", F.coalesce(before, F.lit(0)).alias("before"))
+    first = counts.select("skey", "part", F.coalesce(before, F.lit(0)).alias("before"))
     own = F.row_number().over(Window.partitionBy("skey", "part").orderBy("place")) - 1
-    d = d.withColumn("own", own).join(counts.hint("merge"), ["skey", "part"]).select("place", "skey", "quota", (F.col("own") + F.col("before")).alias("k"))
+    d = d.withColumn("own", own).join(first.hint("merge"), ["skey", "part"]).withColumn("k", F.col("own") + F.col("before"))
+    d = stage_table(d.select("place", "skey", F.when(F.col("k") < F.col("quota"), idx).alias("idx")), "mixing")
     # Slots beyond a source's quota, about the root of all slots: they take, in order, the draws that other sources lack.
-    total = drawn(plan, seed).groupBy("skey").agg(F.count("*").alias("m"))
+    total = counts.groupBy("skey").agg(F.sum("m").alias("m"))
     lacking = plan.targets.where("quota > 0").join(total, "skey", "left").withColumn("m", F.coalesce("m", F.lit(0))).where("m < quota")
-    lacking = lacking.select("skey", F.explode(F.expr("sequence(m, quota - 1)")).alias("k")).withColumn("turn", F.row_number().over(Window.orderBy("skey", "k")))
-    over = d.where("k >= quota").select("place", F.row_number().over(Window.orderBy("place")).alias("turn"))
-    moved = over.join(lacking, "turn").select("place", "skey", "k")
-    out = d.where("k < quota").select("place", "skey", "k").union(moved)
-    blocks = plan.targets.select("skey", "n")
-    out = out.join(F.broadcast(blocks) if plan.sources <= SOURCES else blocks.hint("merge"), "skey")
-    turn = F.xxhash64(F.lit(seed), "skey", F.expr("k div n"))
-    return out.select("place", "skey", permute(F.expr("k % n"), F.col("n"), turn).alias("idx"))
+    lacking = lacking.select("skey", "n", F.explode(F.expr("sequence(m, quota - 1)")).alias("k")).withColumn("turn", F.row_number().over(Window.orderBy("skey", "k")))
+    over = d.where("idx IS NULL").select("place", F.row_number().over(Window.orderBy("place")).alias("turn"))
+    moved = stage_table(over.join(lacking, "turn").select("place", "skey", idx.alias("idx")), "mixing")
+    return d.where("idx IS NOT NULL").union(moved)
 
 
 def laid_out(sizes: DataFrame, words: int) -> DataFrame:
@@ -172,7 +174,7 @@ def mixed_blocks(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, block: int
     plan = planned(s, weights, cap, block)
     # Texts meet the places of their documents once these are known: no window sorts texts. Rows equal in all are one text in several places.
     key = ["doc_id", "th", "skey"]
-    places = laid_out(s, plan.words).groupBy(*key).agg(F.any_value("size").alias("size"), F.collect_list("off").alias("offs"))
+    places = stage_table(laid_out(s, plan.words).groupBy(*key).agg(F.any_value("size").alias("size"), F.collect_list("off").alias("offs")), "mixing")
     texts = docs.withColumns({"th": F.xxhash64("text"), "skey": F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))}).where("text IS NOT NULL")
     on = [F.col("t.doc_id").eqNullSafe(F.col("p.doc_id")), F.col("t.th") == F.col("p.th"), F.col("t.skey") == F.col("p.skey")]
     found = texts.dropDuplicates(key).alias("t").join(places.hint("merge").alias("p"), on).select("p.*", "t.source", F.regexp_extract_all("t.text", F.lit(WORD), F.lit(0)).alias("words"))
