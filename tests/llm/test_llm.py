@@ -861,3 +861,27 @@ def test_pipeline_odd(odd, empty, spark, sf, tmp_path):
             assert {i for r in blocks for i in r.doc_ids} <= set(ids)
         else:
             assert not ids and not blocks
+
+
+def test_interleave_takes_few_rounds(monkeypatch):
+    """Rounds of longer symbols give the order of rounds of pairs, however many bytes strings have in common."""
+    rng = np.random.default_rng(8)
+    stem = bytes(rng.integers(97, 123, 90, dtype=np.uint8))
+    kinds = [
+        [stem + bytes(rng.integers(97, 100, int(k), dtype=np.uint8)) for k in rng.integers(12, 60, 80)], [b"ab" * 60] * 9 + [b"ba" * 70, b"aba" * 50],
+        [bytes(rng.integers(97, 99, int(k), dtype=np.uint8)) for k in rng.integers(100, 140, 60)],
+    ]
+    sort, sorts = np.argsort, []
+    for strings in kinds:
+        a, b = suffixes.Transform(strings[: len(strings) // 2]), suffixes.Transform(strings[len(strings) // 2 :])
+        symbol, back = np.concatenate([a.symbol, b.symbol]), np.concatenate([a.back, b.back + len(a.order)])
+        for rounds in (0, 1, 2, 3, 7, 22, suffixes.LENGTH // 2):
+            order = np.arange(len(symbol))
+            for _ in range(rounds):
+                order = back[order[sort(symbol[order], kind="stable")]]
+            monkeypatch.setattr(np, "argsort", lambda *a, **b: sorts.append(1) or sort(*a, **b))
+            got = suffixes.interleave(a, b, rounds)
+            monkeypatch.undo()
+            assert (got == order).all()
+            assert len(sorts) <= rounds // 4 + 2
+            sorts.clear()
